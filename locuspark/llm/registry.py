@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locuspark.llm import simhash
+from locuspark.llm import classify, secrets, simhash
 from locuspark.llm.frames import documents
 
 
@@ -14,8 +14,20 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_simhash": op9_simhash}
+    return {f.__name__: f for f in (op1_secrets, op3_quality, op8_toxicity, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
