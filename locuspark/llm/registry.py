@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locuspark.llm import classify, secrets, simhash
+from locuspark.llm import classify, decontaminate, lempel_ziv, packing, secrets, simhash
 from locuspark.llm.frames import documents
 
 
@@ -22,12 +22,24 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op6_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lempel_ziv.compared_with_next(documents(spark, sf_dir))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op3_quality, op8_toxicity, op9_simhash)}
+    return {f.__name__: f for f in (op1_secrets, op3_quality, op5_decontaminate, op6_lempel_ziv, op8_toxicity, op9_simhash, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
