@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locuspark.llm import classify, decontaminate, lempel_ziv, packing, secrets, simhash
+from locuspark.llm import classify, decontaminate, lempel_ziv, packing, secrets, simhash, suffix_dedup
 from locuspark.llm.frames import documents
 
 
@@ -30,6 +30,10 @@ def op6_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lempel_ziv.compared_with_next(documents(spark, sf_dir))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(documents(spark, sf_dir))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -39,7 +43,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op3_quality, op5_decontaminate, op6_lempel_ziv, op8_toxicity, op9_simhash, op10_packing)}
+    return {f.__name__: f for f in (op1_secrets, op3_quality, op5_decontaminate, op6_lempel_ziv, op7_suffix_dedup, op8_toxicity, op9_simhash, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
