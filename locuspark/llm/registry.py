@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locuspark.llm import classify, decontaminate, lempel_ziv, packing, secrets, simhash, suffix_dedup
+from locuspark.llm import classify, decontaminate, lempel_ziv, licenses, packing, secrets, simhash, suffix_dedup, warc
 from locuspark.llm.frames import documents
 
 
@@ -18,10 +18,18 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.page_responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -43,7 +51,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op3_quality, op5_decontaminate, op6_lempel_ziv, op7_suffix_dedup, op8_toxicity, op9_simhash, op10_packing)}
+    return {f.__name__: f for f in (op1_secrets, op2_warc, op3_quality, op4_licenses, op5_decontaminate, op6_lempel_ziv, op7_suffix_dedup, op8_toxicity, op9_simhash, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
