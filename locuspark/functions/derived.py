@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from locuspark.functions.binding import let
+
 #: Name: (number, type, needs genotypes, description).
 VIRTUAL = {
     "AC": ("A", "Integer", True, "Allele count in genotypes"),
@@ -31,15 +33,17 @@ def n_alt(alts: Column) -> Column:
 
 def allele_counts(gt: Column, alts: Column) -> Column:
     """One count for each ALT; an allele beyond them is an error."""
-    slots = called(gt)
-    bad = F.exists(slots, lambda a: (a > F.size(alts)) | (a < 0))
-    counts = F.transform(alts, lambda _, k: F.size(F.filter(slots, lambda a: a == k + 1)))
-    return F.when(bad, F.raise_error(F.lit("a genotype names an allele that the variant does not have"))).otherwise(counts)
+
+    def counted(slots: Column) -> Column:
+        bad = F.exists(slots, lambda a: (a > F.size(alts)) | (a < 0))
+        counts = F.transform(alts, lambda _, k: F.size(F.filter(slots, lambda a: a == k + 1)))
+        return F.when(bad, F.raise_error(F.lit("a genotype names an allele that the variant does not have"))).otherwise(counts)
+
+    return let(called(gt), counted)
 
 
 def allele_frequencies(gt: Column, alts: Column) -> Column:
-    an = allele_number(gt).cast("float")
-    return F.transform(allele_counts(gt, alts), lambda c: F.when(an > 0, (c.cast("float") / an).cast("float")))
+    return let(allele_number(gt).cast("float"), lambda an: F.transform(allele_counts(gt, alts), lambda c: F.when(an > 0, (c.cast("float") / an).cast("float"))))
 
 
 def samples_with_data(gt: Column) -> Column:
@@ -80,4 +84,4 @@ def type_mask(ref: Column, alts: Column, kind: str, some: bool) -> Column:
         return F.forall(kinds, lambda k: k == "ref")
     if some:
         return F.exists(kinds, lambda k: k == "snp")
-    return F.exists(kinds, lambda k: k == "snp") & F.forall(kinds, lambda k: k.isin("snp", "ref"))
+    return let(kinds, lambda own: F.exists(own, lambda k: k == "snp") & F.forall(own, lambda k: k.isin("snp", "ref")))

@@ -2,55 +2,55 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
-def _shortest32(v: pd.Series) -> pd.Series:
-    import numpy as np
-
-    return v.map(lambda x: None if x is None or pd.isna(x) and not isinstance(x, float) else str(np.float32(x)), na_action="ignore")
-
-
-@F.pandas_udf("string")
-def _shortest64(v: pd.Series) -> pd.Series:
-    import numpy as np
+def _by_value(col: pa.Array, one: Callable[[float], str]) -> pa.Array:
+    """Floats, in lists of any depth, to strings; nulls stay, each different value is rendered once."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    if pa.types.is_list(col.type):
+        valid = col.is_valid()
+        ends = pa.array(np.concatenate([[0], np.cumsum(col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]), pa.int32())
+        return pa.ListArray.from_arrays(ends, _by_value(col.flatten(), one), mask=pa.compute.invert(valid))
+    coded = col.dictionary_encode()
+    return pa.array([one(x) for x in coded.dictionary.to_numpy(zero_copy_only=False)], pa.string()).take(coded.indices)
 
-    return v.map(lambda x: str(np.float64(x)), na_action="ignore")
 
+def _renderer(kind: T.DataType, one: Callable[[float], str]):
+    depth = 0
+    while isinstance(kind, T.ArrayType):
+        kind, depth = kind.elementType, depth + 1
 
-@F.pandas_udf("array<string>")
-def _shortest32s(v: pd.Series) -> pd.Series:
-    import numpy as np
+    def run(col: pa.Array) -> pa.Array:
+        return _by_value(col, one)
 
-    return v.map(lambda a: None if a is None else [None if x is None or x != x else str(np.float32(x)) for x in a])
+    run.__annotations__ = {"col": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<" * depth + "string" + ">" * depth)
 
 
-@F.pandas_udf("array<string>")
-def _shortest64s(v: pd.Series) -> pd.Series:
-    import numpy as np
-
-    return v.map(lambda a: None if a is None else [None if x is None or x != x else str(np.float64(x)) for x in a])
-
-
-@F.pandas_udf("string")
-def general(v: pd.Series) -> pd.Series:
+def general(col: Column) -> Column:
     """C's ``%g``."""
-    return v.map(lambda x: f"{x:g}", na_action="ignore")
+    return _renderer(T.DoubleType(), lambda x: f"{x:g}")(col.cast("double"))
 
 
 def texts(col: Column, kind: T.DataType) -> Column:
-    """A scalar or vector as (array of) strings, NULL where missing."""
-    inner = kind.elementType if isinstance(kind, T.ArrayType) else kind
+    """A scalar or a vector (of vectors) as strings in the same shape, NULL where missing; floats by their shortest repr."""
+    inner, depth = kind, 0
+    while isinstance(inner, T.ArrayType):
+        inner, depth = inner.elementType, depth + 1
     if isinstance(inner, (T.FloatType, T.DoubleType)):
-        pick = {(False, False): _shortest32, (False, True): _shortest64, (True, False): _shortest32s, (True, True): _shortest64s}
-        return pick[isinstance(kind, T.ArrayType), isinstance(inner, T.DoubleType)](col)
+        return _renderer(kind, str)(col)  # the values come as numpy scalars of the column's own width
     if isinstance(inner, T.BooleanType):
         return F.when(col, "True")
-    return col.cast("array<string>" if isinstance(kind, T.ArrayType) else "string")
+    return col.cast("array<" * depth + "string" + ">" * depth)
 
 
 def three_decimals(x: Column) -> Column:
@@ -63,14 +63,16 @@ def three_decimals(x: Column) -> Column:
     return F.when(x.isNull(), None).when(F.isnan(v) | (F.abs(v) == float("inf")), odd).when(F.abs(v) > 2147483648.0, F.format_string("%.3f", v)).otherwise(plain)
 
 
-def vcf_text(col: Column, kind: T.DataType) -> Column:
-    """A scalar or vector as VCF text: NULL where all is missing, ``.`` for a missing element, an empty vector ``.``."""
+def vcf_text(col: Column, kind: T.DataType, key: str = "") -> Column:
+    """A scalar or vector as VCF text: NULL where a scalar is missing, ``.`` for a missing element.
+
+    Integers that need more than 32 bits are an error that names ``key``.
+    """
     if isinstance(kind, T.ArrayType):
-        one = three_decimals if isinstance(kind.elementType, (T.FloatType, T.DoubleType)) else (lambda e: e.cast("string"))
-        return F.array_join(F.transform(col, lambda e: F.coalesce(one(e), F.lit("."))), ",")
+        return F.array_join(F.transform(col, lambda e: F.coalesce(vcf_text(e, kind.elementType, key), F.lit("."))), ",")
     if isinstance(kind, (T.FloatType, T.DoubleType)):
         return three_decimals(col)
     if isinstance(kind, T.LongType):
         wide = (col > 2147483647) | (col < -2147483648)
-        return F.when(wide, F.raise_error(F.concat(F.lit("an integer does not fit 32 bits: "), col.cast("string")))).otherwise(col.cast("string"))
+        return F.when(wide, F.raise_error(F.concat(F.lit(f"a value of {key} does not fit 32 bits: "), col.cast("string")))).otherwise(col.cast("string"))
     return col.cast("string")

@@ -16,6 +16,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from locuspark.functions.binding import numbers
+
 #: Fixed columns by their name in expressions and formats.
 FIXED = {"POS": "pos", "ID": "id", "QUAL": "qual", "CHROM": "chrom", "FILTER": "filters", "REF": "ref", "ALT": "alts"}
 
@@ -121,6 +123,10 @@ class VariantSet:
         table = self.df.sparkSession.createDataFrame([(v,) for v in values], "variant_index long")
         return self.with_variants(F.broadcast(table) if len(values) <= 1_000_000 else table)
 
+    def with_frame(self, df: DataFrame) -> VariantSet:
+        """The same metadata over other rows."""
+        return replace(self, df=df)
+
     def starting_at(self, index: int) -> VariantSet:
         if index < 0:
             raise ValueError("start must not be negative")
@@ -156,7 +162,7 @@ class VariantSet:
             return F.col(name)
         if not self.chosen:
             return F.slice(F.col(name), 1, 0)
-        return F.transform(F.array(*[F.lit(i) for i in self.chosen]), lambda i: F.get(F.col(name), i))
+        return F.transform(numbers(self.chosen), lambda i: F.get(F.col(name), i))
 
     # --- results ----------------------------------------------------------------
     def result(self) -> DataFrame:

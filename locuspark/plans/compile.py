@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from locuspark.functions import derived
+from locuspark.functions.binding import let, lets, names, numbers
 from locuspark.plans import expression as X
 
 
@@ -79,25 +80,34 @@ def compare(op: str, a: Value, b: Value) -> Value:
         raise ValueError(f"cannot compare fields with incompatible dimensions: {_CLASH}")
     if not two:
         return Value(_compared(op, a.col, b.col, kinds), "V" if "V" in (a.shape, b.shape) else "S", "mask")
-    one = two[0]
-    if one.shape == "G":
-        if len(two) == 2:
-            return Value(F.zip_with(a.col, b.col, lambda x, y: _compared(op, x, y, kinds)), "G", "mask")
-        cell = (lambda x: _compared(op, x, b.col, kinds)) if one is a else (lambda x: _compared(op, a.col, x, kinds))
-        return Value(F.transform(one.col, cell), "G", "mask")
-
-    def slot(i: Column) -> Column:
-        there = F.lit(True)
-        ends = []
-        for v in (a, b):
-            if v.shape == "A":
-                there = there & (i < F.size(v.col))
-                ends.append(F.get(v.col, i))
-            else:
-                ends.append(v.col)
-        return there & _compared(op, *ends, kinds)
-
-    return Value(F.transform(F.array(*[F.lit(i) for i in range(one.width)]), slot), "A", "mask", one.width)
+    if two[0].shape == "G":
+        return Value(_each(a, b, lambda x, y: _compared(op, x, y, kinds)), "G", "mask")
+
+    def slots(x: Column, y: Column) -> Column:
+        def one(i: Column) -> Column:
+            there, ends = F.lit(True), []
+            for v, col in ((a, x), (b, y)):
+                if v.shape == "A":
+                    there = there & (i < F.size(col))
+                ends.append(F.get(col, i) if v.shape == "A" else col)
+            return there & _compared(op, *ends, kinds)
+
+        return F.transform(_slots(two[0].width), one)
+
+    return Value(lets((a.col, b.col), slots), "A", "mask", two[0].width)
+
+
+def _slots(width: int) -> Column:
+    return numbers(range(width))
+
+
+def _each(a: Value, b: Value, fn: Callable[[Column, Column], Column]) -> Column:
+    """``fn`` over the elements of two values of which one at least is an array; a single one meets every element."""
+    if a.shape in "AG" and b.shape in "AG":
+        return F.zip_with(a.col, b.col, fn)
+    if a.shape in "AG":
+        return let(b.col, lambda y: F.transform(a.col, lambda x: fn(x, y)))
+    return let(a.col, lambda x: F.transform(b.col, lambda y: fn(x, y)))
 
 
 def calculate(op: str, a: Value, b: Value) -> Value:
@@ -105,24 +115,24 @@ def calculate(op: str, a: Value, b: Value) -> Value:
     if "str" in kinds:
         raise ValueError("cannot calculate with strings")
     kind = "float" if "float" in kinds or op == "/" else "int"
+    fn = lambda x, y: _calculated(op, x, y, kinds)
     two = [v for v in (a, b) if v.shape in "AG"]
-    if len(two) == 2:
-        if a.shape != b.shape or (a.width != b.width and 1 not in (a.width, b.width)):
-            raise ValueError("cannot combine fields with incompatible dimensions: operands with different value counts have no common element")
-        if a.width == b.width:
-            n = F.least(F.size(a.col), F.size(b.col))
-            col = F.slice(F.zip_with(a.col, b.col, lambda x, y: _calculated(op, x, y, kinds)), F.lit(1), n)
-            return Value(col, a.shape, kind, a.width)
-        one = a if a.width == 1 else b
-        many = b if one is a else a
-        single = F.get(one.col, F.lit(0))
-        cell = (lambda x: _calculated(op, single, x, kinds)) if one is a else (lambda x: _calculated(op, x, single, kinds))
-        return Value(F.when(F.size(one.col) == 0, F.slice(F.transform(many.col, cell), 1, 0)).otherwise(F.transform(many.col, cell)), "A", kind, many.width)
     if not two:
-        return Value(_calculated(op, a.col, b.col, kinds), "V" if "V" in (a.shape, b.shape) else "S", kind)
-    one = two[0]
-    cell = (lambda x: _calculated(op, x, b.col, kinds)) if one is a else (lambda x: _calculated(op, a.col, x, kinds))
-    return Value(F.transform(one.col, cell), one.shape, kind, one.width)
+        return Value(fn(a.col, b.col), "V" if "V" in (a.shape, b.shape) else "S", kind)
+    if len(two) == 1:
+        return Value(_each(a, b, fn), two[0].shape, kind, two[0].width)
+    if a.shape != b.shape or (a.width != b.width and 1 not in (a.width, b.width)):
+        raise ValueError("cannot combine fields with incompatible dimensions: operands with different value counts have no common element")
+    if a.width == b.width:
+        return Value(lets((a.col, b.col), lambda x, y: F.slice(F.zip_with(x, y, fn), F.lit(1), F.least(F.size(x), F.size(y)))), a.shape, kind, a.width)
+
+    def single(x: Column, y: Column) -> Column:
+        few, many = (x, y) if a.width == 1 else (y, x)
+        first = F.get(few, F.lit(0))
+        made = F.transform(many, (lambda e: fn(first, e)) if a.width == 1 else (lambda e: fn(e, first)))
+        return F.when(F.size(few) == 0, F.slice(made, 1, 0)).otherwise(made)
+
+    return Value(lets((a.col, b.col), single), "A", kind, max(a.width, b.width))
 
 
 def truth(v: Value) -> Value:
@@ -136,9 +146,8 @@ def truth(v: Value) -> Value:
         return Value(one(v.col), v.shape, "mask")
     if v.shape == "G":
         return Value(F.transform(v.col, one), "G", "mask")
-    slots = F.array(*[F.lit(i) for i in range(v.width)])
     # A padding slot holds a negative sentinel in the stored form, which is not zero.
-    return Value(F.transform(slots, lambda i: one(F.get(v.col, i))), "A", "mask", v.width)
+    return Value(let(v.col, lambda own: F.transform(_slots(v.width), lambda i: one(F.get(own, i)))), "A", "mask", v.width)
 
 
 def some(v: Value) -> Value:
@@ -146,25 +155,22 @@ def some(v: Value) -> Value:
     return v if v.shape in "SV" else Value(F.exists(v.col, lambda x: x), "V", "mask")
 
 
-def _cells(a: Value, b: Value, fn: Callable[[Column, Column], Column]) -> Column:
-    if a.shape in "AG" and b.shape in "AG":
-        return F.zip_with(a.col, b.col, fn)
-    return F.transform(a.col, lambda x: fn(x, b.col)) if a.shape in "AG" else F.transform(b.col, lambda y: fn(a.col, y))
-
-
 def combine(op: str, a: Value, b: Value) -> Value:
-    both, either = (lambda x, y: x & y), (lambda x, y: x | y)
+    fn = (lambda x, y: x & y) if op[0] == "&" else (lambda x, y: x | y)
     shape = next((s for s in "GAV" if s in (a.shape, b.shape)), "S")
     width = max(a.width, b.width)
     if shape in "SV":
-        return Value((both if op[0] == "&" else either)(a.col, b.col), shape, "mask")
+        return Value(fn(a.col, b.col), shape, "mask")
     if len(op) == 1 or "S" in (a.shape, b.shape):
-        return Value(_cells(a, b, both if op[0] == "&" else either), shape, "mask", width)
-    if op == "&&":
-        site = some(a).col & some(b).col
-        return Value(F.transform(_cells(a, b, either), lambda x: x & site), shape, "mask", width)
-    site = some(a).col | some(b).col
-    return Value(F.transform(_cells(a, b, either), lambda x: x | site), shape, "mask", width)
+        return Value(_each(a, b, fn), shape, "mask", width)
+
+    def site(x: Column, y: Column) -> Column:
+        """A site passes as a whole; its cells are those of either side for ``&&``, all of them for ``||``."""
+        own_a, own_b = Value(x, a.shape, "mask", a.width), Value(y, b.shape, "mask", b.width)
+        either = _each(own_a, own_b, lambda p, q: p | q)
+        return let(fn(some(own_a).col, some(own_b).col), lambda passes: F.transform(either, lambda c: fn(c, passes)))
+
+    return Value(lets((a.col, b.col), site), shape, "mask", width)
 
 
 def special(tree: X.Special, filters: tuple[str, ...]) -> Value:
@@ -177,7 +183,7 @@ def special(tree: X.Special, filters: tuple[str, ...]) -> Value:
     want = [] if tree.value == "." else tree.value.split(";")
     if unknown := [f for f in want if f not in filters]:
         raise ValueError(f"the filter {unknown[0]!r} is not defined in the header")
-    given = F.array(*[F.lit(f) for f in want]).cast("array<string>")
+    given = names(want)
     hit = F.size(F.array_except(given, F.col("filters"))) == 0
     if "~" not in tree.op:
         hit = hit & (F.size(F.array_except(F.col("filters"), given)) == 0)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from locuspark.functions import text as text_
+from locuspark.functions.binding import let, lets, names
 from locuspark.model import FIXED, VariantSet
 from locuspark.plans.resolve import result
 
@@ -55,7 +56,7 @@ def genotype_text(gt: Column, phased: Column) -> Column:
 
 def _joined(parts: Column, sep: str = ",") -> Column:
     """A site-level vector: a dot where it is empty or wholly missing."""
-    return F.when(F.size(parts) == 0, ".").when(F.forall(parts, lambda x: x.isNull()), ".").otherwise(F.array_join(F.transform(parts, lambda x: F.coalesce(x, F.lit("."))), sep))
+    return let(parts, lambda own: F.when(F.forall(own, lambda x: x.isNull()), ".").otherwise(F.array_join(F.transform(own, lambda x: F.coalesce(x, F.lit("."))), sep)))
 
 
 def _site(vs: VariantSet, df: DataFrame, tag: str) -> tuple[Column, bool]:
@@ -91,7 +92,7 @@ def _in_loop(vs: VariantSet, df: DataFrame, tag: str, index: int | None) -> tupl
     if index is not None:
         raise ValueError("subscripts are not allowed in sample loops")
     if tag == "SAMPLE":
-        return F.array(*[F.lit(s) for s in vs.sample_ids]).cast("array<string>"), True
+        return names(vs.sample_ids), True
     if key == "GT" and prefix != "INFO":
         if "phased" not in df.columns:
             raise NotImplementedError("genotypes without phase")
@@ -101,26 +102,30 @@ def _in_loop(vs: VariantSet, df: DataFrame, tag: str, index: int | None) -> tupl
         col, many = _site(vs, df, tag)
         return (_joined(col, ";" if tag == "FILTER" else ",") if many else F.coalesce(col, F.lit("."))), False
     kind = df.schema[own.column].dataType.elementType
-    if isinstance(kind, T.ArrayType):
-        if isinstance(kind.elementType, (T.FloatType, T.DoubleType)):
-            flat = F.transform(vs.call(own.column), lambda v: F.transform(v, lambda x: x.cast("string")))
-        else:
-            flat = vs.call(own.column).cast("array<array<string>>")
-        return F.transform(flat, lambda v: F.when(v.isNull() | (F.size(v) == 0), ".").otherwise(F.array_join(F.transform(v, lambda x: F.coalesce(x, F.lit("."))), ","))), True
     parts = text_.texts(vs.call(own.column), T.ArrayType(kind))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(parts, lambda v: F.when(v.isNull() | (F.size(v) == 0), ".").otherwise(F.array_join(F.transform(v, lambda x: F.coalesce(x, F.lit("."))), ","))), True
     return F.transform(parts, lambda x: F.coalesce(x, F.lit("."))), True
 
 
 def _loop(vs: VariantSet, df: DataFrame, parts: list, cells: str | None) -> Column:
-    n = len(vs.sample_ids)
-    if not n:
+    """The text of a loop: parts over samples are zipped, the others bound once."""
+    if not vs.sample_ids:
         return F.lit("")
     made = [(F.lit(p), False) if isinstance(p, str) else _in_loop(vs, df, *p) for p in parts]
-    one = lambda i: F.concat(*[F.get(c, i) if many else c for c, many in made])
-    places = F.array(*[F.lit(i) for i in range(n)])
+    places = F.sequence(F.lit(0), F.lit(len(vs.sample_ids) - 1)).alias("at")
+    zipped = F.arrays_zip(places, *([F.col(cells).alias("in")] if cells else []), *[c.alias(f"p{k}") for k, (c, many) in enumerate(made) if many])
     if cells:
-        places = F.filter(places, lambda i: F.coalesce(F.get(F.col(cells), i), F.lit(False)))
-    return F.array_join(F.transform(places, one), "")
+        zipped = F.filter(zipped, lambda z: F.coalesce(z["in"], F.lit(False)))
+    fixed = [k for k, (_, many) in enumerate(made) if not many and not isinstance(parts[k], str)]
+
+    def text(*bound: Column) -> Column:
+        def one(z: Column) -> Column:
+            return F.concat(*[z[f"p{k}"] if many else bound[fixed.index(k)] if k in fixed else c for k, (c, many) in enumerate(made)])
+
+        return F.array_join(F.transform(zipped, one), "")
+
+    return lets([made[k][0] for k in fixed], text)
 
 
 def formatted(vs: VariantSet, text: str, newline: bool = True) -> DataFrame:

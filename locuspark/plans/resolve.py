@@ -11,7 +11,7 @@ from locuspark import errors as E
 from locuspark.functions import derived
 from locuspark.model import FIXED, Field, VariantSet
 from locuspark.plans import expression as X
-from locuspark.plans.compile import Value, condition
+from locuspark.plans.compile import Value, combine, condition
 
 _KINDS = {"Integer": "int", "Float": "float", "String": "str", "Character": "str", "Flag": "flag"}
 _UNSUPPORTED = ("N_SAMPLES", "MAC", "MAF", "ILEN")
@@ -113,11 +113,8 @@ def mask(vs: VariantSet) -> Value | None:
             v = condition(X.parse(given), resolver(vs), vs.filters, exclude)
         if out is None:
             out = v
-        elif "G" in (out.shape, v.shape):
-            a, b = (out, v) if out.shape == "G" else (v, out)
-            out = Value(F.zip_with(a.col, b.col, lambda x, y: x & y) if b.shape == "G" else F.transform(a.col, lambda x, s=b.col: x & s), "G", "mask")
         else:
-            out = Value(out.col & v.col, "V", "mask")
+            out = combine("&", out, v)
     return out
 
 

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import contextlib
 import datetime
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from locuspark.functions import derived
+from locuspark.functions.binding import let
 from locuspark.functions.text import three_decimals, vcf_text
 from locuspark.model import Field, VariantSet
 from locuspark.plans.formats import genotype_text
 from locuspark.plans.resolve import info, result
+from locuspark.sinks.ordered import in_order, opened
 
 #: Descriptions of reserved keys, for fields that have none.
 INFO_TEXT = {"AA": "Ancestral allele", "AC": "Allele count in genotypes", "AF": "Allele frequency for each ALT allele in the same order as listed", "AN": "Total number of alleles in called genotypes", "DB": "dbSNP membership", "DP": "Combined depth across samples", "END": "End position on CHROM", "H2": "HapMap2 membership", "MQ": "RMS mapping quality", "NS": "Number of samples with data"}
@@ -63,21 +63,27 @@ def header(vs: VariantSet, extra: Sequence[str] = (), version: bool = True, comm
     return "\n".join(out) + "\n"
 
 
-def _type(field: Field) -> T.DataType:
-    one = {"Integer": T.IntegerType(), "Float": T.FloatType(), "Flag": T.BooleanType()}.get(field.type, T.StringType())
-    return T.ArrayType(one) if field.vector else one
+def _type(vs: VariantSet, field: Field) -> T.DataType:
+    """The type of one value: that of the stored column, or of the computed one."""
+    if field.column in vs.df.columns:
+        kind = vs.df.schema[field.column].dataType
+        while isinstance(kind, T.ArrayType):
+            kind = kind.elementType
+    else:
+        kind = {"Integer": T.IntegerType(), "Float": T.FloatType(), "Flag": T.BooleanType()}.get(field.type, T.StringType())
+    return T.ArrayType(kind) if field.vector else kind
 
 
-def info_text(pairs: list[tuple[Column, Field]]) -> Column:
+def info_text(vs: VariantSet, pairs: list[tuple[Column, Field]]) -> Column:
     """The INFO column: missing fields are left out, a flag prints its key only."""
     parts = []
     for col, f in pairs:
         if f.number == "0":
             parts.append(F.when(col, f.key))
         elif f.vector:
-            parts.append(F.when(F.exists(col, lambda x: x.isNotNull()), F.concat(F.lit(f.key + "="), vcf_text(col, _type(f)))))
+            parts.append(F.when(F.exists(col, lambda x: x.isNotNull()), F.concat(F.lit(f.key + "="), vcf_text(col, _type(vs, f), f.key))))
         else:
-            parts.append(F.concat(F.lit(f.key + "="), vcf_text(col, _type(f))))
+            parts.append(F.concat(F.lit(f.key + "="), vcf_text(col, _type(vs, f), f.key)))
     if not parts:
         return F.lit(".")
     joined = F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull()), ";")
@@ -86,28 +92,35 @@ def info_text(pairs: list[tuple[Column, Field]]) -> Column:
 
 def format_text(vs: VariantSet) -> list[Column]:
     """The FORMAT column and the samples' text: a field that every sample lacks is left out of the row."""
-    n = len(vs.sample_ids)
-    made: list[tuple[str, Column, object]] = []
+    made: list[tuple[str, Column, Column]] = []
     if vs.has_genotypes:
-        phased = "phased" in vs.df.columns
         gt = vs.call("gt")
-        pair = F.zip_with(gt, vs.call("phased"), genotype_text) if phased else F.transform(gt, lambda g: genotype_text(g, F.lit(False)))
+        pair = F.zip_with(gt, vs.call("phased"), genotype_text) if "phased" in vs.df.columns else F.transform(gt, lambda g: genotype_text(g, F.lit(False)))
         made.append(("GT", F.exists(gt, lambda g: F.exists(g, lambda a: a.isNotNull())), pair))
-    for f in sorted((f for f in vs.fields if f.category == "FORMAT"), key=lambda f: f.key):
-        col = vs.call(f.column)
-        if f.vector:
-            there = F.exists(col, lambda v: F.exists(v, lambda x: x.isNotNull()))
-            text = F.transform(col, lambda v, f=f: F.when(v.isNull() | (F.size(v) == 0), ".").otherwise(vcf_text(v, _type(f))))
-        else:
-            there = F.exists(col, lambda x: x.isNotNull())
-            text = F.transform(col, lambda x, f=f: F.coalesce(vcf_text(x, _type(f)), F.lit(".")))
-        made.append((f.key, there, text))
+    made += [_format_field(vs, f) for f in sorted((f for f in vs.fields if f.category == "FORMAT"), key=lambda f: f.key)]
     if not made:
-        return [F.lit("."), *[F.lit("\t".join(["."] * n))]]
-    keys = F.array_join(F.filter(F.array(*[F.when(there, key) for key, there, _ in made]), lambda x: x.isNotNull()), ":")
-    one = lambda i: F.array_join(F.filter(F.array(*[F.when(there, F.get(text, i)) for _, there, text in made]), lambda x: x.isNotNull()), ":")
-    cells = F.transform(F.array(*[F.lit(i) for i in range(n)]), lambda i: F.when(keys == "", ".").otherwise(one(i)))
-    return [F.when(keys == "", ".").otherwise(keys), F.array_join(cells, "\t")]
+        return [F.lit("."), F.lit("\t".join(["."] * len(vs.sample_ids)))]
+    zipped = F.arrays_zip(*[text.alias(f"p{k}") for k, (_, _, text) in enumerate(made)])
+    given = lambda parts: F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull()), ":")
+
+    def cells(there: Column) -> Column:
+        flags = [F.get(there, F.lit(k)) for k in range(len(made))]
+        one = lambda z: given([F.when(flag, z[f"p{k}"]) for k, flag in enumerate(flags)])
+        some = F.exists(there, lambda x: x)
+        keys = F.when(some, given([F.when(flag, key) for flag, (key, _, _) in zip(flags, made, strict=True)])).otherwise(".")
+        return F.array(keys, F.array_join(F.transform(zipped, lambda z: F.when(some, one(z)).otherwise(".")), "\t"))
+
+    both = let(F.array(*[there for _, there, _ in made]), cells)
+    return [F.array_join(both, "\t")]
+
+
+def _format_field(vs: VariantSet, f: Field) -> tuple[str, Column, Column]:
+    """Key, whether any sample has it, and its text by sample."""
+    col, kind = vs.call(f.column), _type(vs, f)
+    if not f.vector:
+        return f.key, F.exists(col, lambda x: x.isNotNull()), F.transform(col, lambda x: F.coalesce(vcf_text(x, kind, f.key), F.lit(".")))
+    there = F.exists(col, lambda v: F.exists(v, lambda x: x.isNotNull()))
+    return f.key, there, F.transform(col, lambda v: F.when(v.isNull() | (F.size(v) == 0), ".").otherwise(vcf_text(v, kind, f.key)))
 
 
 def lines(vs: VariantSet, extra: Sequence[str] = ()) -> DataFrame:
@@ -116,27 +129,11 @@ def lines(vs: VariantSet, extra: Sequence[str] = ()) -> DataFrame:
     out = result(vs).df
     filters = F.when(F.size("filters") == 0, ".").otherwise(F.array_join("filters", ";"))
     alts = F.when(F.size("alts") == 0, ".").otherwise(F.array_join("alts", ","))
-    cols = [F.col("chrom"), F.col("pos").cast("string"), dot(F.col("id")), F.col("ref"), alts, dot(three_decimals(F.col("qual"))), filters, info_text(info_fields(vs, extra))]
+    cols = [F.col("chrom"), F.col("pos").cast("string"), dot(F.col("id")), F.col("ref"), alts, dot(three_decimals(F.col("qual"))), filters, info_text(vs, info_fields(vs, extra))]
     cols += format_text(vs) if vs.sample_ids else []
     return out.select("variant_index", F.concat_ws("\t", *cols).alias("line"))
 
 
-@contextlib.contextmanager
-def opened(output, mode: str = "w"):
-    """A path opened, or a file as it is."""
-    if hasattr(output, "write"):
-        yield output
-    else:
-        with open(output, mode) as f:
-            yield f
-
-
-def in_order(df: DataFrame, column: str) -> Iterator:
-    """A column in variant order, streamed: the driver holds one partition at a time."""
-    for row in df.orderBy("variant_index").select(column).toLocalIterator(prefetchPartitions=True):
-        yield row[0]
-
-
 def write(vs: VariantSet, output, header_only: bool = False, no_header: bool = False, no_version: bool = False, fill: Sequence[str] = ()) -> None:
     """VCF text to a path or a text file; compressed formats are refused."""
     if isinstance(output, str) and output.rpartition(".")[2] in ("gz", "bgz", "bcf"):
@@ -155,6 +152,3 @@ def write_parts(vs: VariantSet, path: str, fill: Sequence[str] = ()) -> None:
     vs = vs.with_mode(vs.mode, vs.view, {*vs.forced, *fill})
     lines(vs, fill).orderBy("variant_index").select("line").write.text(f"{path}/records")
     vs.df.sparkSession.createDataFrame([(header(vs, fill).rstrip("\n"),)], "value string").write.text(f"{path}/header")
-
-
-__all__ = ["derived", "fill_tags", "header", "lines", "write", "write_parts"]

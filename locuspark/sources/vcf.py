@@ -8,6 +8,7 @@ from itertools import takewhile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locuspark.functions.binding import let
 from locuspark.model import Field, VariantSet
 
 _TYPES = {"Integer": "int", "Float": "float", "String": "string", "Character": "string"}
@@ -44,6 +45,31 @@ def _one(text: Column, kind: str) -> Column:
     return own if _TYPES[kind] == "string" else own.try_cast(_TYPES[kind])
 
 
+def _values(text: Column, field: Field) -> Column:
+    """A vector; one that is not there has a single missing value."""
+    return F.when(text.isNull(), F.array(F.lit(None).cast(_TYPES[field.type]))).otherwise(F.transform(F.split(text, ","), lambda x: _one(x, field.type)))
+
+
+def _info(field: Field) -> Column:
+    if field.number == "0":
+        return F.map_contains_key("i", field.key)
+    text = F.col("i")[field.key]
+    return _values(text, field) if field.vector else _one(text, field.type)
+
+
+def _place(key: str) -> Column:
+    """Where ``key`` stands in the FORMAT column; -1: nowhere."""
+    return (F.coalesce(F.array_position("keys", key), F.lit(0)) - 1).cast("int")
+
+
+def _format(field: Field) -> Column:
+    def calls(at: Column) -> Column:
+        text = lambda s: F.when(at >= 0, F.get(s, F.greatest(at, F.lit(0))))
+        return F.transform("calls", lambda s: _values(text(s), field) if field.vector else _one(text(s), field.type))
+
+    return let(_place(field.key), calls)
+
+
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
     """Data lines with their place in the files: splits are counted first, in file order."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_s"), F.monotonically_increasing_id().alias("_m")).where("value != '' and not startswith(value, '#')")
@@ -77,28 +103,12 @@ def read(spark: SparkSession, path: str) -> VariantSet:
         F.coalesce(F.col("i")["END"].try_cast("long") - F.get("c", F.lit(1)).cast("long") + 1, F.length(ref)).cast("int").alias("rlen"),
         _one(F.get("c", F.lit(2)), "String").alias("id"), ref.alias("ref"), alts.alias("alts"), _one(F.get("c", F.lit(5)), "Float").alias("qual"), filters.alias("filters"),
     ]
-    for f in about["fields"]:
-        if f.category == "INFO":
-            v = F.col("i")[f.key]
-            if f.number == "0":
-                col = F.map_contains_key("i", f.key)
-            elif f.vector:
-                col = F.when(v.isNull(), F.array(F.lit(None).cast(_TYPES[f.type]))).otherwise(F.transform(F.split(v, ","), lambda x, f=f: _one(x, f.type)))
-            else:
-                col = _one(v, f.type)
-        else:
-            at = (F.array_position("keys", f.key) - 1).cast("int")
-            text = lambda s, at=at: F.when(at >= 0, F.get(s, F.greatest(at, F.lit(0))))
-            if f.vector:
-                col = F.transform("calls", lambda s, f=f, text=text: F.when(text(s).isNull(), F.array(F.lit(None).cast(_TYPES[f.type]))).otherwise(F.transform(F.split(text(s), ","), lambda x: _one(x, f.type))))
-            else:
-                col = F.transform("calls", lambda s, f=f, text=text: _one(text(s), f.type))
-        cols.append(col.alias(f.column))
+    cols += [(_info(f) if f.category == "INFO" else _format(f)).alias(f.column) for f in about["fields"]]
     if n:
-        at = (F.array_position("keys", "GT") - 1).cast("int")
-        gt = lambda s: F.coalesce(F.when(at >= 0, F.get(s, F.greatest(at, F.lit(0)))), F.lit("./."))
-        cols.append(F.transform("calls", lambda s: F.transform(F.split(gt(s), "[/|]"), lambda a: a.try_cast("tinyint"))).alias("gt"))
-        cols.append(F.transform("calls", lambda s: F.instr(gt(s), "|") > 0).alias("phased"))
+        at = _place("GT")
+        gt = F.transform("calls", lambda s: F.coalesce(F.when(at >= 0, F.get(s, F.greatest(at, F.lit(0)))), F.lit("./.")))
+        cols.append(F.transform(gt, lambda g: F.transform(F.split(g, "[/|]"), lambda a: a.try_cast("tinyint"))).alias("gt"))
+        cols.append(F.transform(gt, lambda g: F.instr(g, "|") > 0).alias("phased"))
     df = df.select(*cols)
     open_ended = [f for f in about["fields"] if f.vector and not f.number.isdigit()]
     width = lambda f: F.max(F.size(f.column)) if f.category == "INFO" else F.max(F.array_max(F.transform(f.column, F.size)))

@@ -1,0 +1,210 @@
+"""Variants stored as chunked arrays (``variant_*``, ``call_*``), as a data source and a variant set.
+
+A task reads one run of variant chunks of the wanted fields; all samples of a
+chunk meet in that task. For repeated queries convert the store to Parquet
+once (:mod:`locuspark.sources.tables`): its columns prune.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from locuspark.functions.sentinels import is_fill, is_missing
+from locuspark.model import Field, VariantSet
+from locuspark.sources.chunks import ChunkedArray, Files, arrays
+
+_RESERVED = ("contig", "position", "length", "allele", "id", "id_mask", "quality", "filter")
+_NUMBERS = {"alt_alleles": "A", "alleles": "R", "genotypes": "G"}
+_SPARK = {"i1": T.ByteType(), "i2": T.ShortType(), "i4": T.IntegerType(), "i8": T.LongType(), "f2": T.FloatType(), "f4": T.FloatType(), "f8": T.DoubleType(), "b1": T.BooleanType()}
+
+
+def _kind(a: ChunkedArray) -> T.DataType:
+    return T.StringType() if a.strings or a.dtype.kind in "USO" else _SPARK[a.dtype.str[1:]]
+
+
+def _described(name: str, a: ChunkedArray) -> Field:
+    call = name.startswith("call_")
+    key = name.partition("_")[2]
+    kind = _kind(a)
+    one = "Float" if isinstance(kind, (T.FloatType, T.DoubleType)) else "String" if isinstance(kind, T.StringType) else "Flag" if isinstance(kind, T.BooleanType) and not call else "Integer"
+    if a.dtype.str[1:] in ("S1", "U1"):
+        one = "Character"
+    depth = 1 + call
+    if len(a.shape) > depth + 1:
+        raise ValueError(f"{name} has {len(a.shape)} axes")
+    if len(a.shape) == depth:
+        number, width = ("0" if one == "Flag" else "1"), 1
+    else:
+        width, last = a.shape[depth], a.dims[depth]
+        number = _NUMBERS.get(last)
+        if number is None:
+            if last != f"{'FORMAT' if call else 'INFO'}_{key}_dim":
+                raise ValueError(f"cannot tell how many values {name} has from its axis {last!r}")
+            number = str(width)
+    return Field("FORMAT" if call else "INFO", key, number, one, width, a.attrs.get("description"))
+
+
+class Store:
+    """A store's arrays and static values."""
+
+    def __init__(self, path: str, backend: str | None = None, options: dict | None = None, fields: Sequence[str] | None = None):
+        self.files = Files(path, backend, options)
+        found, self.attrs = arrays(self.files)
+        static = lambda n: found[n].whole(self.files) if n in found else None
+        text = lambda v: None if v is None else tuple(str(x) for x in v.tolist())
+        ids = text(static("sample_id")) or ()
+        self.real = [i for i, s in enumerate(ids) if s]  # a sample without a name does not exist
+        self.samples = tuple(ids[i] for i in self.real)
+        self.contigs, self.filters = text(static("contig_id")) or (), text(static("filter_id")) or ("PASS",)
+        self.texts, lengths = text(static("filter_description")), static("contig_length")
+        self.lengths = None if lengths is None else tuple(int(x) for x in lengths)
+        self.region_index = static("region_index")
+        axis = {n: a for n, a in found.items() if a.dims[:1] == ("variants",) and not n.endswith(("_mask", "_fill"))}
+        if not axis:
+            raise ValueError("no array has a variants axis")
+        calls = {n: a.chunks[0] for n, a in axis.items() if n.startswith("call_")}
+        if len(set(calls.values())) > 1:
+            raise ValueError(f"call arrays must share one variants chunk size: {calls}")
+        self.step = next(iter(calls.values())) if calls else math.gcd(*(a.chunks[0] for a in axis.values()))
+        if bad := [n for n, a in axis.items() if a.chunks[0] % self.step]:
+            raise ValueError(f"the variants chunk size of {bad[0]} is not a multiple of {self.step}")
+        self.fields = {n: _described(n, a) for n, a in axis.items() if n.startswith(("variant_", "call_")) and n.partition("_")[2] not in _RESERVED and n not in ("call_genotype", "call_genotype_phased")}
+        if fields is not None:
+            wanted = set(fields)
+            self.fields = {n: f for n, f in self.fields.items() if f.column in wanted or n in wanted or f"{f.category}/{f.key}" in wanted}
+            axis = {n: a for n, a in axis.items() if n in self.fields or n.partition("_")[2] in _RESERVED or (n in ("call_genotype", "call_genotype_phased") and "GT" in wanted)}
+        self.arrays = axis
+        self.rows = next(iter(axis.values())).shape[0]
+        self.span = max(a.chunks[0] for a in axis.values())
+
+    def schema(self) -> T.StructType:
+        text, many = T.StringType(), T.ArrayType
+        out = [("variant_index", T.LongType()), ("chrom", text), ("pos", T.LongType()), ("rlen", T.IntegerType()), ("id", text), ("ref", text), ("alts", many(text)), ("qual", T.FloatType()), ("filters", many(text))]
+        for n, f in self.fields.items():
+            kind = _kind(self.arrays[n])
+            kind = many(kind) if f.vector else kind
+            out.append((f.column, many(kind) if f.category == "FORMAT" else kind))
+        if "call_genotype" in self.arrays:
+            out.append(("gt", many(many(T.ByteType()))))
+        if "call_genotype_phased" in self.arrays:
+            out.append(("phased", many(T.BooleanType())))
+        return T.StructType([T.StructField(*x) for x in out])
+
+    def batch(self, a: int, b: int) -> pa.RecordBatch:
+        """Rows ``a`` to ``b`` in the model's columns."""
+        get = lambda n: self.arrays[n].rows(self.files, a, b) if n in self.arrays else None
+        n = b - a
+        alleles = get("variant_allele")
+        marks = get("variant_filter")
+        length, quality, ident = get("variant_length"), get("variant_quality"), get("variant_id")
+        out = {
+            "variant_index": np.arange(a, b), "chrom": pa.array(self.contigs).take(pa.array(get("variant_contig").astype(np.int64))), "pos": get("variant_position").astype(np.int64),
+            "rlen": np.array([len(x) for x in alleles[:, 0]]) if length is None else length, "id": pa.nulls(n, pa.string()) if ident is None else _flat(ident), "ref": pa.array(alleles[:, 0].tolist(), pa.string()),
+            "alts": _lists(alleles[:, 1:]), "qual": pa.nulls(n, pa.float32()) if quality is None else _flat(quality.astype(np.float32) if quality.dtype.itemsize != 4 and not is_missing(quality).any() else quality),
+            "filters": pa.array([["PASS"]] * n if marks is None else [[f for f, m in zip(self.filters, row, strict=True) if m] for row in marks], pa.list_(pa.string())),
+        }
+        for name, f in self.fields.items():
+            values = get(name)
+            if f.category == "FORMAT":
+                values = values[:, self.real]
+                flat = _lists(values.reshape(-1, values.shape[2])) if f.vector else _flat(values.reshape(-1))
+                out[f.column] = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(self.real), pa.int32()), flat)
+            else:
+                out[f.column] = _lists(values) if f.vector else _flat(values)
+        if "call_genotype" in self.arrays:
+            calls = get("call_genotype")[:, self.real]
+            out["gt"] = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(self.real), pa.int32()), _lists(calls.reshape(-1, calls.shape[2])))
+        if "call_genotype_phased" in self.arrays:
+            out["phased"] = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(self.real), pa.int32()), pa.array(get("call_genotype_phased")[:, self.real].reshape(-1)))
+        want = to_arrow_schema(self.schema())
+        return pa.RecordBatch.from_arrays([_cast(out[c.name], c.type) for c in want], schema=want)
+
+
+def _cast(values, kind: pa.DataType) -> pa.Array:
+    values = values if isinstance(values, pa.Array) else pa.array(values)
+    return values if values.type == kind else values.cast(kind)
+
+
+def _native(values: np.ndarray) -> np.ndarray:
+    values = values.astype(values.dtype.newbyteorder("="), copy=False)
+    return values.astype(np.float32) if values.dtype == np.float16 else values
+
+
+def _flat(values: np.ndarray) -> pa.Array:
+    """One-dimensional values, NULL where missing or padding; a flag is never missing."""
+    if values.dtype.kind == "b":
+        return pa.array(values)
+    if values.dtype.kind == "S":
+        values = np.char.decode(values, "utf-8")
+    none = is_missing(values) | is_fill(values)
+    if values.dtype.kind in "OU":
+        return pa.array([None if m else str(v) for v, m in zip(values.tolist(), none, strict=True)], pa.string())
+    return pa.array(_native(values), mask=none)
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    """Two-dimensional values as lists without the padding at their ends."""
+    if values.dtype.kind == "S":
+        values = np.char.decode(values, "utf-8")
+    rows, width = values.shape
+    if values.dtype.kind == "b":
+        return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * width, pa.int32()), pa.array(values.reshape(-1)))
+    real = ~is_fill(values)
+    size = np.where(real.any(axis=1), width - real[:, ::-1].argmax(axis=1), 0) if width else np.zeros(rows, int)
+    keep = np.arange(width)[None, :] < size[:, None]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), _flat(values[keep]))
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, store: Store):
+        self.store = store
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition((a, min(a + self.store.span, self.store.rows))) for a in range(0, self.store.rows, self.store.span)] or [InputPartition((0, 0))]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        first, last = partition.value
+        for a in range(first, last, self.store.step):
+            yield self.store.batch(a, min(a + self.store.step, last))
+
+
+class VczDataSource(DataSource):
+    """``spark.read.format("vcz").load(path)``; options ``backend`` and ``fields`` (comma list)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "vcz"
+
+    def _store(self) -> Store:
+        options = dict(self.options)
+        fields = options.pop("fields", None)
+        return Store(options.pop("path"), options.pop("backend", None), options, None if fields is None else fields.split(","))
+
+    def schema(self) -> T.StructType:
+        return self._store().schema()
+
+    def reader(self, schema: T.StructType) -> _Reader:
+        return _Reader(self._store())
+
+
+def read(spark: SparkSession, path: str, backend: str | None = None, options: dict | None = None, fields: Sequence[str] | None = None) -> VariantSet:
+    """A store as a variant set. ``fields``: the INFO and FORMAT fields (and ``GT``) to read; None: all."""
+    store = Store(path, backend, options, fields)
+    spark.dataSource.register(VczDataSource)
+    reader = spark.read.format("vcz").options(**{k: str(v) for k, v in (options or {}).items()})
+    reader = reader.option("backend", backend) if backend else reader
+    df = (reader if fields is None else reader.option("fields", ",".join(fields))).load(str(path))
+    gt = store.arrays.get("call_genotype")
+    meta = tuple((str(k), str(v)) for k, v in store.attrs.get("vcf_meta_information", ()))
+    return VariantSet(
+        df, store.samples, store.contigs, store.filters, tuple(store.fields.values()), store.lengths, store.texts, store.attrs.get("source"), meta,
+        max_alleles=store.arrays["variant_allele"].shape[1], ploidy=2 if gt is None else gt.shape[2],
+    )
