@@ -10,6 +10,7 @@ import sys
 from collections.abc import Callable
 from dataclasses import dataclass, field, fields
 
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from locuspark.model import VariantSet
@@ -340,7 +341,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except UsageError as e:
         print(f"usage: {e}", file=sys.stderr)
         return 2
-    except (ValueError, NotImplementedError, OSError) as e:
+    except (ValueError, NotImplementedError, OSError, PySparkException) as e:
         print(f"Error: {e}", file=sys.stderr)
         return 1
     return 0

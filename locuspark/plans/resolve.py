@@ -136,19 +136,20 @@ def project(vs: VariantSet, fields: list[str] | None = None) -> DataFrame:
     out = result(vs)
     if fields is None:
         fields = [*FIXED, *(f"{f.category}/{f.key}" for f in vs.fields), *(["GT"] if vs.has_genotypes else [])]
-    cols = [F.col("variant_index")] if "variant_index" not in fields else []
+    cols: dict[str, Column] = {} if "variant_index" in fields else {"variant_index": F.col("variant_index")}
     for name in fields:
         prefix, _, key = name.rpartition("/")
         if name == "variant_index":
-            cols.append(F.col(name))
+            cols[name] = F.col(name)
         elif key == "GT":
-            cols += [vs.call("gt").alias("gt"), vs.call("phased").alias("phased")] if "phased" in vs.df.columns else [vs.call("gt").alias("gt")]
+            cols |= {c: vs.call(c) for c in ("gt", "phased") if c in vs.df.columns}
         elif name in FIXED:
-            cols.append(F.col(FIXED[name]))
+            cols[FIXED[name]] = F.col(FIXED[name])
         elif prefix in ("FORMAT", "FMT") and (own := vs.stored("FORMAT", key)):
-            cols.append(vs.call(own.column).alias(own.column))
+            cols[own.column] = vs.call(own.column)
         elif (own := info(vs, key)) is not None:
-            cols.append(own[0].alias(own[1].column))
+            cols[own[1].column] = own[0]
         else:
             raise KeyError(name)
-    return out.df.select(*cols)
+    # Named in a second step: inside lambdas a name would mean the new column of that name, not the stored one.
+    return out.df.select(*[c.alias(f"_{k}") for k, c in enumerate(cols.values())]).toDF(*cols)

@@ -173,7 +173,7 @@ class ChunkedArray:
         """Rows ``a`` to ``b`` of the first axis, the other axes whole."""
         step = self.chunks[0]
         grids = [range(-(-s // c)) for s, c in zip(self.shape[1:], self.chunks[1:], strict=True)]
-        out = np.empty((b - a, *self.shape[1:]), object if self.strings else self.dtype)
+        out = np.empty((b - a, *self.shape[1:]), object if self.strings else self.dtype.newbyteorder("="))
         for i in range(a // step, -(-b // step)):
             low, high = max(a, i * step), min(b, (i + 1) * step)
             for rest in itertools.product(*grids):
@@ -183,7 +183,7 @@ class ChunkedArray:
         return out
 
     def whole(self, files: Files) -> np.ndarray:
-        return self.rows(files, 0, self.shape[0]) if self.shape else self.chunk(files, ())
+        return self.rows(files, 0, self.shape[0])
 
 
 def _joined_key(index: tuple[int, ...]) -> str:

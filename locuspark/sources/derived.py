@@ -45,7 +45,7 @@ def derived(spark: SparkSession, sf_dir: str, stored_an: bool = False) -> Varian
         each("if((o_orderkey * 11 + i * 5) % 23 = 0, null, cast((o_orderkey * 7 + i * 29) % 100 as int))").alias("fmt_GQ"),
     )
     top = orders.agg(F.max("o_orderkey")).first()[0]
-    contigs = tuple(f"c{c}" for c in range((top or 0) // PER_CONTIG + 1))
+    contigs = tuple(f"c{c}" for c in range(max(8, (top or 0) // PER_CONTIG + 1)))  # a header may name more than there are
     fields = [Field("INFO", "DP", description="Total depth"), Field("INFO", "XA", "A", width=3), Field("INFO", "XP", "2", width=2), Field("INFO", "DB", "0", "Flag"), Field("FORMAT", "DP"), Field("FORMAT", "GQ")]
     if stored_an:
         fields.append(Field("INFO", "AN"))
