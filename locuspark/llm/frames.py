@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="locuspark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="locuspark-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -54,8 +56,6 @@ def slices(it: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE
         if batch.num_rows == 0:
             continue
         wide = pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)
-        import numpy as np
-
         off = np.frombuffer(col.buffers()[1], dtype=np.int64 if wide else np.int32)[col.offset : col.offset + len(col) + 1]
         at = 0
         while at < batch.num_rows:
