@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locuspark.llm import features
-from locuspark.llm.frames import columns, held_out, map_text
+from locuspark.llm.frames import columns, held_out, map_text, unused
 from locuspark.llm.models import FactorizationMachine, NaiveBayesSupportVectors
 
 DIMS = 1 << 18
@@ -90,6 +90,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, per_cla
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, per_class: int = PER_CLASS) -> DataFrame:
-    """The rows of ``docs`` that the quality model accepts, with all their columns."""
+    """The rows of ``docs`` that the quality model accepts, with all their columns.
+
+    Null and empty texts get the score of a text without features; repeated
+    rows stay or go together.
+    """
     model = quality_model(docs, labels, per_class=per_class)
-    return with_score(docs, model, features.style, "_quality_score", tuple(docs.columns), threshold).select(*docs.columns)
+    return columns(with_score(docs, model, features.style, unused(docs, "score"), tuple(docs.columns), threshold), *docs.columns)

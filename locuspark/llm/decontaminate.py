@@ -20,9 +20,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from locuspark.llm.frames import columns, map_text
+from locuspark.llm.frames import columns, map_text, schema_of
 from locuspark.llm.tokens import Runs, U, combine, raw
 
 WINDOW, SHARE = 20, 0.8
@@ -128,12 +127,13 @@ def blocks(benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, mos
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, most: int = BLOCK) -> DataFrame:
-    """One row per document and item that overlap: ``doc_id, item_id, n_matched, n_window, char_start, char_end, share``.
+    """One row per document and item that overlap: ``doc_id, item_id, n_matched, n_window, byte_start, byte_end, share``.
 
     n_matched counts agreeing tokens over the whole item on the best diagonal,
-    share is that over the item's tokens; the span covers its passing windows, in bytes of the UTF-8
-    text. Null, empty and very short texts match nothing, an empty benchmark
-    gives an empty table, repeated rows come back repeated.
+    share is that over the item's tokens; the span covers its passing windows,
+    in bytes of the UTF-8 text. Null, empty and very short texts match nothing,
+    an empty benchmark gives an empty table, repeated rows come back repeated;
+    repeated items count once, items without an id or a text not at all.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, n_matched int, n_window int, byte_start int, byte_end int, share double"
@@ -158,8 +158,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, most: int = BLOCK) -> DataFrame:
-    """The rows of ``docs`` that no test item contaminates, with all their columns."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    """The rows of ``docs`` that no test item contaminates, with all their columns; null and empty texts stay."""
+    schema = schema_of(docs)
     for index in blocks(benchmark, window, share, most):
 
         def fn(batch: pa.RecordBatch, index: Index = index) -> dict:
@@ -170,6 +170,3 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
         docs = map_text(docs, fn, schema)
     return docs
-
-
-__all__ = ["F", "Index", "blocks", "contaminated", "decontaminated", "seeds_for"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from locuspark.llm.tokens import MARK, Runs, U, combine, mixed, ngrams, raw, tables
+from locuspark.llm.tokens import Runs, U, combine, mixed, ngrams, raw
 
 
 def _distinct(idx: list[np.ndarray], doc: list[np.ndarray], n_docs: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,6 +58,3 @@ def terms(col: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
         idx.append(combine([h], 10 + n))
         doc.append(runs.doc[own])
     return _distinct(idx, doc, len(col), dims)
-
-
-__all__ = ["MARK", "style", "tables", "terms"]

@@ -71,14 +71,15 @@ def map_text(df: DataFrame, fn: Callable, schema: str, column: str = "text") ->
     from pyspark.sql.types import StructType
 
     want = to_arrow_schema(StructType.fromDDL(schema))
+    names = df.columns
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(it, column):
+        for batch in slices((pa.RecordBatch.from_arrays(b.columns, names=names) for b in it), column):
             out = fn(batch)
             if out is not None:
                 yield pa.RecordBatch.from_arrays([_arrow(out[f.name], f.type) for f in want], schema=want)
 
-    return df.mapInArrow(run, schema)
+    return df.toDF(*[f"c{k}" for k in range(len(names))]).mapInArrow(run, schema)  # any names are allowed in between
 
 
 def _arrow(values, kind: pa.DataType) -> pa.Array:
@@ -93,7 +94,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """Only ``names`` of ``df``; columns that merely clash with ours are left behind."""
-    return df.select(*[df[n] for n in names])
+    return df.select(*[df[f"`{n}`"] for n in names])
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def schema_of(df: DataFrame) -> str:
+    """The columns of ``df`` as a schema text."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
 def held_out(doc_id: str = "doc_id"):

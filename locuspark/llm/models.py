@@ -95,8 +95,8 @@ class FactorizationMachine:
     weights start at those log-odds, shrunk, and are then learned.
     """
 
-    def __init__(self, dims: int, factors: int = 4, rate: float = 0.1, l2: float = 1e-4, pair: float = 0.1, l2v: float = 1e-3, epochs: int = 25, batch: int = 64, power: float = 0.5, terms: int = 4096, least: int = 5, seed: int = 11):
-        self.dims, self.factors, self.rate, self.l2, self.epochs, self.batch, self.power, self.terms, self.least = dims, factors, rate, l2, epochs, batch, power, terms, least
+    def __init__(self, dims: int, factors: int = 4, rate: float = 0.1, l2: float = 1e-4, pair: float = 0.1, l2v: float = 1e-3, epochs: int = 25, batch: int = 64, power: float = 0.5, terms: int = 4096, common: int = 0, least: int = 5, seed: int = 11):
+        self.dims, self.factors, self.rate, self.l2, self.epochs, self.batch, self.power, self.terms, self.common, self.least = dims, factors, rate, l2, epochs, batch, power, terms, common, least
         self.pair, self.l2v = pair, l2v
         self.place = np.full(dims, -1, np.int32)
         self.rng = np.random.default_rng(seed)
@@ -121,7 +121,12 @@ class FactorizationMachine:
         z = odds / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
         z[pos + neg < self.least] = 0
         best = np.argsort(-np.abs(z), kind="stable")[: self.terms]
-        best = np.sort(best[np.abs(z[best]) > 2])
+        best = best[np.abs(z[best]) > 2]
+        # Terms that say nothing alone may in pairs: the ``common`` most frequent ones are kept too.
+        often = np.where(pos + neg >= self.least, pos + neg, 0)
+        often[best] = 0
+        more = np.argsort(-often, kind="stable")[: self.common]
+        best = np.sort(np.concatenate([best, more[often[more] > 0]]))
         self.place[best] = np.arange(len(best))
         return odds[best]
 

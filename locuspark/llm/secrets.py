@@ -4,19 +4,21 @@ Beside the pattern spans, every long token near a sensitive word is a
 candidate. Its novelty is the number of bytes by which a zstandard frame grows
 when the candidate follows its surroundings, with a compressor primed by an
 identifier dictionary and by those surroundings: names, prose and repeated
-material cost little, random strings cost nearly their entropy. Candidates
-whose marginal bytes reach ``NOVELTY`` of their length are reported.
+material cost little, random strings cost all that their characters can cost.
+Candidates whose marginal bytes reach ``NOVELTY`` of that are reported.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from locuspark.llm.frames import columns, map_text
+from locuspark.llm.frames import columns, map_text, schema_of
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -26,8 +28,10 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 SENSITIVE = re.compile(r"passw|secret|token|api[_-]?key|access[_-]?key|private|credential|auth|bearer|signature|AKIA", re.IGNORECASE | re.ASCII)
 #: Characters before a candidate that must hold a sensitive word, and of its surroundings.
 NEAR, AROUND = 80, 1024
-#: Marginal bytes per character from which a candidate is reported (hex digits cost 0.5, base64 0.75).
-NOVELTY = 0.45
+#: Share of a candidate's full cost from which it is reported.
+NOVELTY = 0.8
+#: From this length on the compressor codes characters by their frequency; shorter strings cost a byte each.
+CODED = 56
 
 _NAMES = """password passwd secret token api_key apikey access_key private_key client_secret authorization bearer credential
 username user_id session_id request_id response content_type application json config settings environment variable default
@@ -57,6 +61,14 @@ def marginal_bytes(candidate: str, around: str, names: str = _NAMES) -> int:
     return len(small.compress(tail + candidate.encode())) - len(small.compress(tail))
 
 
+def full_cost(candidate: str) -> float:
+    """Bytes that ``candidate`` costs if nothing of it is known."""
+    n = len(candidate)
+    if n < CODED:
+        return n
+    return sum(-k * math.log2(k / n) for k in Counter(candidate).values()) / 8
+
+
 def novel_spans(text: str, known: list[tuple[str, int, int]], novelty: float = NOVELTY) -> list[tuple[str, int, int]]:
     """Candidates of high novelty that no pattern covers wholly."""
     out = []
@@ -67,7 +79,7 @@ def novel_spans(text: str, known: list[tuple[str, int, int]], novelty: float = N
             continue
         if any(s <= a and b <= e for _, s, e in known):
             continue
-        if marginal_bytes(token, text[max(0, a - AROUND) : a] + " " + text[b : b + AROUND]) >= novelty * len(token):
+        if marginal_bytes(token, text[max(0, a - AROUND) : a] + " " + text[b : b + AROUND]) >= novelty * full_cost(token):
             out.append(("novel", a, b))
     return out
 
@@ -123,7 +135,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def without_secrets(docs: DataFrame) -> DataFrame:
-    """``docs`` with secrets redacted and ``n_chars``, if there, counted anew."""
+    """``docs`` with secrets redacted and ``n_chars``, if there, counted anew; null texts stay null, every row stays."""
     names = docs.columns
 
     def fn(batch: pa.RecordBatch) -> dict:
@@ -133,4 +145,4 @@ def without_secrets(docs: DataFrame) -> DataFrame:
             out["n_chars"] = [None if t is None else len(t) for t in texts]
         return out
 
-    return map_text(docs, fn, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    return map_text(docs, fn, schema_of(docs))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locuspark.llm.components import components
-from locuspark.llm.frames import columns, map_text, partitions, written
+from locuspark.llm.frames import columns, map_text, partitions, unused, written
 
 RADIUS = 4
 #: Distinct fingerprints of a bucket that one task compares with each other.
@@ -234,7 +234,18 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, most: int = MOST) ->
 
 
 def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names its component; a null doc_id is its own document and stays."""
+    """One row of ``docs`` for each component: the one whose doc_id names it.
+
+    A null doc_id is its own document and stays. Rows that share a doc_id are
+    one document: of several that would stay, the least row does.
+    """
     found = near_duplicates(docs, radius).select("doc_id", "component_id")
     gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    key = unused(docs, "_id")  # so that no other column clashes
+    stay = docs.join(gone.withColumnRenamed("doc_id", key), docs["doc_id"] == F.col(key), "left_anti")
+    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(key))
+    if again.isEmpty():
+        return stay
+    repeated = stay.join(again, stay["doc_id"] == F.col(key), "left_semi")
+    least = repeated.groupBy("doc_id").agg(F.min(F.struct(*[repeated[f"`{c}`"] for c in docs.columns])).alias(key)).select(f"{key}.*")
+    return stay.join(again, stay["doc_id"] == F.col(key), "left_anti").unionByName(least)
