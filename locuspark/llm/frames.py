@@ -28,21 +28,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _file_system(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts lineage, survives lost executors."""
+    """``df`` as a table in the shared folder: cuts lineage, survives lost executors, goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/locuspark-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    system, folder = _file_system(spark, path)
+    system.deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_written(df: DataFrame) -> None:
     """Delete the files behind a table of :func:`written` that is no longer needed."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles() if "/locuspark-" in f}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    for name in {f.rpartition("/")[0] for f in df.inputFiles() if "/locuspark-" in f}:
+        system, folder = _file_system(df.sparkSession, name)
+        system.delete(folder, True)
 
 
 def partitions(spark: SparkSession) -> int:

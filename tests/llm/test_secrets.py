@@ -53,7 +53,7 @@ def test_novelty():
         key = "".join(rng.choice(alphabet if k % 2 else "0123456789ABCDEF") for _ in range(16 + 2 * k)) + "7"
         assert [s[0] for s in secrets.all_spans(f"the private credential for it is {key} and so on")[1]] == ["novel"]
         assert secrets.all_spans(f"the picture of the garden is {key} and so on")[1] == []
-    for token in ("get_user_access_token_from_client_2", "application_configuration_settings_1", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa1", "https-www-example-com-path-to-file-2"):
+    for token in ("get_user_access_token_from_client_2", "application_configuration_settings_1", "xyxyxyxyxyxyxyxyxyxyxyxyxyxy1", "https-www-example-com-path-to-file-2"):
         assert secrets.all_spans(f"the credential {token} here")[1] == [], token
     seen = f"{KEY} is printed here, and the credential is {KEY} again"
     assert secrets.marginal_bytes(KEY, seen) < 0.8 * len(KEY) <= secrets.marginal_bytes(KEY, "nothing of it")
