@@ -6,6 +6,9 @@ FORMAT field (``fmt_X``, an array with one element a sample), and ``gt``
 (``array<array<tinyint>>``) with ``phased``. Missing is NULL; a padding slot
 does not exist, so vectors are as long as their data. A field's declared width
 lives in its metadata.
+
+For cohorts of many samples call columns can be cut into blocks of samples
+(``gt__0``, ``gt__1``, ...): a few samples then read a few blocks only.
 """
 
 from __future__ import annotations
@@ -15,8 +18,9 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from locuspark.functions.binding import numbers
+from locuspark.functions.binding import let, numbers
 
 #: Fixed columns by their name in expressions and formats.
 FIXED = {"POS": "pos", "ID": "id", "QUAL": "qual", "CHROM": "chrom", "FILTER": "filters", "REF": "ref", "ALT": "alts"}
@@ -58,6 +62,8 @@ class VariantSet:
     max_alleles: int = 2
     max_rlen: int = 1 << 30
     ploidy: int = 2
+    #: Samples of a block of the call columns; None: each column has all of them.
+    block: int | None = None
     #: Positions of the selected samples in the cohort, in order; None: all.
     chosen: tuple[int, ...] | None = None
     #: (text or callable, is exclusion) of each filter, joined by AND.
@@ -75,7 +81,19 @@ class VariantSet:
 
     @property
     def has_genotypes(self) -> bool:
-        return "gt" in self.df.columns
+        return self.has("gt")
+
+    @property
+    def num_samples(self) -> int:
+        return len(self.sample_ids)
+
+    def has(self, name: str) -> bool:
+        """Whether there is a call column of this name, whole or in blocks."""
+        return (name if self.block is None else f"{name}__0") in self.df.columns
+
+    def kind(self, name: str) -> T.DataType:
+        """The type of a stored column, whole or in blocks."""
+        return self.df.schema[name if name in self.df.columns else f"{name}__0"].dataType
 
     @property
     def subset(self) -> bool:
@@ -158,11 +176,22 @@ class VariantSet:
     # --- columns ----------------------------------------------------------------
     def call(self, name: str, whole_cohort: bool = False) -> Column:
         """A call column for the selected samples, in their order."""
-        if self.chosen is None or whole_cohort:
-            return F.col(name)
-        if not self.chosen:
-            return F.slice(F.col(name), 1, 0)
-        return F.transform(numbers(self.chosen), lambda i: F.get(F.col(name), i))
+        n = len(self.samples)
+        chosen = tuple(range(n)) if self.chosen is None or whole_cohort else self.chosen
+        everyone = chosen == tuple(range(n))
+        if self.block is None:
+            if everyone:
+                return F.col(name)
+            if not chosen:
+                return F.slice(F.col(name), 1, 0)
+            return F.transform(numbers(chosen), lambda i: F.get(F.col(name), i))
+        if everyone:
+            return F.concat(*[F.col(f"{name}__{k}") for k in range(-(-n // self.block))])
+        used = sorted({i // self.block for i in chosen}) or [0]
+        # The blocks in use side by side, each as long as a full one.
+        place = {b: k * self.block for k, b in enumerate(used)}
+        wide = F.concat(*[F.col(f"{name}__{b}") for b in used])
+        return let(wide, lambda own: F.transform(numbers([place[i // self.block] + i % self.block for i in chosen]), lambda i: F.get(own, i)))
 
     # --- results ----------------------------------------------------------------
     def result(self) -> DataFrame:

@@ -59,7 +59,7 @@ def _joined(parts: Column, sep: str = ",") -> Column:
     return let(parts, lambda own: F.when(F.forall(own, lambda x: x.isNull()), ".").otherwise(F.array_join(F.transform(own, lambda x: F.coalesce(x, F.lit("."))), sep)))
 
 
-def _site(vs: VariantSet, df: DataFrame, tag: str) -> tuple[Column, bool]:
+def _site(vs: VariantSet, tag: str) -> tuple[Column, bool]:
     """Text (or array of texts) of a site-level tag, NULL where missing; whether it is an array."""
     prefix, _, key = tag.rpartition("/")
     if not prefix and key in FIXED:
@@ -72,21 +72,21 @@ def _site(vs: VariantSet, df: DataFrame, tag: str) -> tuple[Column, bool]:
         if prefix != "INFO" and (vs.stored("FORMAT", key) or key in ("GT", "SAMPLE")):
             raise ValueError(f'no such tag defined: INFO/{key}. FORMAT fields must be enclosed in square brackets, e.g. "[ %{key}]"')
         raise ValueError(f"No mapping found for '{tag}'")
-    kind = df.schema[own.column].dataType
+    kind = vs.kind(own.column)
     return text_.texts(F.col(own.column), kind), isinstance(kind, T.ArrayType)
 
 
-def _tag(vs: VariantSet, df: DataFrame, tag: str, index: int | None) -> Column:
+def _tag(vs: VariantSet, tag: str, index: int | None) -> Column:
     if tag in ("GT", "SAMPLE"):
         raise ValueError(f'no such tag defined: INFO/{tag}. FORMAT fields must be enclosed in square brackets, e.g. "[ %{tag}]"')
-    col, many = _site(vs, df, tag)
+    col, many = _site(vs, tag)
     if index is not None:
         one = F.get(col, F.lit(index)) if many else (F.get(F.split(col, ""), F.lit(index)))
         return F.coalesce(one, F.lit("."))
     return _joined(col, ";" if tag == "FILTER" else ",") if many else F.coalesce(col, F.lit("."))
 
 
-def _in_loop(vs: VariantSet, df: DataFrame, tag: str, index: int | None) -> tuple[Column, bool]:
+def _in_loop(vs: VariantSet, tag: str, index: int | None) -> tuple[Column, bool]:
     """Text of a tag inside a loop, and whether it is an array over samples."""
     prefix, _, key = tag.rpartition("/")
     if index is not None:
@@ -94,25 +94,25 @@ def _in_loop(vs: VariantSet, df: DataFrame, tag: str, index: int | None) -> tupl
     if tag == "SAMPLE":
         return names(vs.sample_ids), True
     if key == "GT" and prefix != "INFO":
-        if "phased" not in df.columns:
+        if not vs.has("phased"):
             raise NotImplementedError("genotypes without phase")
         return F.zip_with(vs.call("gt"), vs.call("phased"), genotype_text), True
     own = vs.stored("FORMAT", key) if prefix != "INFO" else None
     if own is None:
-        col, many = _site(vs, df, tag)
+        col, many = _site(vs, tag)
         return (_joined(col, ";" if tag == "FILTER" else ",") if many else F.coalesce(col, F.lit("."))), False
-    kind = df.schema[own.column].dataType.elementType
+    kind = vs.kind(own.column).elementType
     parts = text_.texts(vs.call(own.column), T.ArrayType(kind))
     if isinstance(kind, T.ArrayType):
         return F.transform(parts, lambda v: F.when(v.isNull() | (F.size(v) == 0), ".").otherwise(F.array_join(F.transform(v, lambda x: F.coalesce(x, F.lit("."))), ","))), True
     return F.transform(parts, lambda x: F.coalesce(x, F.lit("."))), True
 
 
-def _loop(vs: VariantSet, df: DataFrame, parts: list, cells: str | None) -> Column:
+def _loop(vs: VariantSet, parts: list, cells: str | None) -> Column:
     """The text of a loop: parts over samples are zipped, the others bound once."""
     if not vs.sample_ids:
         return F.lit("")
-    made = [(F.lit(p), False) if isinstance(p, str) else _in_loop(vs, df, *p) for p in parts]
+    made = [(F.lit(p), False) if isinstance(p, str) else _in_loop(vs, *p) for p in parts]
     places = F.sequence(F.lit(0), F.lit(len(vs.sample_ids) - 1)).alias("at")
     zipped = F.arrays_zip(places, *([F.col(cells).alias("in")] if cells else []), *[c.alias(f"p{k}") for k, (c, many) in enumerate(made) if many])
     if cells:
@@ -133,5 +133,5 @@ def formatted(vs: VariantSet, text: str, newline: bool = True) -> DataFrame:
     if newline and "\\n" not in text:
         text += "\\n"
     out = result(vs)
-    cols = [F.lit(p) if isinstance(p, str) else _loop(vs, out.df, p, out.cells) if isinstance(p, list) else _tag(vs, out.df, *p) for p in parse(text)]
+    cols = [F.lit(p) if isinstance(p, str) else _loop(vs, p, out.cells) if isinstance(p, list) else _tag(vs, *p) for p in parse(text)]
     return out.df.select("variant_index", F.concat(*cols).alias("text"))

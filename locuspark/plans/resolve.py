@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -127,7 +127,7 @@ def result(vs: VariantSet) -> Result:
         return Result(vs.df.where(m.col))
     df = vs.df.withColumn("_cells", m.col).where(F.exists("_cells", lambda x: x))
     if vs.view and vs.chosen is not None:
-        df = df.withColumn("_cells", vs.call("_cells"))
+        df = df.withColumn("_cells", replace(vs, block=None).call("_cells"))
     return Result(df, "_cells")
 
 
@@ -142,7 +142,7 @@ def project(vs: VariantSet, fields: list[str] | None = None) -> DataFrame:
         if name == "variant_index":
             cols[name] = F.col(name)
         elif key == "GT":
-            cols |= {c: vs.call(c) for c in ("gt", "phased") if c in vs.df.columns}
+            cols |= {c: vs.call(c) for c in ("gt", "phased") if vs.has(c)}
         elif name in FIXED:
             cols[FIXED[name]] = F.col(FIXED[name])
         elif prefix in ("FORMAT", "FMT") and (own := vs.stored("FORMAT", key)):

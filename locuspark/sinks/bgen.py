@@ -132,7 +132,7 @@ def blocks(vs: VariantSet, layout: Layout = Layout()) -> DataFrame:  # noqa: B00
     """``variant_index, chrom, pos, rsid, ref, alt, mixed, block`` in no order; mixed: its samples differ in phase."""
     n, uniform = len(vs.sample_ids), vs.ploidy
     df = result(vs).df
-    phased = F.lit(None).cast("array<boolean>") if layout.unphased or "phased" not in df.columns else vs.call("phased")
+    phased = F.lit(None).cast("array<boolean>") if layout.unphased or not vs.has("phased") else vs.call("phased")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:

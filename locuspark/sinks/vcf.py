@@ -65,8 +65,8 @@ def header(vs: VariantSet, extra: Sequence[str] = (), version: bool = True, comm
 
 def _type(vs: VariantSet, field: Field) -> T.DataType:
     """The type of one value: that of the stored column, or of the computed one."""
-    if field.column in vs.df.columns:
-        kind = vs.df.schema[field.column].dataType
+    if field.column in vs.df.columns or vs.has(field.column):
+        kind = vs.kind(field.column)
         while isinstance(kind, T.ArrayType):
             kind = kind.elementType
     else:
@@ -95,7 +95,7 @@ def format_text(vs: VariantSet) -> list[Column]:
     made: list[tuple[str, Column, Column]] = []
     if vs.has_genotypes:
         gt = vs.call("gt")
-        pair = F.zip_with(gt, vs.call("phased"), genotype_text) if "phased" in vs.df.columns else F.transform(gt, lambda g: genotype_text(g, F.lit(False)))
+        pair = F.zip_with(gt, vs.call("phased"), genotype_text) if vs.has("phased") else F.transform(gt, lambda g: genotype_text(g, F.lit(False)))
         made.append(("GT", F.exists(gt, lambda g: F.exists(g, lambda a: a.isNotNull())), pair))
     made += [_format_field(vs, f) for f in sorted((f for f in vs.fields if f.category == "FORMAT"), key=lambda f: f.key)]
     if not made:

@@ -3,18 +3,34 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict
+from dataclasses import asdict, replace
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from locuspark.model import Field, VariantSet
 
-_KEPT = ("samples", "contigs", "filters", "contig_lengths", "filter_descriptions", "source", "meta", "max_alleles", "max_rlen", "ploidy")
+_KEPT = ("samples", "contigs", "filters", "contig_lengths", "filter_descriptions", "source", "meta", "max_alleles", "max_rlen", "ploidy", "block")
+#: Samples above which call columns are cut into blocks, and samples of a block.
+MANY, BLOCK = 2000, 1000
 
 
-def write(vs: VariantSet, path: str) -> None:
-    """Rows range-partitioned and sorted by variant_index, so that row groups prune by position."""
+def blocked(vs: VariantSet, size: int) -> VariantSet:
+    """The call columns cut into blocks of ``size`` samples."""
+    names = [c for c in vs.df.columns if c in ("gt", "phased") or c.startswith("fmt_")]
+    if vs.block is not None or not names:
+        return vs
+    cut = {f"{c}__{k}": F.slice(F.col(c), k * size + 1, size) for c in names for k in range(-(-len(vs.samples) // size))}
+    return replace(vs, df=vs.df.select(*[c for c in vs.df.columns if c not in names], *[v.alias(c) for c, v in cut.items()]), block=size)
+
+
+def write(vs: VariantSet, path: str, block: int | None = None) -> None:
+    """Rows range-partitioned and sorted by variant_index, so that row groups prune by position.
+
+    ``block``: samples of a block of the call columns (0: never cut; None: where there are many samples).
+    """
+    if block or (block is None and len(vs.samples) > MANY):
+        vs = blocked(vs, block or BLOCK)
     spark = vs.df.sparkSession
     vs.df.repartitionByRange("variant_index").sortWithinPartitions("variant_index").write.mode("overwrite").parquet(f"{path}/variants")
     about = {k: getattr(vs, k) for k in _KEPT} | {"fields": [asdict(f) for f in vs.fields]}
