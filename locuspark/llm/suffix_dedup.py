@@ -22,6 +22,12 @@ hence:
    dealt out as single windows by window hash instead, so that no group has to
    fit into one task.
 3. Covered windows return to their documents.
+
+A gram that very many different contexts share would fill one task. Such hot
+grams are found beforehand in a sample of ``SAMPLE`` documents (those with
+``HOT`` contexts there, a share of about 0.15 %), and their contexts are cut into
+single windows, each with a hash of its own in place of the gram. Whichever grams
+are chosen, equal windows go the same way, so the result does not depend on it.
 """
 
 from __future__ import annotations
@@ -41,6 +47,8 @@ from locuspark.llm.tokens import U, mixed, powers, raw
 LENGTH, GRAM = 50, 20
 #: Different contexts of a gram up to which they are compared in one task.
 CROWD = 4096
+#: Documents of the sample that hot grams are looked for in, and different contexts there that make a gram hot.
+SAMPLE, HOT = 8192, 12
 #: Contexts gathered before a batch of them is dealt out; bytes that are ordered at once.
 BATCH, CHUNK = 400_000, 400_000
 COVERED, ASKS, GIVES, ASKS_APART, GIVES_APART = range(5)
@@ -50,7 +58,7 @@ SIX = U((1 << 48) - 1)
 class Contexts:
     """Contexts of a slice: document, first and last window, gram hash, context hash."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, length: int, gram: int):
+    def __init__(self, data: np.ndarray, off: np.ndarray, length: int, gram: int, hot: np.ndarray | None = None):
         n, w = len(data), length - gram + 1
         self.data, self.off, self.length = data, off, length
         none = np.zeros(0, np.int64)
@@ -79,14 +87,28 @@ class Contexts:
         last[:-1] &= ~whole[1:] | new[1:]
         self.lo, self.hi = np.flatnonzero(new), np.flatnonzero(last)
         place = at[self.lo]
-        self.doc = np.searchsorted(off, self.lo, "right") - 1
         self.gram = grams[place]
         with np.errstate(over="ignore"):
             self.hash = mixed((self.sums[self.hi + length] - self.sums[self.lo]) * down[self.lo] ^ ((self.hi - self.lo).astype(U) << U(32)) ^ (place - self.lo).astype(U))
+        if hot is not None and len(hot):
+            self._cut(hot)
+        self.doc = np.searchsorted(off, self.lo, "right") - 1
         first = np.searchsorted(self.doc, np.arange(len(off) - 1))
         self.ordinal = np.arange(len(self.doc)) - first[self.doc]
         self.first = first
 
+    def _cut(self, hot: np.ndarray) -> None:
+        """Contexts of hot grams as single windows, in their order."""
+        apart = hot[np.minimum(np.searchsorted(hot, self.gram), len(hot) - 1)] == self.gram
+        size = np.where(apart, self.hi - self.lo + 1, 1)
+        of = np.repeat(np.arange(len(size)), size)
+        single = apart[of]
+        lo = _ragged(self.lo, size)
+        own = self.windows(lo[single])
+        self.lo, self.hi = lo, np.where(single, lo, self.hi[of])
+        self.gram, self.hash = self.gram[of], self.hash[of]
+        self.gram[single], self.hash[single] = own, mixed(own ^ U(0x5851F42D4C957F2D))
+
     def windows(self, lo: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return mixed((self.sums[lo + self.length] - self.sums[lo]) * self.down[lo])
@@ -144,7 +166,22 @@ def _by_document(doc: np.ndarray, sub: np.ndarray, code: np.ndarray) -> Iterator
     yield pa.RecordBatch.from_arrays([pa.array(doc[at[:-1]]), pa.array(sub[at[:-1]].astype(np.int32)), pa.array([code[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["doc_id", "sub", "payload"])
 
 
-def _deal(length: int, gram: int, buckets: int):
+def hot_grams(texts: DataFrame, length: int, gram: int, sample: int, least: int) -> np.ndarray:
+    """Gram hashes with at least ``least`` different contexts in about ``sample`` of the ``texts``, sorted."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(it, most=1 << 20):
+            c = Contexts(*raw(batch.column("text")), length, gram)
+            pair = np.unique(np.stack([c.gram, c.hash]), axis=1) if len(c.gram) else np.zeros((2, 0), U)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[0].view(np.int64)), pa.array(pair[1].view(np.int64))], names=["gram", "hash"])
+
+    some = texts.where("doc_id is not null and text is not null").select("text")
+    share = min(1.0, sample / max(1, some.count()))
+    found = some.sample(share, 29).mapInArrow(run, "gram long, hash long").distinct().groupBy("gram").count().where(F.col("count") >= least)
+    return np.sort(np.array([r["gram"] for r in found.select("gram").collect()], np.int64).view(U))  # bounded by the sample
+
+
+def _deal(length: int, gram: int, buckets: int, hot: np.ndarray):
     """Texts to packed contexts by bucket; what a batch settles by itself goes along with kind 1."""
 
     def send(parts: list) -> Iterator[pa.RecordBatch]:
@@ -167,7 +204,7 @@ def _deal(length: int, gram: int, buckets: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, n = [], 0
         for batch in slices(it, most=1 << 19):
-            c = Contexts(*raw(batch.column("text")), length, gram)
+            c = Contexts(*raw(batch.column("text")), length, gram, hot)
             if not len(c.doc):
                 continue
             ids, subs = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("sub").to_numpy(zero_copy_only=False)
@@ -256,7 +293,7 @@ def _codes(batch: pa.RecordBatch, column: str) -> list[np.ndarray]:
     return [np.concatenate([np.frombuffer(p, "<i8") for p in row]) if row else np.zeros(0, np.int64) for row in batch.column(column).to_pylist()]
 
 
-def _fetch(length: int, gram: int, buckets: int):
+def _fetch(length: int, gram: int, buckets: int, hot: np.ndarray):
     """Documents that are asked for contexts to the bytes of those, by bucket."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +303,7 @@ def _fetch(length: int, gram: int, buckets: int):
             if not need:
                 continue
             batch = batch.take(pa.array(need))
-            ctx = Contexts(*raw(batch.column("text")), length, gram)
+            ctx = Contexts(*raw(batch.column("text")), length, gram, hot)
             ids, subs = batch.column("doc_id").to_pylist(), batch.column("sub").to_pylist()
             at, kind = [], []
             for row, k in enumerate(need):
@@ -342,7 +379,7 @@ def _order(length: int, chunk: int):
     return run
 
 
-def _finish(length: int, gram: int, kind: str):
+def _finish(length: int, gram: int, kind: str, hot: np.ndarray):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(it, most=1 << 20):
             found, single = _codes(batch, "found"), _codes(batch, "single")
@@ -351,7 +388,7 @@ def _finish(length: int, gram: int, kind: str):
             size = np.diff(off)
             gone, spans, digest = [], [], []
             need = np.array([k for k, c in enumerate(found) if (c & 7 == COVERED).any()], int)
-            ctx = Contexts(*raw(col.take(pa.array(need))), length, gram) if len(need) else None
+            ctx = Contexts(*raw(col.take(pa.array(need))), length, gram, hot) if len(need) else None
             place = {k: i for i, k in enumerate(need.tolist())}
             for k in range(batch.num_rows):
                 own = data[off[k] : off[k + 1]]
@@ -394,7 +431,7 @@ def numbered(docs: DataFrame) -> DataFrame:
     return keyed.select("doc_id", F.coalesce("sub", F.lit(0)).alias("sub"), "text")
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, chunk: int = CHUNK) -> DataFrame:
+def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, chunk: int = CHUNK, sample: int = SAMPLE, least: int = HOT) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for each row of ``docs(doc_id, text)``.
 
     Null texts are empty; a null doc_id is neither smaller nor larger than any
@@ -406,17 +443,18 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd:
     n = partitions(spark)
     buckets = 8 * n
     texts = numbered(docs)
-    dealt = texts.where("doc_id is not null and text is not null").mapInArrow(_deal(length, gram, buckets), "bucket int, kind int, payload binary")
+    hot = hot_grams(texts, length, gram, sample, least)
+    dealt = texts.where("doc_id is not null and text is not null").mapInArrow(_deal(length, gram, buckets, hot), "bucket int, kind int, payload binary")
     settled = dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(crowd), _FOUND)
     found = written(settled, "contexts").withColumn("single", F.lit(None).cast("binary"))
     spread = texts.repartition(n, "doc_id", "sub")  # both joins below take this exchange
     asked = spread.join(_gathered(found), ["doc_id", "sub"], "left").select("doc_id", "sub", "text", "found")
-    fetched = asked.mapInArrow(_fetch(length, gram, buckets), "bucket int, kind int, payload binary")
+    fetched = asked.mapInArrow(_fetch(length, gram, buckets, hot), "bucket int, kind int, payload binary")
     ordered = fetched.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_order(length, chunk), _FOUND)
     single = ordered.select("doc_id", "sub", F.lit(None).cast("binary").alias("payload"), F.col("payload").alias("single"))
     both = spread.join(_gathered(found.union(single)), ["doc_id", "sub"], "left").select("doc_id", "text", "found", "single")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return both.mapInArrow(_finish(length, gram, kind), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return both.mapInArrow(_finish(length, gram, kind, hot), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _gathered(found: DataFrame) -> DataFrame:

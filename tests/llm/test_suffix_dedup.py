@@ -41,10 +41,11 @@ def random_rows(seed, n=60):
     return [*rows, (200, "a" * 90), (201, "a" * 30), (199, "a" * 11), (202, "ab" * 40), (203, "ab" * 40)]
 
 
-@pytest.mark.parametrize(("seed", "length", "gram", "crowd", "chunk"), [(1, 8, 4, 4096, 10_000), (2, 11, 3, 2, 50), (3, 6, 6, 0, 1), (4, 20, 9, 3, 500)])
-def test_against_brute_force(spark, seed, length, gram, crowd, chunk):
+@pytest.mark.parametrize(("seed", "length", "gram", "crowd", "chunk", "least"), [(1, 8, 4, 4096, 10_000, 99), (2, 11, 3, 2, 50, 2), (3, 6, 6, 0, 1, 3), (4, 20, 9, 3, 500, 1), (5, 9, 4, 4096, 300, 4)])
+def test_against_brute_force(spark, seed, length, gram, crowd, chunk, least):
+    """Whatever counts as crowded or hot, the result is the same."""
     rows = random_rows(seed)
-    got = suffix_dedup.deduplicated(table(spark, rows), length, gram, crowd, chunk)
+    got = suffix_dedup.deduplicated(table(spark, rows), length, gram, crowd, chunk, 40, least)
     assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] and sorted(map(tuple, got.collect()), key=repr) == expected(rows, length)
 
 
@@ -55,6 +56,17 @@ def test_production_parameters(spark):
     assert sorted(map(tuple, suffix_dedup.deduplicated(table(spark, rows)).collect()), key=repr) == expected(rows, 50)
 
 
+def test_hot_grams(spark):
+    """A line between other lines in every document is found to be hot."""
+    rng = random.Random(3)
+    line = "this very line stands in each and every document of them"
+    rows = [(k, "".join(rng.choice("abcdefghijkl ") for _ in range(80)) + line + "".join(rng.choice("abcdefghijkl ") for _ in range(80))) for k in range(100)]
+    hot = suffix_dedup.hot_grams(table(spark, rows), 50, 20, 1000, 50)
+    assert 0 < len(hot) < 10 and (hot[:-1] < hot[1:]).all()
+    got = suffix_dedup.deduplicated(table(spark, rows), least=50)
+    assert sorted(map(tuple, got.collect()), key=repr) == expected(rows, 50)
+
+
 @pytest.mark.parametrize("rows", [awkward(), [], [(1, None)]])
 def test_awkward_tables(spark, rows):
     got = sorted(map(tuple, suffix_dedup.deduplicated(table(spark, rows, clashing=True)).collect()), key=repr)
