@@ -52,7 +52,7 @@ SAMPLE, HOT = 8192, 12
 #: Contexts gathered before a batch of them is dealt out; bytes that are ordered at once.
 BATCH, CHUNK = 400_000, 400_000
 COVERED, ASKS, GIVES, ASKS_APART, GIVES_APART = range(5)
-SIX = U((1 << 48) - 1)
+SIX, PLACE = U((1 << 48) - 1), U((1 << 32) - 1)
 
 
 class Contexts:
@@ -72,13 +72,13 @@ class Contexts:
             np.cumsum((data.astype(U) + U(1)) * up[:n], out=self.sums[1:])
             self.down = down
             grams = mixed((self.sums[gram:] - self.sums[: n + 1 - gram]) * down[: n + 1 - gram])
-        val, at, span = grams, np.arange(len(grams), dtype=np.int32), 1
+        # The least of each window by the upper half of its hash, the leftmost of ties: value and place in one word.
+        least, span = (grams & ~PLACE) | np.arange(len(grams), dtype=U), 1
         while span < w:
             step = min(span, w - span)
-            less = val[step:] < val[:-step]
-            val = np.where(less, val[step:], val[:-step])
-            at = np.where(less, at[step:], at[:-step])
+            least = np.minimum(least[step:], least[:-step])
             span += step
+        at = (least & PLACE).astype(np.int64)
         past = np.repeat(off[1:], np.diff(off))[: n - length + 1]
         whole = np.arange(length, n + 1) <= past
         new = whole.copy()
@@ -143,12 +143,21 @@ def _groups(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
 
 
 def _least(doc: np.ndarray, *keys: np.ndarray) -> np.ndarray:
-    """For each row, the smallest doc among those with equal keys."""
-    order = np.lexsort((doc, *keys))
+    """For each row, the smallest doc among those with equal keys.
+
+    Rows are sorted by one mixed key; where different keys mix to the same, a
+    row may get the smallest of a part of its equals.
+    """
+    one = keys[0]
+    for k in keys[1:]:
+        one = mixed(one ^ k)
+    order = np.argsort(one, kind="stable")
     group = _groups(order, *keys)
-    first = np.searchsorted(group, np.arange(group[-1] + 1)) if len(group) else group
+    if not len(group):
+        return doc
+    start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     out = np.empty(len(doc), doc.dtype)
-    out[order] = doc[order][first][group]
+    out[order] = np.minimum.reduceat(doc[order], start)[group]
     return out
 
 
