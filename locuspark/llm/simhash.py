@@ -32,6 +32,8 @@ RADIUS = 4
 #: Distinct fingerprints of a bucket that one task compares with each other.
 MOST = 4096
 SHINGLE = 4
+#: Words of a text above which it is fingerprinted in pieces.
+LONG = 1 << 14
 U = np.uint64
 
 
@@ -42,27 +44,38 @@ def masks(radius: int = RADIUS) -> list[int]:
     return [sum(1 << i for i in range(64) if bin(vector[i] & v).count("1") % 2) for v in range(1, top)]
 
 
+def _bits(h: np.ndarray) -> np.ndarray:
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
 def fingerprints(texts: list[bytes], size: int = SHINGLE) -> np.ndarray:
     """SimHash of each UTF-8 text, as uint64; no words: zero."""
     from functools import partial
 
     import xxhash
 
+    digest = partial(xxhash.xxh64_intdigest, seed=42)
+    out = np.zeros(len(texts), U)
     shingles: list[bytes] = []
     at = [0]
-    for text in texts:
+    for k, text in enumerate(texts):
         words = text.lower().split()
         n = len(words)
-        if n >= size:
+        if n > LONG:  # in pieces, so that memory does not hold every shingle
+            ones = np.zeros(64, np.int64)
+            for i in range(0, n - size + 1, LONG):
+                own = words[i : i + LONG + size - 1]
+                h = np.fromiter(map(digest, map(b" ".join, zip(*(own[j:] for j in range(size)), strict=False))), U)
+                ones += _bits(h).sum(axis=0, dtype=np.int64)
+            out[k] = np.packbits(ones * 2 > n - size + 1, bitorder="little").view(U)[0]
+        elif n >= size:
             shingles += map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))
         elif n:
             shingles.append(b" ".join(words))
         at.append(len(shingles))
-    out = np.zeros(len(texts), U)
     if not shingles:
         return out
-    h = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), shingles), U, len(shingles))
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = _bits(np.fromiter(map(digest, shingles), U, len(shingles)))
     at = np.array(at)
     full = np.flatnonzero(at[1:] > at[:-1])
     ones = np.add.reduceat(bits, at[full], axis=0, dtype=np.int32)

@@ -51,6 +51,8 @@ CROWD = 4096
 SAMPLE, HOT = 8192, 12
 #: Contexts gathered before a batch of them is dealt out; bytes that are ordered at once.
 BATCH, CHUNK = 400_000, 400_000
+#: Bytes of a long text that are looked at together.
+PIECE = 4 << 20
 COVERED, ASKS, GIVES, ASKS_APART, GIVES_APART = range(5)
 SIX, PLACE = U((1 << 48) - 1), U((1 << 32) - 1)
 
@@ -58,60 +60,83 @@ SIX, PLACE = U((1 << 48) - 1), U((1 << 32) - 1)
 class Contexts:
     """Contexts of a slice: document, first and last window, gram hash, context hash."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, length: int, gram: int, hot: np.ndarray | None = None):
-        n, w = len(data), length - gram + 1
-        self.data, self.off, self.length = data, off, length
+    def __init__(self, data: np.ndarray, off: np.ndarray, length: int, gram: int, hot: np.ndarray | None = None, piece: int = PIECE):
+        self.data, self.off, self.length, self.piece = data, off, length, piece
+        self._held: tuple[int, np.ndarray] = (-1, data)
         none = np.zeros(0, np.int64)
         self.doc = self.lo = self.hi = none
         self.gram = self.hash = np.zeros(0, U)
-        if n < length:
+        n_windows = len(data) - length + 1
+        if n_windows < 1:
             return
-        up, down = powers(n + 1)
+        # Long texts go piece by piece; a context that two pieces share becomes two.
+        found = [self._found(a, min(a + piece, n_windows), gram, hot) for a in range(0, n_windows, piece)]
+        self.lo, self.hi, self.gram, self.hash = (np.concatenate(x) for x in zip(*found, strict=True))
+        self.doc = np.searchsorted(off, self.lo, "right") - 1
+        self.first = np.searchsorted(self.doc, np.arange(len(off) - 1))
+        self.ordinal = np.arange(len(self.doc)) - self.first[self.doc]
+
+    def _sums(self, a: int) -> tuple[np.ndarray, np.ndarray]:
+        """Prefix sums of the piece from ``a``, and powers that shift any range to its start."""
+        data = self.data[a : a + self.piece + self.length - 1]
+        up, down = powers(len(data) + 1)
+        if self._held[0] != a:
+            sums = np.zeros(len(data) + 1, U)
+            with np.errstate(over="ignore"):
+                np.cumsum((data.astype(U) + U(1)) * up[:-1], out=sums[1:])
+            self._held = (a, sums)
+        return self._held[1], down
+
+    def _found(self, a: int, b: int, gram: int, hot: np.ndarray | None) -> tuple[np.ndarray, ...]:
+        """The contexts of the windows that start from ``a`` to before ``b``."""
+        length, w, n = self.length, self.length - gram + 1, b - a
+        sums, down = self._sums(a)
+        ends = n + length - gram
         with np.errstate(over="ignore"):
-            self.sums = np.zeros(n + 1, U)
-            np.cumsum((data.astype(U) + U(1)) * up[:n], out=self.sums[1:])
-            self.down = down
-            grams = mixed((self.sums[gram:] - self.sums[: n + 1 - gram]) * down[: n + 1 - gram])
+            grams = mixed((sums[gram : gram + ends] - sums[:ends]) * down[:ends])
         # The least of each window by the upper half of its hash, the leftmost of ties: value and place in one word.
-        least, span = (grams & ~PLACE) | np.arange(len(grams), dtype=U), 1
+        least, span = (grams & ~PLACE) | np.arange(ends, dtype=U), 1
         while span < w:
             step = min(span, w - span)
             least = np.minimum(least[step:], least[:-step])
             span += step
         at = (least & PLACE).astype(np.int64)
-        past = np.repeat(off[1:], np.diff(off))[: n - length + 1]
-        whole = np.arange(length, n + 1) <= past
+        first, past = np.searchsorted(self.off, a, "right") - 1, np.searchsorted(self.off, b - 1, "right")
+        own = np.clip(self.off[first : past + 1], a, b)
+        whole = np.arange(a + length, b + length) <= np.repeat(self.off[first + 1 : past + 1], np.diff(own))
         new = whole.copy()
         new[1:] &= ~whole[:-1] | (at[1:] != at[:-1])
         last = whole.copy()
         last[:-1] &= ~whole[1:] | new[1:]
-        self.lo, self.hi = np.flatnonzero(new), np.flatnonzero(last)
-        place = at[self.lo]
-        self.gram = grams[place]
+        lo, hi = np.flatnonzero(new), np.flatnonzero(last)
+        place = at[lo]
+        key = grams[place]
         with np.errstate(over="ignore"):
-            self.hash = mixed((self.sums[self.hi + length] - self.sums[self.lo]) * down[self.lo] ^ ((self.hi - self.lo).astype(U) << U(32)) ^ (place - self.lo).astype(U))
-        if hot is not None and len(hot):
-            self._cut(hot)
-        self.doc = np.searchsorted(off, self.lo, "right") - 1
-        first = np.searchsorted(self.doc, np.arange(len(off) - 1))
-        self.ordinal = np.arange(len(self.doc)) - first[self.doc]
-        self.first = first
-
-    def _cut(self, hot: np.ndarray) -> None:
-        """Contexts of hot grams as single windows, in their order."""
-        apart = hot[np.minimum(np.searchsorted(hot, self.gram), len(hot) - 1)] == self.gram
-        size = np.where(apart, self.hi - self.lo + 1, 1)
+            ctx = mixed((sums[hi + length] - sums[lo]) * down[lo] ^ ((hi - lo).astype(U) << U(32)) ^ (place - lo).astype(U))
+        lo, hi = lo + a, hi + a
+        if hot is None or not len(hot):
+            return lo, hi, key, ctx
+        # Contexts of hot grams become single windows, in their order.
+        apart = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+        size = np.where(apart, hi - lo + 1, 1)
         of = np.repeat(np.arange(len(size)), size)
-        single = apart[of]
-        lo = _ragged(self.lo, size)
-        own = self.windows(lo[single])
-        self.lo, self.hi = lo, np.where(single, lo, self.hi[of])
-        self.gram, self.hash = self.gram[of], self.hash[of]
-        self.gram[single], self.hash[single] = own, mixed(own ^ U(0x5851F42D4C957F2D))
+        single, each = apart[of], _ragged(lo, size)
+        key, ctx = key[of], ctx[of]
+        own = self.windows(each[single])
+        key[single], ctx[single] = own, mixed(own ^ U(0x5851F42D4C957F2D))
+        return each, np.where(single, each, hi[of]), key, ctx
 
     def windows(self, lo: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mixed((self.sums[lo + self.length] - self.sums[lo]) * self.down[lo])
+        """Hashes of the windows that start at ``lo``."""
+        out = np.empty(len(lo), U)
+        for p in np.unique(lo // self.piece).tolist():
+            a = p * self.piece
+            own = lo // self.piece == p
+            sums, down = self._sums(a)
+            at = lo[own] - a
+            with np.errstate(over="ignore"):
+                out[own] = mixed((sums[at + self.length] - sums[at]) * down[at])
+        return out
 
 
 def _planes(a: np.ndarray, width: int) -> bytes:

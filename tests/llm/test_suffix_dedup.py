@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from corpus import SF, awkward, table
 
-from locuspark.llm import suffix_dedup
+from locuspark.llm import frames, suffix_dedup
 from locuspark.llm.difference_cover import ranks, same_prefixes
 
 
@@ -56,6 +56,24 @@ def test_production_parameters(spark):
     assert sorted(map(tuple, suffix_dedup.deduplicated(table(spark, rows)).collect()), key=repr) == expected(rows, 50)
 
 
+def test_pieces_of_long_texts(spark, monkeypatch):
+    """Texts longer than a piece give what whole texts give."""
+    rng = random.Random(8)
+    part = "".join(rng.choice("abcdefgh") for _ in range(700))
+    rows = [(1, part), (2, "x" * 333 + part[100:650] + "y" * 90), (3, part * 3), (4, part[:49]), (5, "".join(rng.choice("ab") for _ in range(900)))]
+    data = np.frombuffer((part * 3).encode(), np.uint8)
+    off = np.array([0, len(data)])
+    one, many = suffix_dedup.Contexts(data, off, 50, 20), suffix_dedup.Contexts(data, off, 50, 20, piece=64)
+    spread = lambda c: [(w, g) for a, b, g in zip(c.lo.tolist(), c.hi.tolist(), c.gram.tolist(), strict=True) for w in range(a, b + 1)]
+    assert spread(one) == spread(many) and len(many.lo) > len(one.lo)
+    starts = np.array([0, 10, 63, 64, 65, 700, 2000])
+    assert one.windows(starts).tolist() == many.windows(starts).tolist()
+    monkeypatch.setattr(suffix_dedup.Contexts.__init__, "__defaults__", (None, 64))
+    monkeypatch.setattr(suffix_dedup, "slices", lambda it, most: frames.slices(it, most=1))  # texts longer than a slice come alone
+    got = suffix_dedup.deduplicated(table(spark, rows).coalesce(1))
+    assert sorted(map(tuple, got.collect()), key=repr) == expected(rows, 50)
+
+
 def test_hot_grams(spark):
     """A line between other lines in every document is found to be hot."""
     rng = random.Random(3)
