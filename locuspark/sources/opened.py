@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from locuspark.model import VariantSet
-from locuspark.sources import tables, vcf, vcz
+from locuspark.sources import tables, vcf, vcfzarr
 
 
 def open_store(spark: SparkSession, path: str, backend: str | None = None, options: dict | None = None, fields: Sequence[str] | None = None) -> VariantSet:
@@ -19,4 +19,4 @@ def open_store(spark: SparkSession, path: str, backend: str | None = None, optio
         return tables.read(spark, str(path))
     if "://" in str(path) and backend is None and str(path).endswith(".variants"):
         return tables.read(spark, str(path))
-    return vcz.read(spark, path, backend, options, fields)
+    return vcfzarr.read(spark, path, backend, options, fields)

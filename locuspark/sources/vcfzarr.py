@@ -176,12 +176,12 @@ class _Reader(DataSourceReader):
             yield self.store.batch(a, min(a + self.store.step, last))
 
 
-class VczDataSource(DataSource):
-    """``spark.read.format("vcz").load(path)``; options ``backend`` and ``fields`` (comma list)."""
+class VcfZarrDataSource(DataSource):
+    """``spark.read.format("vcfzarr").load(path)``; options ``backend`` and ``fields`` (comma list)."""
 
     @classmethod
     def name(cls) -> str:
-        return "vcz"
+        return "vcfzarr"
 
     def _store(self) -> Store:
         options = dict(self.options)
@@ -198,8 +198,8 @@ class VczDataSource(DataSource):
 def read(spark: SparkSession, path: str, backend: str | None = None, options: dict | None = None, fields: Sequence[str] | None = None) -> VariantSet:
     """A store as a variant set. ``fields``: the INFO and FORMAT fields (and ``GT``) to read; None: all."""
     store = Store(path, backend, options, fields)
-    spark.dataSource.register(VczDataSource)
-    reader = spark.read.format("vcz").options(**{k: str(v) for k, v in (options or {}).items()})
+    spark.dataSource.register(VcfZarrDataSource)
+    reader = spark.read.format("vcfzarr").options(**{k: str(v) for k, v in (options or {}).items()})
     reader = reader.option("backend", backend) if backend else reader
     df = (reader if fields is None else reader.option("fields", ",".join(fields))).load(str(path))
     gt = store.arrays.get("call_genotype")

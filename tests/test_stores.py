@@ -14,7 +14,7 @@ from cohort import cohort
 import locuspark
 from locuspark import cli
 from locuspark.functions.sentinels import is_fill, is_missing, trim_fill
-from locuspark.sources import chunks, tables, vcz
+from locuspark.sources import chunks, tables, vcfzarr
 from locuspark.sources.opened import open_store
 from locuspark.streaming import follow as F
 
@@ -106,7 +106,7 @@ def rows(vs):
 
 @pytest.fixture(scope="module")
 def plain_store(tmp_path_factory):
-    path = tmp_path_factory.mktemp("stores") / "a.vcz"
+    path = tmp_path_factory.mktemp("stores") / "a.zarr"
     store(path)
     return path
 
@@ -127,24 +127,24 @@ def test_values(spark, plain_store):
 @pytest.mark.parametrize(("third", "codec", "order", "endian"), [(False, None, "F", ">"), (False, "blosc", "C", "<"), (False, "lz4", "C", "<"), (True, "zstd", "C", "<"), (True, "gzip", "C", ">")])
 def test_formats_agree(spark, plain_store, tmp_path, third, codec, order, endian):
     store(tmp_path / "b", third, codec, 2, order, endian)
-    want, got = vcz.Store(str(plain_store)).batch(0, 5), vcz.Store(str(tmp_path / "b")).batch(0, 5)
+    want, got = vcfzarr.Store(str(plain_store)).batch(0, 5), vcfzarr.Store(str(tmp_path / "b")).batch(0, 5)
     drop = [k for k, f in enumerate(want.schema) if f.name != "qual"]
     assert got.select(drop).equals(want.select(drop)) and str(got.column("qual")) == str(want.column("qual"))
 
 
 def test_zip_urls_and_pruning(spark, plain_store, tmp_path):
-    with zipfile.ZipFile(tmp_path / "a.vcz.zip", "w") as z:
+    with zipfile.ZipFile(tmp_path / "a.zarr.zip", "w") as z:
         for f in plain_store.rglob("*"):
             if f.is_file():
                 z.write(f, f.relative_to(plain_store))
-    assert str(rows(open_store(spark, str(tmp_path / "a.vcz.zip")))) == str(rows(open_store(spark, str(plain_store))))
+    assert str(rows(open_store(spark, str(tmp_path / "a.zarr.zip")))) == str(rows(open_store(spark, str(plain_store))))
     few = open_store(spark, plain_store.as_uri(), "fsspec", fields=["INFO/DP", "GT"])
     assert {"info_DP", "gt"} <= set(few.df.columns) and "fmt_DP" not in few.df.columns and [r["info_DP"] for r in rows(few)] == [3, None, 5, 6, 7]
     for args, error in ((("x://y",), ValueError), ((str(plain_store), "other"), ValueError), ((str(plain_store), "icechunk"), NotImplementedError), ((str(plain_store), None, {"a": 1}), ValueError)):
         with pytest.raises(error):
             chunks.Files(*args)
     with pytest.raises(FileNotFoundError):
-        vcz.Store(str(tmp_path))
+        vcfzarr.Store(str(tmp_path))
 
 
 def test_blosc_streams():
