@@ -51,8 +51,8 @@ CROWD = 4096
 SAMPLE, HOT = 8192, 12
 #: Contexts gathered before a batch of them is dealt out; bytes that are ordered at once.
 BATCH, CHUNK = 400_000, 400_000
-#: Bytes of a long text that are looked at together.
-PIECE = 4 << 20
+#: Bytes of texts that are looked at together, and of one long text (more than the former, so that it comes alone).
+SLICE, PIECE = 1 << 18, 1 << 20
 COVERED, ASKS, GIVES, ASKS_APART, GIVES_APART = range(5)
 SIX, PLACE = U((1 << 48) - 1), U((1 << 32) - 1)
 
@@ -204,7 +204,7 @@ def hot_grams(texts: DataFrame, length: int, gram: int, sample: int, least: int)
     """Gram hashes with at least ``least`` different contexts in about ``sample`` of the ``texts``, sorted."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(it, most=1 << 20):
+        for batch in slices(it, most=SLICE):
             c = Contexts(*raw(batch.column("text")), length, gram)
             pair = np.unique(np.stack([c.gram, c.hash]), axis=1) if len(c.gram) else np.zeros((2, 0), U)
             yield pa.RecordBatch.from_arrays([pa.array(pair[0].view(np.int64)), pa.array(pair[1].view(np.int64))], names=["gram", "hash"])
@@ -237,7 +237,7 @@ def _deal(length: int, gram: int, buckets: int, hot: np.ndarray):
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, n = [], 0
-        for batch in slices(it, most=1 << 19):
+        for batch in slices(it, most=SLICE):
             c = Contexts(*raw(batch.column("text")), length, gram, hot)
             if not len(c.doc):
                 continue
@@ -309,7 +309,7 @@ def _settle(crowd: int):
                 rows_kept = order[keep]
                 out.append((doc[rows_kept], sub[rows_kept], ordinal[rows_kept] << 3 | code[keep]))
             n += sum(len(x[0]) for x in out[-2:])
-            if n > 1_000_000:
+            if n > BATCH:
                 yield from _by_document(*(np.concatenate(x) for x in zip(*out, strict=True)))
                 out, n = [], 0
         if out:
@@ -331,7 +331,7 @@ def _fetch(length: int, gram: int, buckets: int, hot: np.ndarray):
     """Documents that are asked for contexts to the bytes of those, by bucket."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(it, most=1 << 20):
+        for batch in slices(it, most=SLICE):
             codes = _codes(batch, "found")
             need = [k for k, c in enumerate(codes) if len(c) and (c & 7 != COVERED).any()]
             if not need:
@@ -415,7 +415,7 @@ def _order(length: int, chunk: int):
 
 def _finish(length: int, gram: int, kind: str, hot: np.ndarray):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(it, most=1 << 20):
+        for batch in slices(it, most=SLICE):
             found, single = _codes(batch, "found"), _codes(batch, "single")
             col = batch.column("text")
             data, off = raw(col)
