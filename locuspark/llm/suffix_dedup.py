@@ -53,6 +53,8 @@ SAMPLE, HOT = 8192, 12
 BATCH, CHUNK = 400_000, 400_000
 #: Bytes of texts that are looked at together, and of one long text (more than the former, so that it comes alone).
 SLICE, PIECE = 1 << 18, 1 << 20
+#: Bytes of contexts gathered before they are dealt out with their texts.
+SENT = 4 << 20
 COVERED, ASKS, GIVES, ASKS_APART, GIVES_APART = range(5)
 SIX, PLACE = U((1 << 48) - 1), U((1 << 32) - 1)
 
@@ -330,7 +332,16 @@ def _codes(batch: pa.RecordBatch, column: str) -> list[np.ndarray]:
 def _fetch(length: int, gram: int, buckets: int, hot: np.ndarray):
     """Documents that are asked for contexts to the bytes of those, by bucket."""
 
+    def send(parts: list) -> Iterator[pa.RecordBatch]:
+        key, ids, subs, lo, size, asks, text = (np.concatenate(x) for x in zip(*parts, strict=True))
+        at = np.cumsum(size) - size
+        for b, k in _cut(((key >> U(48)) % U(buckets)).astype(np.int64)):
+            k = k[np.argsort(key[k], kind="stable")]
+            head = _pack([(key[k], 8), (ids[k], 8), (subs[k], 4), (lo[k], 4), (size[k], 4), (asks[k], 1)])
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([0], pa.int32()), pa.array([head + text[_ragged(at[k], size[k])].tobytes()], pa.binary())], names=["bucket", "kind", "payload"])
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in slices(it, most=SLICE):
             codes = _codes(batch, "found")
             need = [k for k, c in enumerate(codes) if len(c) and (c & 7 != COVERED).any()]
@@ -355,11 +366,13 @@ def _fetch(length: int, gram: int, buckets: int, hot: np.ndarray):
                 doc = np.concatenate([doc[~alone], np.repeat(doc[alone], size)])
                 kind = np.concatenate([kind[~alone], np.repeat(kind[alone] - 2, size)])
             size = hi - lo + length
-            ids, subs = np.array(ids, np.int64)[doc], np.array(subs, np.int64)[doc]
-            for b, k in _cut(((key >> U(48)) % U(buckets)).astype(np.int64)):
-                k = k[np.argsort(key[k], kind="stable")]
-                head = _pack([(key[k], 8), (ids[k], 8), (subs[k], 4), (lo[k] - ctx.off[doc[k]], 4), (size[k], 4), (kind[k] == ASKS, 1)])
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([0], pa.int32()), pa.array([head + ctx.data[_ragged(lo[k], size[k])].tobytes()], pa.binary())], names=["bucket", "kind", "payload"])
+            parts.append((key, np.array(ids, np.int64)[doc], np.array(subs, np.int64)[doc], lo - ctx.off[doc], size, (kind == ASKS).astype(np.uint8), ctx.data[_ragged(lo, size)]))
+            held += int(size.sum()) + 40 * len(size)
+            if held > SENT:
+                yield from send(parts)
+                parts, held = [], 0
+        if parts:
+            yield from send(parts)
 
     return run
 
