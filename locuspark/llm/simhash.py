@@ -228,6 +228,16 @@ def fingerprint_column(docs: DataFrame, text: str = "text", extra: tuple[str, ..
     return map_text(columns(docs, *extra, text), fn, f"{kinds}, fp long", text)
 
 
+def named(each: DataFrame, distinct: DataFrame, found: DataFrame) -> DataFrame:
+    """``each(doc_id, fp)`` with the component's name, from ``distinct(fp, least)`` and links ``(a, b)`` of fingerprints."""
+    stars = components(found)
+    rooted = distinct.join(stars, distinct.fp == stars.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_fp = rooted.where("fp != root").select("fp", "root").join(named, "root").select("fp", "component_id")
+    by_fp = by_fp.unionByName(named.select(F.col("root").alias("fp"), "component_id"))
+    return each.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for each row of ``docs(doc_id, text)``.
 
@@ -238,21 +248,16 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, most: int = MOST) ->
     """
     each = written(fingerprint_column(docs), "fp")
     distinct = each.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    stars = components(links(distinct, radius, most))
-    rooted = distinct.join(stars, distinct.fp == stars.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.where("fp != root").select("fp", "root").join(named, "root").select("fp", "component_id")
-    by_fp = by_fp.unionByName(named.select(F.col("root").alias("fp"), "component_id"))
-    return each.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return named(each, distinct, links(distinct, radius, most))
 
 
-def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def survivors(docs: DataFrame, found: DataFrame) -> DataFrame:
     """One row of ``docs`` for each component: the one whose doc_id names it.
 
     A null doc_id is its own document and stays. Rows that share a doc_id are
     one document: of several that would stay, the least row does.
     """
-    found = near_duplicates(docs, radius).select("doc_id", "component_id")
+    found = found.select("doc_id", "component_id")
     gone = found.where("doc_id != component_id").select("doc_id").distinct()
     key = unused(docs, "_id")  # so that no other column clashes
     stay = docs.join(gone.withColumnRenamed("doc_id", key), docs["doc_id"] == F.col(key), "left_anti")
@@ -262,3 +267,8 @@ def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     repeated = stay.join(again, stay["doc_id"] == F.col(key), "left_semi")
     least = repeated.groupBy("doc_id").agg(F.min(F.struct(*[repeated[f"`{c}`"] for c in docs.columns])).alias(key)).select(f"{key}.*")
     return stay.join(again, stay["doc_id"] == F.col(key), "left_anti").unionByName(least)
+
+
+def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row of ``docs`` for each component of fingerprints."""
+    return survivors(docs, near_duplicates(docs, radius))
