@@ -67,8 +67,11 @@ def same_prefixes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarr
     """A class number for each of ``starts``: equal where the ``length`` bytes from there are equal.
 
     Every start has ``length`` bytes before the end of ``data``. Suffixes are
-    ordered, and adjacent prefixes compared.
+    ordered, and adjacent prefixes compared. More than ``LONGEST`` symbols are
+    ordered by a hash of the prefix instead.
     """
+    if len(data) > LONGEST:
+        return same_windows(data, starts, length)
     place = ranks(data.astype(np.int64) + 1, length)
     order = starts[np.argsort(place[starts])]
     words = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
@@ -82,3 +85,40 @@ def same_prefixes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarr
     label = np.empty(len(data), np.int64)
     label[order] = np.cumsum(np.concatenate([[0], ~equal])) if len(order) else 0
     return label[starts]
+
+
+def same_windows(data: np.ndarray, starts: np.ndarray, length: int, block: int = 1 << 18) -> np.ndarray:
+    """What :func:`same_prefixes` gives, for data of any size: hashes gather windows, bytes decide."""
+    from locuspark.llm.tokens import mixed
+
+    words = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    at = [*range(0, length - 7, 8), length - 8] if length >= 8 else []
+    key = np.zeros(len(starts), np.uint64)
+    for i in range(0, len(starts), block):
+        own, h = starts[i : i + block], np.zeros(len(starts[i : i + block]), np.uint64)
+        for k in at:
+            h = mixed(h ^ np.ascontiguousarray(words[own + k]).view(np.uint64).ravel())
+        for k in range(length if length < 8 else 0):
+            h = mixed(h ^ data[own + k].astype(np.uint64))
+        key[i : i + block] = h
+    order = np.argsort(key, kind="stable")
+    new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+    group = np.cumsum(new) - 1
+    # A group in which neighbours differ holds several windows of one hash: these are told apart by their bytes.
+    clash = set()
+    for i in range(1, len(order), block):
+        a, b = starts[order[i - 1 : i + block - 1]], starts[order[i : i + block]]
+        a, same = a[: len(b)], ~new[i : i + block]
+        differ = np.zeros(len(b), bool)
+        for k in range(length):
+            differ |= data[a + k] != data[b + k]
+        clash.update(group[i : i + block][same & differ].tolist())
+    label = np.empty(len(starts), np.int64)
+    label[order] = group
+    past = int(group[-1]) + 1 if len(group) else 0
+    for g in sorted(clash):
+        seen: dict[bytes, int] = {}
+        for k in np.flatnonzero(label == g).tolist():
+            label[k] = seen.setdefault(data[starts[k] : starts[k] + length].tobytes(), past + len(seen))
+        past += len(seen)
+    return label

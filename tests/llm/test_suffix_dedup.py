@@ -108,3 +108,24 @@ def test_same_prefixes():
         label = same_prefixes(data, starts, length)
         parts = [data[k : k + length].tobytes() for k in starts]
         assert len(set(zip(label.tolist(), parts, strict=True))) == len(set(parts)) == len(set(label.tolist()))
+
+
+def test_groups_beyond_the_suffix_order(monkeypatch):
+    """More symbols than one order takes: the same classes, also where hashes clash."""
+    from locuspark.llm import difference_cover, tokens
+
+    line = np.frombuffer(b"one line of sixty bytes that stands in the text again and...", np.uint8)
+    data = np.tile(line, difference_cover.LONGEST // len(line) + 2)
+    starts = np.arange(0, len(data) - 50, 997)
+    label = same_prefixes(data, starts, 50)
+    first = {}
+    assert all(first.setdefault(data[s : s + 50].tobytes(), k) == k for s, k in zip(starts.tolist(), label.tolist(), strict=True))
+    assert len(set(first.values())) == len(first)
+    for clash in (False, True):
+        if clash:
+            monkeypatch.setattr(tokens, "mixed", lambda x: x & np.uint64(1))
+        for length in (3, 9):
+            small = np.frombuffer(b"abcabcabdabcabcabdxyzabcab" * 4, np.uint8)
+            at = np.arange(len(small) - length)
+            got, want = difference_cover.same_windows(small, at, length, 7), same_prefixes(small, at, length)
+            assert len(set(zip(got.tolist(), want.tolist(), strict=True))) == len(set(got.tolist())) == len(set(want.tolist()))
