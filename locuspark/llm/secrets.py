@@ -79,7 +79,9 @@ def novel_spans(text: str, known: list[tuple[str, int, int]], novelty: float = N
             continue
         if any(s <= a and b <= e for _, s, e in known):
             continue
-        if marginal_bytes(token, text[max(0, a - AROUND) : a] + " " + text[b : b + AROUND]) >= novelty * full_cost(token):
+        # A secret that stands twice must not vouch for itself.
+        around = (text[max(0, a - AROUND) : a] + " " + text[b : b + AROUND]).replace(token, " ")
+        if marginal_bytes(token, around) >= novelty * full_cost(token):
             out.append(("novel", a, b))
     return out
 

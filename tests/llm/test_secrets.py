@@ -68,3 +68,11 @@ def test_redaction(spark):
     assert got.columns == docs.columns and got.count() == len(rows)
     for r in got.collect():
         assert not base(r["text"]) and (r["text"] is None or r["n_chars"] == len(r["text"]))
+
+
+def test_secret_that_stands_twice():
+    """A key set and then used is reported, and redacted, at both places."""
+    text = f"the private credential is {KEY} and later the same credential {KEY} is sent"
+    places = [m.span() for m in re.finditer(KEY, text)]
+    assert secrets.all_spans(text)[1] == [("novel", a, b) for a, b in places]
+    assert KEY not in secrets.redacted(text)
