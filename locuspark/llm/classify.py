@@ -21,6 +21,8 @@ from locuspark.llm.models import FactorizationMachine, NaiveBayesSupportVectors
 DIMS = 1 << 18
 #: Training documents of either label, at most.
 PER_CLASS = 3000
+#: Of the toxicity machine: frequent terms kept although they say nothing alone, and the rate of pairs.
+COMMON, PAIR = 64, 1.0
 
 
 def training_ids(labels: DataFrame, label: str, per_class: int) -> DataFrame:
@@ -51,7 +53,7 @@ def quality_model(docs: DataFrame, labels: DataFrame, dims: int = DIMS, per_clas
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, dims: int = DIMS, per_class: int = PER_CLASS):
-    return FactorizationMachine(dims).fit(*training_rows(docs, labels, "toxic", features.terms, dims, per_class))
+    return FactorizationMachine(dims, common=COMMON, pair=PAIR).fit(*training_rows(docs, labels, "toxic", features.terms, dims, per_class))
 
 
 def with_score(docs: DataFrame, model, feature: Callable, name: str, keep: tuple[str, ...], at_least: float | None = None) -> DataFrame:
