@@ -119,14 +119,3 @@ def test_awkward_tables(spark):
     kept = classify.accepted(docs, labels)
     scores = classify.quality(docs, labels)
     assert kept.columns == docs.columns and kept.count() == scores.where("predicted = 1").count()
-
-
-def test_production_machine_learns_pairs_of_neutral_terms(monkeypatch):
-    """Terms that only mark toxicity by whether they meet, through the model that the query builds."""
-    rng = np.random.default_rng(6)
-    a, b = rng.integers(0, 2, 2000), rng.integers(0, 2, 2000)
-    idx, at = rows_of([sorted({a[k], 2 + b[k], *rng.integers(4, 40, 6)}) for k in range(2000)])
-    y = (a == b).astype(int)
-    monkeypatch.setattr(classify, "training_rows", lambda *_: (idx, at, y))
-    m = classify.toxicity_model(None, None, 64)
-    assert ((m.score(idx, at) > 0.5) == y).mean() > 0.97
