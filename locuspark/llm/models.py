@@ -11,17 +11,26 @@ def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return c[at[1:]] - c[at[:-1]]
 
 
-def calibrated(margin: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+def calibrated(margin: np.ndarray, y: np.ndarray, weight: np.ndarray | float = 1.0, rounds: int = 50) -> tuple[float, float]:
     """Slope and offset of a logistic curve over margins, by Newton's method on softened labels."""
     hi, lo = (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2)
     t = np.where(y > 0, hi, lo)
+    weight = np.broadcast_to(weight, t.shape)
+
+    def loss(a: float, b: float) -> float:
+        m = a * margin + b
+        return float((weight * (np.logaddexp(0, m) - t * m)).sum() + 5e-4 * a * a)
+
     a, b = 1.0, 0.0
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-        w = p * (1 - p) + 1e-9
-        g = np.array([((p - t) * margin).sum() + 1e-3 * a, (p - t).sum()])
+        w, off = weight * p * (1 - p) + 1e-9, weight * (p - t)
+        g = np.array([(off * margin).sum() + 1e-3 * a, off.sum()])
         hess = np.array([[(w * margin * margin).sum() + 1e-3, (w * margin).sum()], [(w * margin).sum(), w.sum() + 1e-6]])
         step = np.linalg.solve(hess, g)
+        now = loss(a, b)
+        while loss(a - step[0], b - step[1]) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
         a, b = a - step[0], b - step[1]
         if np.abs(step).max() < 1e-9:
             break
@@ -86,53 +95,43 @@ class NaiveBayesSupportVectors:
 
 
 class FactorizationMachine:
-    """Second-order factorization machine on indicators, logistic loss, AdaGrad.
-
-    margin = w0 + sum w_i x_i + 1/2 sum_f ((sum v_if x_i)^2 - sum (v_if x_i)^2),
-    with x_i = (kept terms of the document)**-power for every kept term present.
-    Kept are the ``terms`` hash buckets that lie in at least ``least`` training
-    rows and whose class log-odds are the most significant; their linear
-    weights start at those log-odds, shrunk, and are then learned.
+    """Second-order factorization machine on hashed indicators, logistic loss, AdaGrad.
+
+    margin = w0 + sum w_i x_i + 1/2 sum_f ((sum v_if x_i)^2 - sum (v_if x_i)^2).
+    Every bucket that training rows hold learns; none is screened out. x_i is
+    the scale of the bucket over the norm of the row's scales, where the scale
+    is (g/(g + kappa))^2 + ``common`` * c/(c + ``often`` * rows), with g the
+    log-likelihood ratio of the bucket's counts in the two classes and c its
+    count: terms that mark a class weigh most, frequent terms that say nothing
+    alone can still act in pairs, and rare ones can hardly be learned by heart.
+    Scores are a logistic curve over margins, from rows that were left out of a
+    first fit, with both classes weighing the same.
     """
 
-    def __init__(self, dims: int, factors: int = 4, rate: float = 0.1, l2: float = 1e-4, pair: float = 0.1, l2v: float = 1e-3, epochs: int = 25, batch: int = 64, power: float = 0.5, terms: int = 4096, common: int = 0, least: int = 5, seed: int = 11):
-        self.dims, self.factors, self.rate, self.l2, self.epochs, self.batch, self.power, self.terms, self.common, self.least = dims, factors, rate, l2, epochs, batch, power, terms, common, least
-        self.pair, self.l2v = pair, l2v
-        self.place = np.full(dims, -1, np.int32)
-        self.rng = np.random.default_rng(seed)
-        self.w = np.zeros(0, np.float32)
-        self.v = np.zeros((0, factors), np.float32)
+    def __init__(self, dims: int, factors: int = 4, rate: float = 0.1, l2: float = 1e-4, l2v: float = 1e-3, epochs: int = 15, batch: int = 64, kappa: float = 20.0, common: float = 0.2, often: float = 0.05, seed: int = 11):
+        self.dims, self.factors, self.rate, self.l2, self.l2v, self.epochs, self.batch = dims, factors, rate, l2, l2v, epochs, batch
+        self.kappa, self.common, self.often, self.seed = kappa, common, often, seed
+        self.scale, self.w, self.v = np.zeros(dims, np.float32), np.zeros(dims, np.float32), np.zeros((dims, factors), np.float32)
         self.bias, self.slope, self.offset = 0.0, 1.0, 0.0
 
-    def _x(self, at: np.ndarray) -> np.ndarray:
-        size = np.diff(at)
-        return np.repeat((np.maximum(size, 1) ** -self.power).astype(np.float32), size)
-
-    def _kept(self, idx: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own = self.place[idx]
-        has = own >= 0
-        return own[has], np.concatenate([[0], np.cumsum(has)])[at]
-
-    def _select(self, idx: np.ndarray, at: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def _scales(self, idx: np.ndarray, at: np.ndarray, y: np.ndarray) -> np.ndarray:
         row = np.repeat(np.arange(len(y)), np.diff(at))
+        both = np.bincount(idx, minlength=self.dims).astype(float)
         pos = np.bincount(idx[y[row] > 0], minlength=self.dims).astype(float)
-        neg = np.bincount(idx[y[row] == 0], minlength=self.dims).astype(float)
-        odds = np.log((pos + 0.5) / ((y > 0).sum() - pos + 0.5)) - np.log((neg + 0.5) / ((y == 0).sum() - neg + 0.5))
-        z = odds / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-        z[pos + neg < self.least] = 0
-        best = np.argsort(-np.abs(z), kind="stable")[: self.terms]
-        best = best[np.abs(z[best]) > 2]
-        # Terms that say nothing alone may in pairs: the ``common`` most frequent ones are kept too.
-        often = np.where(pos + neg >= self.least, pos + neg, 0)
-        often[best] = 0
-        more = np.argsort(-often, kind="stable")[: self.common]
-        best = np.sort(np.concatenate([best, more[often[more] > 0]]))
-        self.place[best] = np.arange(len(best))
-        return odds[best]
+        g = np.zeros(self.dims)
+        for own, share in ((pos, y.mean()), (both - pos, 1 - y.mean())):
+            has = own > 0
+            g[has] += 2 * own[has] * np.log(own[has] / (both[has] * share))
+        g = np.maximum(g, 0)
+        return ((g / (g + self.kappa)) ** 2 + self.common * both / (both + self.often * len(y))).astype(np.float32)
+
+    def _x(self, idx: np.ndarray, at: np.ndarray) -> np.ndarray:
+        s = self.scale[idx]
+        norm = np.sqrt(np.maximum(_sums(s * s, at), 1e-12))
+        return (s / np.repeat(norm, np.diff(at))).astype(np.float32)
 
     def margin(self, idx: np.ndarray, at: np.ndarray) -> np.ndarray:
-        idx, at = self._kept(idx, at)
-        x = self._x(at)
+        x = self._x(idx, at)
         out = self.bias + _sums(self.w[idx] * x, at)
         for f in range(self.factors):
             vx = self.v[idx, f] * x
@@ -147,44 +146,60 @@ class FactorizationMachine:
         if n == 0 or y.min() == y.max():
             self.offset = 0.0 if n == 0 else (3.0 if y[0] else -3.0)
             return self
-        whole, ends = idx, at
-        odds = self._select(idx, at, y)
-        idx, at = self._kept(idx, at)
-        kept = len(odds)
-        self.w = (0.1 * odds).astype(np.float32)
-        self.v = self.rng.normal(0, 0.01, (kept, self.factors)).astype(np.float32)
-        x = self._x(at)
-        gw, gv, gb = np.full(kept, 1e-3, np.float32), np.full((kept, self.factors), 1e-3, np.float32), 1e-3
-        even = np.where(y > 0, n / (2 * (y > 0).sum()), n / (2 * (y == 0).sum()))
+        self.scale = self._scales(idx, at, y)
+        # Every third row of each class is left out of the first fit.
+        left_out = np.zeros(n, bool)
+        for c in (0, 1):
+            left_out[np.flatnonzero((y > 0) == c)[2::3]] = True
+        first = np.flatnonzero(~left_out)
+        rest = np.flatnonzero(left_out) if (y[left_out] > 0).any() and (y[left_out] == 0).any() else np.arange(n)
+        self._learn(*_rows(idx, at, first), y[first])
+        self.slope, self.offset = calibrated(self.margin(*_rows(idx, at, rest)), y[rest], _even(y[rest]))
+        self._learn(idx, at, y)
+        return self
+
+    def _learn(self, idx: np.ndarray, at: np.ndarray, y: np.ndarray) -> None:
+        n, factors, rng = len(y), self.factors, np.random.default_rng(self.seed)
+        self.w, self.v, self.bias = np.zeros(self.dims, np.float32), rng.normal(0, 0.02, (self.dims, factors)).astype(np.float32), 0.0
+        x, even = self._x(idx, at), _even(y)
+        gw, gv, gb = np.full(self.dims, 1e-3, np.float32), np.full((self.dims, factors), 1e-3, np.float32), 1e-3
         for _ in range(self.epochs):
-            order = self.rng.permutation(n)
+            order = rng.permutation(n)
             for k in range(0, n, self.batch):
                 rows = order[k : k + self.batch]
-                size = at[rows + 1] - at[rows]
-                bounds = np.concatenate([[0], np.cumsum(size)])
-                take = np.repeat(at[rows] - bounds[:-1], size) + np.arange(bounds[-1])
-                j, xj, r = idx[take], x[take], np.repeat(np.arange(len(rows)), size)
-                v = self.v[j]
-                vx = v * xj[:, None]
-                total = np.zeros((len(rows), self.factors))
-                square = np.zeros(len(rows))
-                np.add.at(total, r, vx)
-                square += np.bincount(r, (vx * vx).sum(axis=1), len(rows))
-                m = self.bias + np.bincount(r, self.w[j] * xj, len(rows)) + 0.5 * ((total**2).sum(axis=1) - square)
-                p = 1 / (1 + np.exp(-np.clip(m, -30, 30)))
-                d = (p - y[rows]) * even[rows]
+                take, bounds = _places(at, rows)
+                j, xj, r = idx[take], x[take], np.repeat(np.arange(len(rows)), np.diff(bounds))
+                vx = self.v[j] * xj[:, None]
+                total = np.stack([np.bincount(r, vx[:, f], len(rows)) for f in range(factors)], axis=1)
+                m = self.bias + np.bincount(r, self.w[j] * xj, len(rows)) + 0.5 * ((total**2).sum(axis=1) - np.bincount(r, (vx * vx).sum(axis=1), len(rows)))
+                d = (1 / (1 + np.exp(-np.clip(m, -30, 30))) - y[rows]) * even[rows]
                 dj = (d[r] * xj).astype(np.float32)
                 u, where = np.unique(j, return_inverse=True)
                 g = np.bincount(where, dj, len(u)) + self.l2 * len(rows) * self.w[u]
                 gw[u] += g * g
                 self.w[u] -= self.rate * g / np.sqrt(gw[u])
                 part = dj[:, None] * (total[r] - vx)
-                for f in range(self.factors):
-                    g = np.bincount(where, part[:, f], len(u)) + self.l2v * len(rows) * self.v[u, f]
-                    gv[u, f] += g * g
-                    self.v[u, f] -= self.pair * self.rate * g / np.sqrt(gv[u, f])
+                g = np.stack([np.bincount(where, part[:, f], len(u)) for f in range(factors)], axis=1) + self.l2v * len(rows) * self.v[u]
+                gv[u] += g * g
+                self.v[u] -= self.rate * g / np.sqrt(gv[u])
                 g = d.sum()
                 gb += g * g
                 self.bias -= self.rate * g / np.sqrt(gb)
-        self.slope, self.offset = calibrated(self.margin(whole, ends), y)
-        return self
+
+
+def _even(y: np.ndarray) -> np.ndarray:
+    """Weights by which both classes count the same."""
+    n, pos = len(y), int((y > 0).sum())
+    return np.where(y > 0, n / (2 * max(pos, 1)), n / (2 * max(n - pos, 1)))
+
+
+def _places(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the elements of some ragged rows lie, and the bounds of those rows side by side."""
+    size = at[rows + 1] - at[rows]
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    return np.repeat(at[rows] - bounds[:-1], size) + np.arange(bounds[-1]), bounds
+
+
+def _rows(idx: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    take, bounds = _places(at, rows)
+    return idx[take], bounds
