@@ -1,11 +1,14 @@
 """Secret scan: three patterns, and dictionary-primed zstandard novelty.
 
-Beside the pattern spans, every long token near a sensitive word is a
-candidate. Its novelty is the number of bytes by which a zstandard frame grows
-when the candidate follows its surroundings, with a compressor primed by an
-identifier dictionary and by those surroundings: names, prose and repeated
-material cost little, random strings cost all that their characters can cost.
-Candidates whose marginal bytes reach ``NOVELTY`` of that are reported.
+Beside the pattern spans, every string near a sensitive word (on either side)
+that could carry enough information is a candidate: its length times the bits
+of the character classes in it reaches ``BITS``, or ``WORD_BITS`` if it is
+shaped like a word, as shorter ones cannot be told from words. Its novelty is
+the number of bytes by which a zstandard frame grows when the candidate follows
+its surroundings, with a compressor primed by an identifier dictionary and by
+those surroundings: names, prose and repeated material cost little, random
+strings cost all that their characters can cost. Candidates whose marginal
+bytes reach ``NOVELTY`` of that are reported.
 """
 
 from __future__ import annotations
@@ -24,10 +27,17 @@ KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9_](?:[A-Za-z0-9+/_~!@#$%^&*.-]*[A-Za-z0-9+/_~@#$%^&*])?={0,2}")
+#: Character classes and how many characters each has.
+CLASSES = tuple((re.compile(p), n) for p, n in (("[a-z]", 26), ("[A-Z]", 26), ("[0-9]", 10), ("[^A-Za-z0-9]", 32)))
+#: Repeated marks around a string belong to the text, and mail addresses are no secrets.
+DECORATION, ADDRESS = re.compile(r"([^A-Za-z0-9=])\1+\Z"), re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", re.ASCII)
+WORDLIKE = re.compile(r"[A-Za-z]?[a-z]+|[A-Z]+")
 SENSITIVE = re.compile(r"passw|secret|token|api[_-]?key|access[_-]?key|private|credential|auth|bearer|signature|AKIA", re.IGNORECASE | re.ASCII)
-#: Characters before a candidate that must hold a sensitive word, and of its surroundings.
+#: Characters before or after a candidate that must hold a sensitive word, and of its surroundings.
 NEAR, AROUND = 80, 1024
+#: Bits that a candidate, and one shaped like a word, can carry at least.
+BITS, WORD_BITS = 50.0, 75.0
 #: Share of a candidate's full cost from which it is reported.
 NOVELTY = 0.8
 #: From this length on the compressor codes characters by their frequency; shorter strings cost a byte each.
@@ -69,13 +79,20 @@ def full_cost(candidate: str) -> float:
     return sum(-k * math.log2(k / n) for k in Counter(candidate).values()) / 8
 
 
+def capacity(candidate: str) -> float:
+    """Bits that a random string of this length and these character classes carries."""
+    return len(candidate) * math.log2(sum(n for found, n in CLASSES if found.search(candidate)))
+
+
 def novel_spans(text: str, known: list[tuple[str, int, int]], novelty: float = NOVELTY) -> list[tuple[str, int, int]]:
     """Candidates of high novelty that no pattern covers wholly."""
     out = []
     for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        token = m.group()
-        if not any(c.isdigit() for c in token) or not SENSITIVE.search(text, max(0, a - NEAR), a):
+        token = DECORATION.sub("", m.group())
+        a, b = m.start(), m.start() + len(token)
+        if len(token) < 8 or ADDRESS.fullmatch(token) or (capacity(token.lower()) < WORD_BITS if WORDLIKE.fullmatch(token) else capacity(token) < BITS):
+            continue
+        if not (SENSITIVE.search(text, max(0, a - NEAR), a) or SENSITIVE.search(text, b, b + NEAR)):
             continue
         if any(s <= a and b <= e for _, s, e in known):
             continue

@@ -59,6 +59,33 @@ def test_novelty():
     assert secrets.marginal_bytes(KEY, seen) < 0.8 * len(KEY) <= secrets.marginal_bytes(KEY, "nothing of it")
 
 
+def test_what_counts_as_a_candidate():
+    """Letters only, fifteen characters, marks inside, a sensitive word behind: all found; words and addresses never."""
+    rng = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    for alphabet, size in ((letters, 40), (letters + "0123456789", 15), (letters[26:], 30), (letters + "0123456789!#%+/", 12)):
+        for text in ("Authorization: Bearer {} is sent", "{} is the credential of it", "the private one, {}."):
+            found = 0
+            for _ in range(50):
+                key = "a" + "".join(rng.choice(alphabet) for _ in range(size - 2)) + "z"
+                a = text.index("{}")
+                found += ("novel", a, a + size) in secrets.all_spans(text.format(key))[1]
+            assert found >= 48, (size, text, found)
+    for token in ("yesterday", "Merchantability", "some.one@mail.example.com", "erwords***", "INFRINGEMENT"):
+        assert secrets.all_spans(f"the credential {token} here")[1] == [], token
+    assert secrets.capacity("abcdefgh") < 40 < secrets.capacity("aB3$efgh")
+
+
+def test_base_counts_against_sql(spark):
+    """The counts of the patterns by another regular expression engine."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r["doc_id"]: (r["n_assign"], r["n_access"], r["n_hex"]) for r in secrets.scan(docs).collect()}
+    sql = f"""SELECT doc_id, len(list_filter(regexp_extract_all(text, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6)),
+        len(list_filter(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)), len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda x: length(x) >= 24)) FROM '{SF}/documents.parquet'"""
+    want = {i: tuple(n or 0 for n in c) for i, *c in duckdb.sql(sql).fetchall()}
+    assert got == want
+
+
 def test_redaction(spark):
     assert secrets.redacted("password = abcdef1 and AKIA" + "A" * 16 + ".") == "[ASSIGN] and [ACCESS]."
     assert secrets.redacted("token=" + "0a" * 20 + " x") == "[ASSIGN] x"
