@@ -72,3 +72,31 @@ def test_awkward_tables(spark):
     empty = bench.limit(0)
     assert D.contaminated(frame, empty).count() == 0 and D.decontaminated(frame, empty).count() == len(awkward()) and D.contaminated(frame, empty).columns == D.contaminated(frame, bench).columns
     assert D.contaminated(table(spark, []), bench).count() == 0
+
+
+def test_repetitive_text(spark):
+    """One token over and over, in a long document and in an item: bounded pieces, the right answer."""
+    import time
+
+    bench = spark.createDataFrame([("loop", "a " * 60), ("pair", "a b " * 30), ("short", "lone words")], "item_id string, text string")
+    frame = table(spark, [(1, "a " * 80_000), (2, "b a " * 200), (3, "c " * 5000), (4, "some lone words"), (5, "a " * 12)])
+    began = time.time()
+    got = D.contaminated(frame, bench).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, "loop"), (2, "pair")] and time.time() - began < 20
+    assert {(r["doc_id"], r["item_id"]) for r in D.contaminated(frame, bench, least=1).collect()} == {(1, "loop"), (2, "pair"), (4, "short")}
+
+
+def test_pieces_of_hits(monkeypatch):
+    """However few hits are held at once, the rows are the same."""
+    import numpy as np
+    import pyarrow as pa
+
+    from locuspark.llm.tokens import Runs, raw
+
+    docs, items = made(5)
+    hashes = lambda parts: Runs(*raw(pa.array([" ".join(p) for p in parts])))
+    index = D.Index([(k, hashes([t]).words()) for k, t in enumerate(items)])
+    runs = hashes(docs)
+    want = list(index.find(runs.words(), runs.bounds(len(docs))))
+    monkeypatch.setattr(D, "PAIRS", 7)
+    assert want and list(index.find(runs.words(), runs.bounds(len(docs)))) == want and np.ndim(index.sieve) == 1
