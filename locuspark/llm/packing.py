@@ -7,9 +7,10 @@ rules (open the least-cost length for what is left, or at least a given
 length); every bin is downsized to the smallest permitted length that holds its
 contents, and the rule of least total cost is kept.
 
-Scale: only ids and lengths are shuffled. Documents fall into blocks by hash,
-about ``BLOCK`` tokens each, so that a block is bounded whatever the corpus
-size and its unfilled last bins are a negligible share.
+Scale: only ids and lengths are shuffled. Documents with tokens fall into
+blocks by hash, about ``BLOCK`` tokens and at most about ``ROWS`` rows each, so
+that a block is bounded whatever the corpus is and its unfilled last bins are a
+negligible share; equal rows are counted first and then spread like others.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from locuspark.llm.frames import columns, map_text, written
 from locuspark.llm.tokens import Runs, combine, raw
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
-BLOCK = 8_000_000
+BLOCK, ROWS = 8_000_000, 500_000
 OVERHEAD, ATTENTION = 8.0, 0.05
+#: How text is cut before byte pairs are merged: a fixed value of public byte-level vocabularies.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def cost(length: int, largest: int) -> float:
@@ -77,11 +80,12 @@ def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list[int
     return best
 
 
-def token_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str | None = None, pattern: str = PATTERN) -> DataFrame:
     """``doc_id, n_tokens, salt`` for each row.
 
     Tokens are runs of word bytes and runs of other marks; ``tokenizer`` names
-    a rank file of a public byte-pair tokenizer that counts instead.
+    a rank file of a public byte-pair tokenizer that counts instead, on every
+    executor, and ``pattern`` how that one cuts text.
     """
 
     def fn(batch: pa.RecordBatch) -> dict:
@@ -89,27 +93,26 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         bounds = runs.bounds(batch.num_rows)
         count = np.diff(bounds)
         if tokenizer:
-            count = np.array([len(t) for t in encoder(tokenizer).encode_ordinary_batch([x or "" for x in batch.column("text").to_pylist()], num_threads=1)])
+            count = np.array([len(t) for t in encoder(tokenizer, pattern).encode_ordinary_batch([x or "" for x in batch.column("text").to_pylist()], num_threads=1)])
         salt = combine([runs.hash(runs.offsets[:-1], runs.offsets[1:])], 3).view(np.int64)
         return {"doc_id": batch.column("doc_id"), "n_tokens": count, "salt": salt}
 
     return map_text(columns(docs, "doc_id", "text"), fn, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, salt long")
 
 
-def encoder(path: str, cache: dict = {}):  # noqa: B006  one in each worker
-    if path not in cache:
+def encoder(path: str, pattern: str, cache: dict = {}):  # noqa: B006  one in each worker
+    if (path, pattern) not in cache:
         import base64
 
-        import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        cache[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return cache[path]
+        cache[path, pattern] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return cache[path, pattern]
 
 
-def packed(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, block_tokens: int = BLOCK, tokenizer: str | None = None) -> DataFrame:
+def packed(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, block_tokens: int = BLOCK, tokenizer: str | None = None, block_rows: int = ROWS, pattern: str = PATTERN) -> DataFrame:
     """``doc_id, piece, token_start, n_tokens, bin_id, bin_offset, capacity``: where each piece of each row goes.
 
     A document longer than the largest permitted length fills bins of that
@@ -118,11 +121,17 @@ def packed(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, block_tokens: in
     doc_id; repeated rows are packed as often as they occur.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    counted = written(token_counts(docs, tokenizer), "lengths")
-    total = counted.agg(F.sum("n_tokens")).first()[0] or 0
-    n_blocks = max(1, -(-total // block_tokens))
+    counted = written(token_counts(docs, tokenizer, pattern), "lengths")
+    some = counted.where("n_tokens > 0")
+    seen = some.agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")).first()
+    n_blocks = max(1, -(-(seen["tokens"] or 0) // block_tokens), -(-seen["rows"] // block_rows))
     top = max(lengths)
-    blocks = counted.withColumn("block", F.pmod(F.xxhash64("doc_id", "salt"), F.lit(n_blocks)))
+    # Equal rows share a hash: each gets a number, in two steps so that no array is long.
+    step = 1 << 16
+    equal = some.groupBy("doc_id", "n_tokens", "salt").agg(F.count("*").alias("n"))
+    equal = equal.withColumn("many", F.explode(F.expr(f"sequence(0L, n - 1, {step}L)")))
+    spread = equal.select("doc_id", "n_tokens", "salt", F.explode(F.sequence("many", F.least(F.col("many") + step, "n") - 1)).alias("copy"))
+    blocks = spread.select("doc_id", "n_tokens", "salt", F.pmod(F.xxhash64("doc_id", "salt", "copy"), F.lit(n_blocks)).alias("block"))
     schema = f"doc_id {kind}, piece int, token_start long, n_tokens long, bin_id long, bin_offset int, capacity int"
 
     def one(table: pa.Table) -> pa.Table:
@@ -134,16 +143,17 @@ def packed(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, block_tokens: in
         rest_at = rest_at[rest[rest_at] > 0]
         place, offset, caps, _ = pack(rest[rest_at].tolist(), lengths)
         full = int(whole.sum())
-        row = np.concatenate([np.repeat(np.arange(len(n)), whole), rest_at, np.flatnonzero(n == 0)])
-        piece = np.concatenate([np.arange(full) - np.repeat(np.cumsum(whole) - whole, whole), whole[rest_at], np.zeros((n == 0).sum(), int)])
-        size = np.concatenate([np.full(full, top), rest[rest_at], np.zeros((n == 0).sum(), int)])
-        none = size == 0
-        bins = np.concatenate([len(caps) + np.arange(full), np.array(place, int), np.zeros(none.sum(), int)])
-        off = np.concatenate([np.zeros(full, int), np.array(offset, int), np.zeros(none.sum(), int)])
-        cap = np.concatenate([np.full(full, top), np.array(caps, int)[np.array(place, int)] if place else np.zeros(0, int), np.zeros(none.sum(), int)])
+        row = np.concatenate([np.repeat(np.arange(len(n)), whole), rest_at])
+        piece = np.concatenate([np.arange(full) - np.repeat(np.cumsum(whole) - whole, whole), whole[rest_at]])
+        size = np.concatenate([np.full(full, top), rest[rest_at]])
+        bins = np.concatenate([len(caps) + np.arange(full), np.array(place, int)])
+        off = np.concatenate([np.zeros(full, int), np.array(offset, int)])
+        cap = np.concatenate([np.full(full, top), np.array(caps, int)[np.array(place, int)] if place else np.zeros(0, int)])
         return pa.table({
             "doc_id": table["doc_id"].take(pa.array(row)), "piece": pa.array(piece, pa.int32()), "token_start": pa.array(piece * top, pa.int64()), "n_tokens": pa.array(size, pa.int64()),
-            "bin_id": pa.array(block + bins, pa.int64(), mask=none), "bin_offset": pa.array(off, pa.int32(), mask=none), "capacity": pa.array(cap, pa.int32(), mask=none),
+            "bin_id": pa.array(block + bins, pa.int64()), "bin_offset": pa.array(off, pa.int32()), "capacity": pa.array(cap, pa.int32()),
         })
 
-    return blocks.groupBy("block").applyInArrow(one, schema)
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("bin_id", "long"), ("bin_offset", "int"), ("capacity", "int"))]
+    empty = counted.where("n_tokens = 0").select("doc_id", F.lit(0).cast("int").alias("piece"), F.lit(0).cast("long").alias("token_start"), "n_tokens", *none)
+    return blocks.groupBy("block").applyInArrow(one, schema).unionByName(empty)
