@@ -18,11 +18,14 @@ SLICE_BYTES = 2 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
-    Only where the setting is unset (tests, a laptop) is a local one made.
+    Only where the setting is unset and the master is local (tests, a laptop) is
+    a local one made.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.getCheckpointDir():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="locuspark-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")

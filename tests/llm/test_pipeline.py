@@ -3,8 +3,9 @@
 import corpus_pipeline as C
 import pytest
 from corpus import awkward, table
+from test_similar import expected
 
-from locuspark.llm import classify, decontaminate, registry, secrets, simhash
+from locuspark.llm import classify, decontaminate, registry, secrets
 from locuspark.llm.frames import drop_written, shared_dir, unused, written
 
 SF = "/root/testdata/sf0.001"
@@ -30,7 +31,7 @@ def test_stages(spark, stages):
     (_, docs, good), (_, _, single), (_, _, clean), (_, _, safe), (_, _, packed) = stages
     scores = classify.quality(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     assert ids(good) == ids(scores.where("predicted = 1"))
-    assert ids(single) == ids(simhash.near_duplicates(good).where("doc_id = component_id"))
+    assert ids(single) == sorted({c for _, c in expected([(r["doc_id"], r["text"]) for r in good.collect()])})
     leaks = decontaminate.contaminated(single, spark.read.parquet(f"{SF}/benchmark.parquet"))
     assert ids(clean) == sorted(set(ids(single)) - set(ids(leaks))) and leaks.count() > 0
     texts = {r["doc_id"]: r["text"] for r in clean.collect()}
