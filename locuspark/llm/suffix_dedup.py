@@ -1,33 +1,37 @@
 """Exact removal of repeated byte strings across documents.
 
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a
-document with a smaller doc_id. Equality of strings is decided by suffix order:
-a difference-cover sort of candidate contexts, adjacent prefixes compared.
+document with a smaller doc_id.
 
-Ordering every suffix of a corpus needs many times its size in shuffles, so a
-sieve that misses nothing runs first. Each window of ``LENGTH`` bytes is
-assigned its leftmost least ``GRAM``-gram hash; consecutive windows with the
-same one form a context. Equal windows choose the same gram at the same place,
-hence:
+Ordering every suffix of a corpus needs many times its size in shuffles
+(:mod:`locuspark.llm.distributed_order` does it), so a sieve that misses
+nothing runs first. Each window of ``LENGTH`` bytes is assigned its leftmost
+least ``GRAM``-gram hash; consecutive windows with the same one form a context.
+Equal windows choose the same gram at the same place, hence:
 
 1. Contexts are dealt out by gram hash, packed (a gram of 48 + bucket bits, a
    context hash of 48 bits, the doc_id and an ordinal; under 20 bytes for every
-   15 bytes of text). Copies inside a batch settle before the shuffle. A
-   context whose hash a smaller document shares is covered whole. What is left
-   matters only if a smaller document has the same gram with another context:
-   one document of each such context is asked for its bytes.
-2. Those contexts, a few per cent of the corpus, are dealt out by gram with
-   their bytes. Each task orders their suffixes in bounded chunks and compares
-   adjacent prefixes. Grams with more than ``CROWD`` different contexts are
-   dealt out as single windows by window hash instead, so that no group has to
-   fit into one task.
+   15 bytes of text). Copies inside a batch settle by their bytes before the
+   shuffle. A context whose hash a smaller document shares claims to be covered
+   whole, and one document vouches for it. What is left matters only if a
+   smaller document has the same gram with another context: one document of
+   each such context is asked for its bytes.
+2. Those contexts are dealt out by gram. Of claims and vouchers a digest of 128
+   bits of their bytes travels, and a claim holds only where both are equal;
+   should one ever fail, all is done again with another hash. Of the others the
+   bytes travel, a few per cent of the corpus; each task orders their suffixes
+   by a difference cover, in bounded chunks, and compares adjacent prefixes.
+   Grams with more than ``CROWD`` different contexts are dealt out as single
+   windows by window hash instead, so that no group has to fit into one task.
 3. Covered windows return to their documents.
 
 A gram that very many different contexts share would fill one task. Such hot
-grams are found beforehand in a sample of ``SAMPLE`` documents (those with
-``HOT`` contexts there, a share of about 0.15 %), and their contexts are cut into
-single windows, each with a hash of its own in place of the gram. Whichever grams
-are chosen, equal windows go the same way, so the result does not depend on it.
+grams are found beforehand in a sample of documents, at least ``SAMPLE`` and a
+share of ``DENSE`` of all (so that a gram of two million contexts is seen at any
+size of corpus, but for a chance of 1e-7), and their contexts are cut into
+single windows, each with hashes of its own. Whichever grams are chosen, equal
+windows go the same way, so the result does not depend on it. Tasks and buckets
+follow from the bytes of the texts.
 """
 
 from __future__ import annotations
@@ -42,29 +46,31 @@ from pyspark.sql import functions as F
 
 from locuspark.llm.difference_cover import same_prefixes
 from locuspark.llm.frames import columns, partitions, slices, written
-from locuspark.llm.tokens import U, mixed, powers, raw
+from locuspark.llm.tokens import ROOT, U, mixed, powers, raw
 
 LENGTH, GRAM = 50, 20
 #: Different contexts of a gram up to which they are compared in one task.
 CROWD = 4096
 #: Documents of the sample that hot grams are looked for in, and different contexts there that make a gram hot.
 SAMPLE, HOT = 8192, 12
+#: Share of the documents that the sample has at least, and bytes of text for each task of a shuffle.
+DENSE, TASK = 4e-5, 32 << 20
 #: Contexts gathered before a batch of them is dealt out; bytes that are ordered at once.
 BATCH, CHUNK = 400_000, 400_000
 #: Bytes of texts that are looked at together, and of one long text (more than the former, so that it comes alone).
 SLICE, PIECE = 1 << 18, 1 << 20
 #: Bytes of contexts gathered before they are dealt out with their texts.
 SENT = 4 << 20
-COVERED, ASKS, GIVES, ASKS_APART, GIVES_APART = range(5)
+COVERED, ASKS, GIVES, ASKS_APART, GIVES_APART, CLAIMS, VOUCHES = range(7)
 SIX, PLACE = U((1 << 48) - 1), U((1 << 32) - 1)
 
 
 class Contexts:
     """Contexts of a slice: document, first and last window, gram hash, context hash."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, length: int, gram: int, hot: np.ndarray | None = None, piece: int = PIECE):
-        self.data, self.off, self.length, self.piece = data, off, length, piece
-        self._held: tuple[int, np.ndarray] = (-1, data)
+    def __init__(self, data: np.ndarray, off: np.ndarray, length: int, gram: int, hot: np.ndarray | None = None, piece: int = PIECE, root: int = ROOT):
+        self.data, self.off, self.length, self.piece, self.root = data, off, length, piece, root
+        self._held: dict[int, tuple[int, np.ndarray]] = {}
         none = np.zeros(0, np.int64)
         self.doc = self.lo = self.hi = none
         self.gram = self.hash = np.zeros(0, U)
@@ -78,16 +84,17 @@ class Contexts:
         self.first = np.searchsorted(self.doc, np.arange(len(off) - 1))
         self.ordinal = np.arange(len(self.doc)) - self.first[self.doc]
 
-    def _sums(self, a: int) -> tuple[np.ndarray, np.ndarray]:
+    def _sums(self, a: int, root: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Prefix sums of the piece from ``a``, and powers that shift any range to its start."""
+        root = root or self.root
         data = self.data[a : a + self.piece + self.length - 1]
-        up, down = powers(len(data) + 1)
-        if self._held[0] != a:
+        up, down = powers(len(data) + 1, root)
+        if self._held.get(root, (-1,))[0] != a:
             sums = np.zeros(len(data) + 1, U)
             with np.errstate(over="ignore"):
                 np.cumsum((data.astype(U) + U(1)) * up[:-1], out=sums[1:])
-            self._held = (a, sums)
-        return self._held[1], down
+            self._held[root] = (a, sums)
+        return self._held[root][1], down
 
     def _found(self, a: int, b: int, gram: int, hot: np.ndarray | None) -> tuple[np.ndarray, ...]:
         """The contexts of the windows that start from ``a`` to before ``b``."""
@@ -124,17 +131,16 @@ class Contexts:
         of = np.repeat(np.arange(len(size)), size)
         single, each = apart[of], _ragged(lo, size)
         key, ctx = key[of], ctx[of]
-        own = self.windows(each[single])
-        key[single], ctx[single] = own, mixed(own ^ U(0x5851F42D4C957F2D))
+        key[single], ctx[single] = self.windows(each[single]), self.windows(each[single], self.root * 5 & (1 << 64) - 1)
         return each, np.where(single, each, hi[of]), key, ctx
 
-    def windows(self, lo: np.ndarray) -> np.ndarray:
-        """Hashes of the windows that start at ``lo``."""
+    def windows(self, lo: np.ndarray, root: int | None = None) -> np.ndarray:
+        """Hashes of the windows that start at ``lo``, by powers of a root of its own if so wished."""
         out = np.empty(len(lo), U)
         for p in np.unique(lo // self.piece).tolist():
             a = p * self.piece
             own = lo // self.piece == p
-            sums, down = self._sums(a)
+            sums, down = self._sums(a, root)
             at = lo[own] - a
             with np.errstate(over="ignore"):
                 out[own] = mixed((sums[at + self.length] - sums[at]) * down[at])
@@ -169,8 +175,8 @@ def _groups(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     return np.cumsum(new)
 
 
-def _least(doc: np.ndarray, *keys: np.ndarray) -> np.ndarray:
-    """For each row, the smallest doc among those with equal keys.
+def _first(doc: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """For each row, a row of the smallest doc among those with equal keys.
 
     Rows are sorted by one mixed key; where different keys mix to the same, a
     row may get the smallest of a part of its equals.
@@ -178,16 +184,21 @@ def _least(doc: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     one = keys[0]
     for k in keys[1:]:
         one = mixed(one ^ k)
-    order = np.argsort(one, kind="stable")
+    order = np.lexsort((doc, one))
     group = _groups(order, *keys)
-    if not len(group):
-        return doc
-    start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    out = np.empty(len(doc), doc.dtype)
-    out[order] = np.minimum.reduceat(doc[order], start)[group]
+    out = np.empty(len(doc), np.int64)
+    if len(doc):
+        out[order] = order[np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))][group]
     return out
 
 
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes from ``a`` and from ``b`` are the same."""
+    if not len(a):
+        return np.zeros(0, bool)
+    return np.logical_and.reduceat(data[_ragged(a, size)] == data[_ragged(b, size)], np.cumsum(size) - size)
+
+
 _WIDTHS = (6, 6, 8, 4, 4)
 _FOUND = "doc_id long, sub int, payload binary"
 
@@ -202,53 +213,57 @@ def _by_document(doc: np.ndarray, sub: np.ndarray, code: np.ndarray) -> Iterator
     yield pa.RecordBatch.from_arrays([pa.array(doc[at[:-1]]), pa.array(sub[at[:-1]].astype(np.int32)), pa.array([code[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["doc_id", "sub", "payload"])
 
 
-def hot_grams(texts: DataFrame, length: int, gram: int, sample: int, least: int) -> np.ndarray:
-    """Gram hashes with at least ``least`` different contexts in about ``sample`` of the ``texts``, sorted."""
+def sized(texts: DataFrame) -> tuple[int, int]:
+    """Documents that have a text, and the bytes of those."""
+    row = texts.where("doc_id is not null and text is not null").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
+    return row["n"], row["b"] or 0
+
+
+def hot_grams(texts: DataFrame, length: int, gram: int, share: float, least: int, root: int = ROOT) -> np.ndarray:
+    """Gram hashes with at least ``least`` different contexts in that share of the ``texts``, sorted."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(it, most=SLICE):
-            c = Contexts(*raw(batch.column("text")), length, gram)
+            c = Contexts(*raw(batch.column("text")), length, gram, root=root)
             pair = np.unique(np.stack([c.gram, c.hash]), axis=1) if len(c.gram) else np.zeros((2, 0), U)
             yield pa.RecordBatch.from_arrays([pa.array(pair[0].view(np.int64)), pa.array(pair[1].view(np.int64))], names=["gram", "hash"])
 
     some = texts.where("doc_id is not null and text is not null").select("text")
-    share = min(1.0, sample / max(1, some.count()))
-    found = some.sample(share, 29).mapInArrow(run, "gram long, hash long").distinct().groupBy("gram").count().where(F.col("count") >= least)
-    return np.sort(np.array([r["gram"] for r in found.select("gram").collect()], np.int64).view(U))  # bounded by the sample
+    found = some.sample(min(1.0, share), 29).mapInArrow(run, "gram long, hash long").distinct().groupBy("gram").count().where(F.col("count") >= least)
+    return np.sort(np.array([r["gram"] for r in found.select("gram").toLocalIterator()], np.int64).view(U))  # bounded by the sample
 
 
-def _deal(length: int, gram: int, buckets: int, hot: np.ndarray):
+def _deal(length: int, gram: int, buckets: int, hot: np.ndarray, root: int = ROOT):
     """Texts to packed contexts by bucket; what a batch settles by itself goes along with kind 1."""
 
     def send(parts: list) -> Iterator[pa.RecordBatch]:
-        grams, hashes, doc, sub, ordinal = (np.concatenate(x) for x in zip(*parts, strict=True))
-        settled = doc > _least(doc, grams, hashes)
+        grams, hashes, doc, sub, ordinal, begin, size, data = (np.concatenate(x) for x in zip(*parts, strict=True))
+        first = _first(doc, grams, hashes)
+        settled = np.flatnonzero((doc > doc[first]) & (size == size[first]))
+        settled = settled[same_bytes(data, begin[settled], begin[first[settled]], size[settled])]
         rows: list[tuple[int, int, bytes]] = []
-        if settled.any():
-            d, s, o = doc[settled], sub[settled], ordinal[settled]
-            spread = (mixed(d.astype(U)) % U(buckets)).astype(np.int64)
-            for b, k in _cut(spread):
-                rows.append((b, 1, _pack([(d[k], 8), (s[k], 4), (o[k], 4)])))
-        left = np.flatnonzero(~settled)
-        bucket = ((grams[left] >> U(48)) % U(buckets)).astype(np.int64)
-        for b, k in _cut(bucket):
+        d, s, o = doc[settled], sub[settled], ordinal[settled]
+        for b, k in _cut((mixed(d.astype(U)) % U(buckets)).astype(np.int64)):
+            rows.append((b, 1, _pack([(d[k], 8), (s[k], 4), (o[k], 4)])))
+        left = np.delete(np.arange(len(doc)), settled)
+        for b, k in _cut(((grams[left] >> U(48)) % U(buckets)).astype(np.int64)):
             k = left[k]
-            rows.append((b, 0, _pack([(grams[k], 6), (hashes[k], 6), (doc[k], 8), (sub[k], 4), (ordinal[k], 4)])))
+            rows.append((b, 0, _pack([(grams[k], 6), (hashes[k] & SIX, 6), (doc[k], 8), (sub[k], 4), (ordinal[k], 4)])))
         b, kind, payload = zip(*rows, strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(kind, pa.int32()), pa.array(payload, pa.binary())], names=["bucket", "kind", "payload"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, n = [], 0
+        parts, n, held = [], 0, 0
         for batch in slices(it, most=SLICE):
-            c = Contexts(*raw(batch.column("text")), length, gram, hot)
+            c = Contexts(*raw(batch.column("text")), length, gram, hot, root=root)
             if not len(c.doc):
                 continue
             ids, subs = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("sub").to_numpy(zero_copy_only=False)
-            parts.append((c.gram, c.hash & SIX, ids[c.doc].astype(np.int64), subs[c.doc].astype(np.int64), c.ordinal))
-            n += len(c.doc)
+            parts.append((c.gram, c.hash, ids[c.doc].astype(np.int64), subs[c.doc].astype(np.int64), c.ordinal, c.lo + held, c.hi - c.lo + length, c.data))
+            n, held = n + len(c.doc), held + len(c.data)
             if n >= BATCH:
                 yield from send(parts)
-                parts, n = [], 0
+                parts, n, held = [], 0, 0
         if parts:
             yield from send(parts)
 
@@ -298,18 +313,21 @@ def _settle(crowd: int):
                 low_g = np.full(g[-1] + 1, np.iinfo(np.int64).max)
                 np.minimum.at(low_g, of_c, low_c)
                 many = np.bincount(of_c)
-                covered = d > low_c[c]
-                asks = ~covered & (d > low_g[g])
+                claims = d > low_c[c]
+                asks = ~claims & (d > low_g[g])
                 asked = np.zeros(g[-1] + 1, bool)
                 asked[g[asks]] = True
                 once = np.zeros(len(d), bool)
                 once[start] = True
-                gives = ~covered & ~asks & asked[g] & once
+                gives = ~claims & ~asks & asked[g] & once
+                claimed = np.zeros(len(start), bool)
+                claimed[c[claims]] = True
+                vouches = once & claimed[c]
                 apart = many[g] > crowd
-                code = np.where(covered, COVERED, np.where(asks, np.where(apart, ASKS_APART, ASKS), np.where(apart, GIVES_APART, GIVES)))
-                keep = covered | asks | gives
-                rows_kept = order[keep]
-                out.append((doc[rows_kept], sub[rows_kept], ordinal[rows_kept] << 3 | code[keep]))
+                code = np.where(claims, CLAIMS, np.where(asks, np.where(apart, ASKS_APART, ASKS), np.where(apart, GIVES_APART, GIVES)))
+                for keep, what in ((claims | asks | gives, code), (vouches, np.full(len(d), VOUCHES))):
+                    own = order[keep]
+                    out.append((doc[own], sub[own], ordinal[own] << 3 | what[keep]))
             n += sum(len(x[0]) for x in out[-2:])
             if n > BATCH:
                 yield from _by_document(*(np.concatenate(x) for x in zip(*out, strict=True)))
@@ -329,56 +347,113 @@ def _codes(batch: pa.RecordBatch, column: str) -> list[np.ndarray]:
     return [np.concatenate([np.frombuffer(p, "<i8") for p in row]) if row else np.zeros(0, np.int64) for row in batch.column(column).to_pylist()]
 
 
-def _fetch(length: int, gram: int, buckets: int, hot: np.ndarray):
-    """Documents that are asked for contexts to the bytes of those, by bucket."""
+def _travelling(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches with their texts compressed, so that they are shuffled so."""
+    import zstandard
 
-    def send(parts: list) -> Iterator[pa.RecordBatch]:
-        key, ids, subs, lo, size, asks, text = (np.concatenate(x) for x in zip(*parts, strict=True))
-        at = np.cumsum(size) - size
+    small = zstandard.ZstdCompressor(level=3, write_checksum=False)
+    for batch in it:
+        col = batch.column("text")
+        col = col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sub"), pa.array([None if t is None else small.compress(t) for t in col.to_pylist()], pa.binary())], names=["doc_id", "sub", "text"])
+
+
+def _arrived(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bounded batches with their texts whole again."""
+    import zstandard
+
+    large = zstandard.ZstdDecompressor()
+    for batch in slices(it, most=SLICE // 2):
+        text = pa.array([None if t is None else large.decompress(t) for t in batch.column("text").to_pylist()], pa.large_binary())
+        names = batch.schema.names
+        yield pa.RecordBatch.from_arrays([text if n == "text" else batch.column(n) for n in names], names=names)
+
+
+_CLAIM_WIDTHS = (8, 8, 8, 8, 4, 4, 1)
+
+
+def _fetch(length: int, gram: int, buckets: int, hot: np.ndarray, root: int = ROOT):
+    """Documents that are asked for contexts to the bytes of those (kind 0), or their digests (kind 1), by bucket."""
+
+    def send(parts: list, kind: int) -> Iterator[pa.RecordBatch]:
+        key, *fields = (np.concatenate(x) for x in zip(*parts, strict=True))
         for b, k in _cut(((key >> U(48)) % U(buckets)).astype(np.int64)):
             k = k[np.argsort(key[k], kind="stable")]
-            head = _pack([(key[k], 8), (ids[k], 8), (subs[k], 4), (lo[k], 4), (size[k], 4), (asks[k], 1)])
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([0], pa.int32()), pa.array([head + text[_ragged(at[k], size[k])].tobytes()], pa.binary())], names=["bucket", "kind", "payload"])
+            if kind:
+                payload = _pack([(x[k], w) for x, w in zip((key, *fields), _CLAIM_WIDTHS, strict=True)])
+            else:
+                ids, subs, lo, size, asks, at, text = fields
+                payload = _pack([(key[k], 8), (ids[k], 8), (subs[k], 4), (lo[k], 4), (size[k], 4), (asks[k], 1)]) + text[_ragged(at[k], size[k])].tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([kind], pa.int32()), pa.array([payload], pa.binary())], names=["bucket", "kind", "payload"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
-        for batch in slices(it, most=SLICE):
+        parts, held, claims, n_claims, base = [], 0, [], 0, 0
+        for batch in _arrived(it):
             codes = _codes(batch, "found")
             need = [k for k, c in enumerate(codes) if len(c) and (c & 7 != COVERED).any()]
             if not need:
                 continue
             batch = batch.take(pa.array(need))
-            ctx = Contexts(*raw(batch.column("text")), length, gram, hot)
-            ids, subs = batch.column("doc_id").to_pylist(), batch.column("sub").to_pylist()
+            ctx = Contexts(*raw(batch.column("text")), length, gram, hot, root=root)
+            ids, subs = (np.array(batch.column(c).to_pylist(), np.int64) for c in ("doc_id", "sub"))
             at, kind = [], []
             for row, k in enumerate(need):
                 c = codes[k][codes[k] & 7 != COVERED]
                 at.append(ctx.first[row] + (c >> 3))
                 kind.append(c & 7)
             at, kind = np.concatenate(at), np.concatenate(kind)
-            lo, hi, key, doc = ctx.lo[at], ctx.hi[at], ctx.gram[at], ctx.doc[at]
-            alone = kind >= ASKS_APART
-            if alone.any():  # one row a window, by its own hash
-                size = (hi - lo + 1)[alone]
-                each = _ragged(lo[alone], size)
-                lo, hi = np.concatenate([lo[~alone], each]), np.concatenate([hi[~alone], each])
-                key = np.concatenate([key[~alone], ctx.windows(each)])
-                doc = np.concatenate([doc[~alone], np.repeat(doc[alone], size)])
-                kind = np.concatenate([kind[~alone], np.repeat(kind[alone] - 2, size)])
-            size = hi - lo + length
-            parts.append((key, np.array(ids, np.int64)[doc], np.array(subs, np.int64)[doc], lo - ctx.off[doc], size, (kind == ASKS).astype(np.uint8), ctx.data[_ragged(lo, size)]))
-            held += int(size.sum()) + 40 * len(size)
+            sworn = kind >= CLAIMS
+            if sworn.any():
+                own, doc = at[sworn], ctx.doc[at[sworn]]
+                text = ctx.data.tobytes()
+                digest = np.frombuffer(b"".join(hashlib.blake2b(text[a:b], digest_size=16).digest() for a, b in zip(ctx.lo[own].tolist(), (ctx.hi[own] + length).tolist(), strict=True)), "<u8").reshape(-1, 2)
+                claims.append((ctx.gram[own], digest[:, 0].copy(), digest[:, 1].copy(), ids[doc], subs[doc], ctx.ordinal[own], (kind[sworn] == CLAIMS).astype(np.uint8)))
+                n_claims += len(own)
+                at, kind = at[~sworn], kind[~sworn]
+            if len(at):
+                lo, hi, key, doc = ctx.lo[at], ctx.hi[at], ctx.gram[at], ctx.doc[at]
+                alone = kind >= ASKS_APART
+                if alone.any():  # one row a window, by its own hash
+                    size = (hi - lo + 1)[alone]
+                    each = _ragged(lo[alone], size)
+                    lo, hi = np.concatenate([lo[~alone], each]), np.concatenate([hi[~alone], each])
+                    key = np.concatenate([key[~alone], ctx.windows(each)])
+                    doc = np.concatenate([doc[~alone], np.repeat(doc[alone], size)])
+                    kind = np.concatenate([kind[~alone], np.repeat(kind[alone] - 2, size)])
+                size = hi - lo + length
+                total = int(size.sum())
+                parts.append((key, ids[doc], subs[doc], lo - ctx.off[doc], size, (kind == ASKS).astype(np.uint8), base + np.cumsum(size) - size, ctx.data[_ragged(lo, size)]))
+                base += total
+                held += total + 40 * len(size)
             if held > SENT:
-                yield from send(parts)
-                parts, held = [], 0
+                yield from send(parts, 0)
+                parts, held, base = [], 0, 0
+            if n_claims > BATCH // 4:
+                yield from send(claims, 1)
+                claims, n_claims = [], 0
         if parts:
-            yield from send(parts)
+            yield from send(parts, 0)
+        if claims:
+            yield from send(claims, 1)
 
     return run
 
 
+def _sworn(held: list[bytes]) -> tuple[np.ndarray, ...]:
+    """document, sub, ordinal and whether it holds, of each claim: a smaller document has the very bytes."""
+    fields = [_values(memoryview(p), int.from_bytes(p[:4], "little"), _CLAIM_WIDTHS) for p in held]
+    key, one, two, doc, sub, ordinal, claim = (np.concatenate(x) for x in zip(*fields, strict=True))
+    doc = doc.view(np.int64)
+    order = np.lexsort((doc, two, one, key))
+    group = _groups(order, key, one, two)
+    low = doc[order][np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))][group]
+    own = claim[order] > 0
+    k = order[own]
+    return doc[k], sub[k].view(np.int64), ordinal[k].view(np.int64), doc[k] > low[own]
+
+
 def _order(length: int, chunk: int):
-    """Contexts with their bytes, by bucket, to the covered windows of those that asked."""
+    """Claims and contexts with their bytes, by bucket, to covered contexts and the covered windows of those that asked."""
     widths = (8, 8, 4, 4, 4, 1)
 
     def compare(doc, sub, lo, size, asks, text_at, text) -> tuple | None:
@@ -398,8 +473,16 @@ def _order(length: int, chunk: int):
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in _by_bucket(it):
+            if sworn := [p for k, p in held if k]:
+                doc, sub, ordinal, holds = _sworn(sworn)
+                for part, failed in ((holds, False), (~holds, True)):
+                    for b in _by_document(doc[part], sub[part], ordinal[part] << 3 | COVERED):
+                        yield _answer(b, failed=failed)
+            held = [p for k, p in held if not k]
+            if not held:
+                continue
             heads, texts, base = [], [], 0
-            for _, p in held:
+            for p in held:
                 n = int.from_bytes(p[:4], "little")
                 heads.append([*_values(memoryview(p), n, widths)])
                 body = np.frombuffer(p, np.uint8, offset=4 + n * sum(widths))
@@ -421,21 +504,30 @@ def _order(length: int, chunk: int):
                     out.append(got)
                 a = b
             if out:
-                yield from _by_document(*(np.concatenate(x) for x in zip(*out, strict=True)))
+                for b in _by_document(*(np.concatenate(x) for x in zip(*out, strict=True))):
+                    yield _answer(b, windows=True)
 
     return run
 
 
-def _finish(length: int, gram: int, kind: str, hot: np.ndarray):
+_ANSWER = "doc_id long, sub int, payload binary, single binary, failed boolean"
+
+
+def _answer(found: pa.RecordBatch, windows: bool = False, failed: bool = False) -> pa.RecordBatch:
+    codes, none = found.column("payload"), pa.nulls(found.num_rows, pa.binary())
+    return pa.RecordBatch.from_arrays([found.column("doc_id"), found.column("sub"), none if windows else codes, codes if windows else none, pa.array(np.full(found.num_rows, failed))], names=["doc_id", "sub", "payload", "single", "failed"])
+
+
+def _finish(length: int, gram: int, hot: np.ndarray, root: int = ROOT):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(it, most=SLICE):
+        for batch in _arrived(it):
             found, single = _codes(batch, "found"), _codes(batch, "single")
             col = batch.column("text")
             data, off = raw(col)
             size = np.diff(off)
             gone, spans, digest = [], [], []
             need = np.array([k for k, c in enumerate(found) if (c & 7 == COVERED).any()], int)
-            ctx = Contexts(*raw(col.take(pa.array(need))), length, gram, hot) if len(need) else None
+            ctx = Contexts(*raw(col.take(pa.array(need))), length, gram, hot, root=root) if len(need) else None
             place = {k: i for i, k in enumerate(need.tolist())}
             for k in range(batch.num_rows):
                 own = data[off[k] : off[k + 1]]
@@ -478,30 +570,41 @@ def numbered(docs: DataFrame) -> DataFrame:
     return keyed.select("doc_id", F.coalesce("sub", F.lit(0)).alias("sub"), "text")
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, chunk: int = CHUNK, sample: int = SAMPLE, least: int = HOT) -> DataFrame:
+def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, chunk: int = CHUNK, sample: int = SAMPLE, least: int = HOT, root: int = ROOT) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for each row of ``docs(doc_id, text)``.
 
-    Null texts are empty; a null doc_id is neither smaller nor larger than any
-    other, so its row stays whole and removes nothing; rows of one doc_id do
-    not remove from each other; repeated rows come back repeated; texts of
-    fewer than ``length`` bytes stay whole.
+    doc_id is an integer. Null texts are empty; a null doc_id is neither
+    smaller nor larger than any other, so its row stays whole and removes
+    nothing; rows of one doc_id do not remove from each other; repeated rows
+    come back repeated; texts of fewer than ``length`` bytes stay whole.
     """
-    spark = docs.sparkSession
-    n = partitions(spark)
-    buckets = 8 * n
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"doc_id must be an integer, not {kind}")
     texts = numbered(docs)
-    hot = hot_grams(texts, length, gram, sample, least)
-    dealt = texts.where("doc_id is not null and text is not null").mapInArrow(_deal(length, gram, buckets, hot), "bucket int, kind int, payload binary")
+    rows, size = sized(texts)
+    n = max(partitions(docs.sparkSession), -(-size // TASK))
+    buckets = 8 * n
+    hot = hot_grams(texts, length, gram, max(sample / max(1, rows), DENSE), least, root)
+    dealt = texts.where("doc_id is not null and text is not null").mapInArrow(_deal(length, gram, buckets, hot, root), "bucket int, kind int, payload binary")
     settled = dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(crowd), _FOUND)
     found = written(settled, "contexts").withColumn("single", F.lit(None).cast("binary"))
-    spread = texts.repartition(n, "doc_id", "sub")  # both joins below take this exchange
+    spread = texts.mapInArrow(_travelling, f"doc_id {kind}, sub int, text binary").repartition(n, "doc_id", "sub")  # both joins below take this exchange
     asked = spread.join(_gathered(found), ["doc_id", "sub"], "left").select("doc_id", "sub", "text", "found")
-    fetched = asked.mapInArrow(_fetch(length, gram, buckets, hot), "bucket int, kind int, payload binary")
-    ordered = fetched.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_order(length, chunk), _FOUND)
-    single = ordered.select("doc_id", "sub", F.lit(None).cast("binary").alias("payload"), F.col("payload").alias("single"))
-    both = spread.join(_gathered(found.union(single)), ["doc_id", "sub"], "left").select("doc_id", "text", "found", "single")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return both.mapInArrow(_finish(length, gram, kind, hot), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    fetched = asked.mapInArrow(_fetch(length, gram, buckets, hot, root), "bucket int, kind int, payload binary")
+    ordered = written(fetched.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_order(length, chunk), _ANSWER), "answers")
+    if not ordered.where("failed").isEmpty():  # different contexts had one hash
+        return deduplicated(docs, length, gram, crowd, chunk, sample, least, root * 25 & (1 << 64) - 1)
+    certain = found.mapInArrow(_only_covered, "doc_id long, sub int, payload binary, single binary")
+    both = spread.join(_gathered(certain.unionByName(ordered.drop("failed"))), ["doc_id", "sub"], "left").select("doc_id", "text", "found", "single")
+    return both.mapInArrow(_finish(length, gram, hot, root), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def _only_covered(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Payloads without the codes that are no answers."""
+    for batch in it:
+        codes = [np.frombuffer(p, "<i8") for p in batch.column("payload").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sub"), pa.array([c[c & 7 == COVERED].tobytes() for c in codes], pa.binary()), pa.nulls(batch.num_rows, pa.binary())], names=["doc_id", "sub", "payload", "single"])
 
 
 def _gathered(found: DataFrame) -> DataFrame:

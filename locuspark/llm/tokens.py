@@ -14,7 +14,6 @@ import pyarrow as pa
 
 U = np.uint64
 ROOT = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(ROOT, -1, 1 << 64)
 SPACE, WORD, MARK = 0, 1, 2
 
 
@@ -28,19 +27,22 @@ def tables() -> tuple[np.ndarray, np.ndarray]:
     return kind, lower
 
 
-def powers(n: int, cache: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006  one table in each worker
-    if len(cache.get("up", ())) < n:
+def powers(n: int, root: int = ROOT, cache: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006  tables of a worker
+    up, down = cache.get(root, ((), ()))
+    if len(up) < n:
         size = 1 << max(16, int(n - 1).bit_length())
+        both = []
         with np.errstate(over="ignore"):
-            for name, root in (("up", ROOT), ("down", INVERSE)):
+            for base in (root, pow(root, -1, 1 << 64)):
                 out = np.ones(size, U)
                 done = 1
                 while done < size:
-                    step = U(pow(root, done, 1 << 64))
+                    step = U(pow(base, done, 1 << 64))
                     out[done : 2 * done] = out[: min(done, size - done)] * step
                     done *= 2
-                cache[name] = out
-    return cache["up"][:n], cache["down"][:n]
+                both.append(out)
+        up, down = cache[root] = tuple(both)
+    return up[:n], down[:n]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

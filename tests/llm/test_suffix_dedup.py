@@ -68,7 +68,7 @@ def test_pieces_of_long_texts(spark, monkeypatch):
     assert spread(one) == spread(many) and len(many.lo) > len(one.lo)
     starts = np.array([0, 10, 63, 64, 65, 700, 2000])
     assert one.windows(starts).tolist() == many.windows(starts).tolist()
-    monkeypatch.setattr(suffix_dedup.Contexts.__init__, "__defaults__", (None, 64))
+    monkeypatch.setattr(suffix_dedup.Contexts.__init__, "__defaults__", (None, 64, suffix_dedup.ROOT))
     monkeypatch.setattr(suffix_dedup, "slices", lambda it, most: frames.slices(it, most=1))  # texts longer than a slice come alone
     got = suffix_dedup.deduplicated(table(spark, rows).coalesce(1))
     assert sorted(map(tuple, got.collect()), key=repr) == expected(rows, 50)
@@ -79,7 +79,7 @@ def test_hot_grams(spark):
     rng = random.Random(3)
     line = "this very line stands in each and every document of them"
     rows = [(k, "".join(rng.choice("abcdefghijkl ") for _ in range(80)) + line + "".join(rng.choice("abcdefghijkl ") for _ in range(80))) for k in range(100)]
-    hot = suffix_dedup.hot_grams(table(spark, rows), 50, 20, 1000, 50)
+    hot = suffix_dedup.hot_grams(table(spark, rows), 50, 20, 1.0, 50)
     assert 0 < len(hot) < 10 and (hot[:-1] < hot[1:]).all()
     got = suffix_dedup.deduplicated(table(spark, rows), least=50)
     assert sorted(map(tuple, got.collect()), key=repr) == expected(rows, 50)
@@ -129,3 +129,73 @@ def test_groups_beyond_the_suffix_order(monkeypatch):
             at = np.arange(len(small) - length)
             got, want = difference_cover.same_windows(small, at, length, 7), same_prefixes(small, at, length)
             assert len(set(zip(got.tolist(), want.tolist(), strict=True))) == len(set(got.tolist())) == len(set(want.tolist()))
+
+
+def test_colliding_hashes(spark, monkeypatch):
+    """Claims hold by their bytes only: where hashes collide, none that is wrong does."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    line = "a line of more than fifty bytes which is the same for all of them, "
+    texts = [line + "".join(rng.choice("ab") for _ in range(70)) for _ in range(12)]
+    col = pa.array(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array([0] * 12, pa.int32()), col], names=["doc_id", "sub", "text"])
+    first = {}
+    for i, t in enumerate(texts):
+        for k in range(len(t) - 49):
+            first.setdefault(t[k : k + 50], i)
+
+    class Colliding(suffix_dedup.Contexts):
+        def __init__(self, *args, **kw):
+            super().__init__(*args, **kw)
+            self.hash = self.hash & np.uint64(0)
+
+    monkeypatch.setattr(suffix_dedup, "Contexts", Colliding)
+    for batch_size in (10**6, 1):  # settled in a batch, or by claims
+        monkeypatch.setattr(suffix_dedup, "BATCH", batch_size)
+        batches = [batch.slice(k, 1) for k in range(12)]
+        by_bucket = lambda made: iter(sorted(made, key=lambda b: b.column("bucket")[0].as_py()))
+        rows = lambda made: [b.slice(k, 1) for b in made for k in range(b.num_rows)]
+        found = rows(suffix_dedup._settle(4096)(by_bucket(rows(suffix_dedup._deal(50, 20, 3, np.zeros(0, np.uint64))(iter(batches))))))
+        codes = {i: [[b.column("payload")[0].as_py() for b in found if b.column("doc_id")[0].as_py() == i]] for i in range(12)}
+        asked = [pa.RecordBatch.from_arrays([*next(suffix_dedup._travelling(iter([batches[i]]))).columns, pa.array(codes[i], pa.list_(pa.binary()))], names=["doc_id", "sub", "text", "found"]) for i in range(12)]
+        fetched = rows(suffix_dedup._fetch(50, 20, 3, np.zeros(0, np.uint64))(iter(asked)))
+        answers = rows(suffix_dedup._order(50, 10**6)(by_bucket(fetched)))
+        plain = suffix_dedup.Contexts(*suffix_dedup.raw(col), 50, 20)
+        holding, failing = [], 0
+        for b in [*found, *answers]:
+            if b.column("payload")[0].as_py() is None:
+                continue
+            own = np.frombuffer(b.column("payload")[0].as_py(), "<i8")
+            if "failed" in b.schema.names and b.column("failed")[0].as_py():
+                failing += 1
+                continue
+            holding += [(b.column("doc_id")[0].as_py(), o) for o in (own[own & 7 == suffix_dedup.COVERED] >> 3).tolist()]
+        assert holding and (failing or batch_size > 1)
+        for i, o in holding:
+            at = plain.first[i] + o
+            for w in range(int(plain.lo[at] - plain.off[i]), int(plain.hi[at] - plain.off[i]) + 1):
+                assert first[texts[i][w : w + 50]] < i
+
+
+def test_failed_claims_start_again(spark, monkeypatch):
+    """After a failed claim all is done with another root, and the answer is right."""
+    rows = random_rows(9)
+    roots, real = [], suffix_dedup.hot_grams
+    monkeypatch.setattr(suffix_dedup, "hot_grams", lambda *a: (roots.append(a[-1]), real(*a))[1])
+    order = suffix_dedup._order
+
+    def failing(length, chunk):
+        run = order(length, chunk)
+        return (lambda it: (b.set_column(4, "failed", pa_true(b)) for b in run(it))) if len(roots) == 1 else run
+
+    def pa_true(b):
+        import pyarrow as pa
+
+        return pa.array([True] * b.num_rows)
+
+    monkeypatch.setattr(suffix_dedup, "_order", failing)
+    got = suffix_dedup.deduplicated(table(spark, rows), 8, 4)
+    assert sorted(map(tuple, got.collect()), key=repr) == expected(rows, 8) and len(set(roots)) == 2
+    with pytest.raises(ValueError, match="integer"):
+        suffix_dedup.deduplicated(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
