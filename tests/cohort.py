@@ -43,27 +43,40 @@ def made(spark, n: int, info: dict | None = None, calls: dict | None = None, fix
     return VariantSet(spark.createDataFrame(rows, schema), tuple(samples), contigs, fields=tuple(fields), **about)
 
 
-def cohort(spark) -> VariantSet:
-    """Nine variants of three samples; genotypes and qualities that no expectation needs are invented."""
-    no = [-1, -1, -1]
-    gt = [
-        [[0, 0], [0, 0], [0, 1]], [[0, 0], [0, 0], [0, 1]], [[0, 0], [1, 0], [1, 1]], [[0, 0], [0, 1], [0, 0]], [[1, 2], [2, 1], [2, 2]],
-        [[0, 0], [0, 0], [0, 0]], [[0, 1], [0, 2], [-1, -1]], [[0, 0], [0, 0], [-1, -1]], [[0], [0, 1], [0, 2]],
-    ]
-    phased = [[True, True, False], [True, True, False], [True, True, False], [True, True, True], [True, True, False], [True, True, True], [False, False, False], [False, True, False], [True, False, True]]
+NAMES = ("ana", "bo", "cyd", "dee")
+#: chrom, pos, id, ref, alts, qual, filters, calls, and fields by key; nothing stands for missing.
+ROWS = [
+    ("chr3", 40, "tul1", "G", ["C"], 12.5, ["PASS"], "0|0 0|1 1|0 0/0", {"TD": 21, "PF": [0.25, -1], "ORI": "field", "NOV": True, "CNT": [2, -1], "td": [6, 4, 9, 2], "ql": [30, 11, 45, 8], "rr": [[1, 2], [3, 4], [5, 6], [7, 8]]}),
+    ("chr3", 41, None, "T", ["TA", "G"], 99.0, ["thin", "odd"], "1/2 0/0 ./. 2|1", {"TD": 7, "PF": [0.1, 0.4], "CNT": [2, 2], "td": [-1, 3, 1, 3], "ql": [-1, 20, 19, 21], "rr": [[-1, -1], [9, -1], [4, 4], [2, 0]]}),
+    ("chr3", 900, "tul2", "AC", ["A"], None, [], "0/0 0/0 0/0 0/1", {"NOV": True, "ql": [50, 50, 50, 2]}),
+    ("chr3", 5000, None, "C", [], 3.0, ["thin"], "./. ./. 0/0 0|0", {"TD": 0, "ORI": "lab", "td": [-1, -1, 12, 15]}),
+    ("chr8", 7, "tul3", "A", ["G"], 30.0, ["PASS"], "1|1 1|1 0/1 .|1", {"TD": 40, "PF": [0.875, -1], "ORI": "field", "CNT": [6, -1], "td": [11, 10, 9, 10], "ql": [5, 60, 33, 34]}),
+    ("chr8", 350, None, "GGT", ["G", "GGTGT", "<DEL>"], 61.25, ["odd"], "3/1 2/2 0/3 0/0", {"TD": 18, "NOV": True, "CNT": [1, 2], "td": [4, 5, 4, 5], "ql": [41, 42, 43, 44], "rr": [[8, 8], [8, 8], [8, 8], [8, 8]]}),
+    ("chr8", 352, "tul4", "T", ["A"], 30.0, ["PASS"], "0|0 0|0 0|0 0|0", {"TD": 33, "PF": [0.0, -1], "CNT": [0, -1], "td": [8, 8, 8, 9], "ql": [12, 13, 14, 15]}),
+    ("chr8", 88000, None, "C", ["T"], 0.5, ["thin"], "0/1 0/1 ./. ./.", {"ORI": "shed", "td": [2, 2, -1, -1], "ql": [99, 98, -1, -1]}),
+    ("chrY", 3, "tul5", "G", ["T"], 47.0, [], "1 0 1 .", {"TD": 9, "NOV": True, "CNT": [2, -1], "td": [5, 1, 3, 0], "ql": [22, 21, 20, -1]}),
+    ("chrY", 60, None, "A", ["AT"], 8.0, ["PASS"], "0 0 1 1", {"PF": [0.5, -1], "ORI": "lab", "ql": [1, 2, 3, 4]}),
+]
+ABOUT = {"TD": "Reads at the site", "PF": "Share in the population", "ORI": "Where it was found", "NOV": "Seen here first", "CNT": "Copies seen"}
+ABOUT_CALLS = {"td": "Reads of the sample", "ql": "Trust in the call", "rr": "Reads by strand"}
+
+
+def calls(text: str) -> list[list[int]]:
+    """Alleles of each call of a row."""
+    return [[-1 if a == "." else int(a) for a in c.replace("|", "/").split("/")] for c in text.split()]
+
+
+def tulips(spark) -> VariantSet:
+    """Ten invented variants of four samples."""
+    get = lambda key, empty: [r[8].get(key, empty) for r in ROWS]
+    no = [-1] * 4
     return made(
-        spark, 9,
-        info={
-            "AA": ([-1, -1, -1, -1, "T", "T", "G", -1, -1], "String", "1", "Ancestral Allele"), "AC": ([[-1, -1]] * 6 + [[1, 1]] + [[-1, -1]] * 2, "Integer", "2", "Allele count in genotypes"), "AF": ([[-1, -1], [-1, -1], [0.5, -1], [0.017, -1], [0.333, 0.667], *[[-1, -1]] * 4], "Float", "2", "Allele Frequency"),
-            "AN": ([-1] * 6 + [6, -1, -1], "Integer", "1", "Total number of alleles in called genotypes"), "DB": ([False, False, True, False, True, False, False, False, False], "Flag", "0", "dbSNP membership, build 129"), "DP": ([-1, -1, 14, 11, 10, 13, 9, -1, -1], "Integer", "1", "Total Depth"), "H2": ([k == 2 for k in range(9)], "Flag", "0", "HapMap2 membership"), "NS": ([-1, -1, 3, 3, 2, 3, 3, -1, -1], "Integer", "1", "Number of Samples With Data"),
-        },
-        calls={
-            "DP": ([no, no, [1, 8, 5], [3, 5, 3], [6, 0, 4], [-1, 4, 2], [4, 2, 3], no, no], "Integer", "1", "Read Depth"), "GQ": ([no, no, [48, 48, 43], [49, 3, 41], [21, 2, 35], [54, 48, 61], [20, 17, 40], no, no], "Integer", "1", "Genotype Quality"),
-            "HQ": ([[[10, 15], [10, 10], [3, 3]], [[10, 15], [10, 10], [3, 3]], [[51, 51], [51, 51], [-1, -1]], [[58, 50], [65, 3], [-1, -1]], [[23, 27], [18, 2], [-1, -1]], [[56, 60], [51, 51], [-1, -1]], *[[[-1, -1]] * 3] * 3], "Integer", "2", "Haplotype Quality"),
-        },
+        spark, len(ROWS),
+        info={"TD": (get("TD", -1), "Integer", "1", ABOUT["TD"]), "PF": (get("PF", [-1, -1]), "Float", "2", ABOUT["PF"]), "ORI": (get("ORI", -1), "String", "1", ABOUT["ORI"]), "NOV": (get("NOV", False), "Flag", "0", ABOUT["NOV"]), "CNT": (get("CNT", [-1, -1]), "Integer", "2", ABOUT["CNT"])},
+        calls={"TD": (get("td", no), "Integer", "1", ABOUT_CALLS["td"]), "QL": (get("ql", no), "Integer", "1", ABOUT_CALLS["ql"]), "RR": (get("rr", [[-1, -1]] * 4), "Integer", "2", ABOUT_CALLS["rr"])},
         fixed={
-            "chrom": ["19", "19", *["20"] * 6, "X"], "pos": [111, 112, 14370, 17330, 1110696, 1230237, 1234567, 1235237, 10], "rlen": [1, 1, 1, 1, 1, 1, 1, 1, 2], "id": [None, None, "rs6054257", None, "rs6040355", None, "microsat1", None, "rsTest"], "ref": ["A", "A", "G", "T", "A", "T", "G", "T", "AC"],
-            "alts": [["C"], ["G"], ["A"], ["A"], ["G", "T"], [], ["GA", "GAC"], [], ["A", "ATG", "C"]], "qual": [9.6, 10.0, 29.0, 3.0, 67.0, 47.0, 50.0, None, 10.0], "filters": [[], [], ["PASS"], ["q10"], ["PASS"], ["PASS"], ["PASS"], [], ["PASS"]], "gt": gt, "phased": phased,
+            "chrom": [r[0] for r in ROWS], "pos": [r[1] for r in ROWS], "rlen": [len(r[3]) for r in ROWS], "id": [r[2] for r in ROWS], "ref": [r[3] for r in ROWS], "alts": [r[4] for r in ROWS], "qual": [r[5] for r in ROWS], "filters": [r[6] for r in ROWS],
+            "gt": [calls(r[7]) for r in ROWS], "phased": [["|" in c or "/" not in c for c in r[7].split()] for r in ROWS],
         },
-        samples=("NA00001", "NA00002", "NA00003"), filters=("PASS", "s50", "q10"), filter_descriptions=("All filters passed", "Less than 50% of samples have data", "Quality below 10"), source="made by hand", max_alleles=4, max_rlen=2, meta=(("fileDate", "20090805"), ("phasing", "partial")),
+        samples=NAMES, contigs=("chr3", "chr8", "chrY"), filters=("PASS", "thin", "odd"), filter_descriptions=("All filters passed", "Few reads", "Looks odd"), source="a garden", max_alleles=4, max_rlen=3, meta=(("fileDate", "20240229"), ("season", "spring")),
     )

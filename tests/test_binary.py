@@ -8,7 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
-from cohort import cohort, made
+from cohort import made, tulips
 
 from locuspark.sinks import bgen, plink
 from locuspark.sinks.random_access import BedEncoder, BgenEncoder
@@ -60,7 +60,7 @@ def test_plink_errors(spark, five):
     with pytest.raises(ValueError, match="white space"):
         plink.fam(("a b",))
     with pytest.raises(Exception, match="two alleles"):
-        plink.write_bed(cohort(spark), io.BytesIO())
+        plink.write_bed(tulips(spark), io.BytesIO())
 
 
 def decoded(data):

@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from cohort import cohort
+from cohort import NAMES, ROWS, tulips
 
 import locuspark
 from locuspark import cli
@@ -168,8 +168,8 @@ def test_sentinels():
 # --- command line -----------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def kept(spark, tmp_path_factory):
-    path = str(tmp_path_factory.mktemp("sets") / "nine")
-    tables.write(cohort(spark), path)
+    path = str(tmp_path_factory.mktemp("sets") / "ten")
+    tables.write(tulips(spark), path)
     return path
 
 
@@ -180,33 +180,35 @@ def run(spark, capsys, *argv):
 
 
 def test_commands(spark, kept, capsys, tmp_path):
-    assert run(spark, capsys, "index", "-n", kept)[1] == "9\n"
-    assert run(spark, capsys, "index", "-s", kept)[1] == "19\t.\t2\n20\t.\t6\nX\t.\t1\n"
+    assert run(spark, capsys, "index", "-n", kept)[1] == f"{len(ROWS)}\n"
+    assert run(spark, capsys, "index", "-s", kept)[1] == "".join(f"{c}\t.\t{sum(r[0] == c for r in ROWS)}\n" for c in ("chr3", "chr8", "chrY"))
     assert run(spark, capsys, "index", kept)[0] == 2 and run(spark, capsys, "index", "-n", "-s", kept)[0] == 2
-    assert run(spark, capsys, "query", "-l", kept)[1] == "NA00001\nNA00002\nNA00003\n"
+    assert run(spark, capsys, "query", "-l", kept)[1] == "".join(f"{n}\n" for n in NAMES)
     assert run(spark, capsys, "query", kept)[0] == 2
-    assert run(spark, capsys, "query", "-f", "%POS[ %DP]", "-r", "20:1-20000", "-s", "^NA00002", kept)[1] == "14370 1 5\n17330 3 3\n"
-    code, out, _ = run(spark, capsys, "view", "-H", "-s", "NA00002,NA00001", "-i", "INFO/DP > 10", "-M", "2", "-v", "snps", kept)
-    assert code == 0 and [line.split("\t")[1] for line in out.splitlines()] == ["14370", "17330"] and "AC=1;AF=0.5,.;AN=4" in out and "\t1|0:8:48:51,51\t0|0" in out
+    assert run(spark, capsys, "query", "-f", "%POS[ %TD]", "-r", "chr8:1-400", "-s", "^bo,dee", kept)[1] == "".join(f"{r[1]} {r[8]['td'][0]} {r[8]['td'][2]}\n" for r in ROWS if r[0] == "chr8" and r[1] <= 400)
+    code, out, _ = run(spark, capsys, "view", "-H", "-s", "dee,ana", "-i", "INFO/TD > 20", "-M", "2", "-v", "snps", kept)
+    assert code == 0 and [line.split("\t")[1] for line in out.splitlines()] == ["40", "7", "352"] and out.startswith("chr3\t40\ttul1\tG\tC\t12.5\tPASS\tAC=0;AN=4;CNT=2,.;NOV;ORI=field;PF=0.25,.;TD=21\tGT:QL:RR:TD\t0/0:8:7,8:2\t0|0:30:1,2:6\n")
     assert run(spark, capsys, "view", "-h", "--no-version", "-G", kept)[1].endswith("FILTER\tINFO\n")
-    assert run(spark, capsys, "query", "-i", "DP > 3", "-f", "%POS", kept)[2].startswith("Error: ambiguous")
-    for extra in (["-r", "19", "-R", "f"], ["-i", "POS>1", "-e", "POS>1"], ["-G", "-s", "NA00001"], ["-G", "--fill-tags", "AC"], ["-I", "--fill-tags", "AC"], ["--fill-tags", "MAF"], ["-s", "^NA00001,NA00002,NA00003"], ["-o", "x.bcf"], ["-v", "snps", "-V", "snps"], ["-v", "refs"], ["-G", "-i", "FMT/DP > 1"]):
-        code, _, err = run(spark, capsys, "view", *extra, kept)
+    assert run(spark, capsys, "query", "-i", "TD > 3", "-f", "%POS", kept)[2].startswith("Error: ambiguous")
+    wrong = "-r chr3 -R f, -i POS>1 -e POS>1, -G -s ana, -G --fill-tags AC, -I --fill-tags AC, --fill-tags MAF, -s ^" + "+".join(NAMES) + ", -o x.bcf, -v snps -V snps, -v refs, -G -i FMT/TD>1"
+    for extra in wrong.split(", "):
+        code, _, err = run(spark, capsys, "view", *(x.replace("+", ",") for x in extra.split()), kept)
         assert code == 1 and err.startswith("Error"), extra
     path = tmp_path / "out.vcf"
     assert run(spark, capsys, "view", "--no-version", "-o", path, kept)[0] == 0
-    assert run(spark, capsys, "query", "-f", "%POS", path)[1].splitlines() == ["111", "112", "14370", "17330", "1110696", "1230237", "1234567", "1235237", "10"]
+    assert run(spark, capsys, "query", "-f", "%POS", path)[1].split() == [str(r[1]) for r in ROWS]
 
 
 def test_exports(spark, kept, capsys, tmp_path):
-    stem = tmp_path / "p"
+    stem, two = tmp_path / "p", sum(len(r[4]) <= 1 for r in ROWS)
     assert run(spark, capsys, "view-plink", "-o", stem, kept)[0] != 0
-    assert run(spark, capsys, "view-plink", "-o", stem, "-M", "2", "-s", "NA00003,NA00001", kept)[0] == 0
-    assert (tmp_path / "p.fam").read_text().startswith("NA00003") and len((tmp_path / "p.bim").read_text().splitlines()) == 6
-    assert run(spark, capsys, "view-bgen", "-o", stem, "-M", "2", "--no-bgi", "--fixed-variant-size", "--pad-byte", "-", kept)[0] == 0
+    assert run(spark, capsys, "view-plink", "-o", stem, "-M", "2", "-s", "cyd,ana", kept)[0] == 0
+    assert (tmp_path / "p.fam").read_text().startswith("cyd") and len((tmp_path / "p.bim").read_text().splitlines()) == two
+    diploid = ["-M", "2", "-r", "chr3,chr8"]
+    assert run(spark, capsys, "view-bgen", "-o", stem, *diploid, "--no-bgi", "--fixed-variant-size", "--pad-byte", "-", kept)[0] == 0
     assert (tmp_path / "p.bgen").read_bytes()[16:20] == b"bgen" and (tmp_path / "p.sample").exists() and not (tmp_path / "p.bgen.bgi").exists()
     opts = cli.ViewBgenOptions(selection=cli.SelectionOptions(max_alleles=2))
-    assert opts.variants(spark, kept).num_variants() == 6
+    assert opts.variants(spark, kept).num_variants() == two
 
 
 def test_storage_options():
@@ -226,7 +228,8 @@ def test_public_names():
 def test_stream(spark, kept, tmp_path):
     from locuspark.plans.formats import formatted
 
-    vs = F.follow(spark, kept).with_samples(["NA00002"]).with_filter("FMT/DP > 3")
-    query = F.append(formatted(vs, "%POS[ %DP]"), str(tmp_path / "out"), str(tmp_path / "state"), availableNow=True)
+    vs = F.follow(spark, kept).with_samples(["cyd"]).with_filter("FMT/TD > 3")
+    query = F.append(formatted(vs, "%POS[ %TD]"), str(tmp_path / "out"), str(tmp_path / "state"), availableNow=True)
     query.awaitTermination(120)
-    assert sorted(r["text"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["1230237 4\n", "14370 8\n", "17330 5\n"]
+    reads = [(r[1], r[8].get("td", [-1] * 4)[2]) for r in ROWS]
+    assert sorted(r["text"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(f"{p} {x}\n" for p, x in reads if x > 3)
