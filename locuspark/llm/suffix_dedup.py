@@ -192,25 +192,61 @@ def _first(doc: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether the ``size`` bytes from ``a`` and from ``b`` are the same."""
-    if not len(a):
-        return np.zeros(0, bool)
-    return np.logical_and.reduceat(data[_ragged(a, size)] == data[_ragged(b, size)], np.cumsum(size) - size)
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """Whether the ``size`` bytes from ``a`` and from ``b`` are the same; about ``most`` bytes are looked at at once."""
+    out = np.zeros(len(a), bool)
+    total = np.cumsum(size)
+    i = 0
+    while i < len(a):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + most, "right")))
+        own = size[i:j]
+        out[i:j] = np.logical_and.reduceat(data[_ragged(a[i:j], own)] == data[_ragged(b[i:j], own)], np.cumsum(own) - own)
+        i = j
+    return out
 
 
 _WIDTHS = (6, 6, 8, 4, 4)
-_FOUND = "doc_id long, sub int, payload binary"
+_FOUND = "bucket int, kind int, payload binary"
+#: What a payload for documents holds: codes of contexts, first bytes of covered windows, or claims that failed.
+CODES, WINDOWS, FAILED = range(3)
+_FOUND_WIDTHS = (8, 4, 5)
+
+
+def _by_document(doc: np.ndarray, sub: np.ndarray, code: np.ndarray, kind: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Codes by bucket of documents."""
+    rows = [(b, kind, _pack([(x[k], w) for x, w in zip((doc, sub, code), _FOUND_WIDTHS, strict=True)])) for b, k in _cut((mixed(doc.astype(U) ^ mixed(sub.astype(U))) % U(buckets)).astype(np.int64))]
+    if rows:
+        b, kinds, payload = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(kinds, pa.int32()), pa.array(payload, pa.binary())], names=["bucket", "kind", "payload"])
+
+
+_COLLECTED = "doc_id long, sub int, found binary, single binary"
+
 
+def _collect(answers: bool):
+    """Payloads of each bucket to one row a document; ``answers``: without the codes that are none."""
 
-def _by_document(doc: np.ndarray, sub: np.ndarray, code: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row for each document with its codes as 64-bit words."""
-    if not len(doc):
-        return
-    order = np.lexsort((code, sub, doc))
-    doc, sub, code = doc[order], sub[order], code[order].astype("<i8")
-    at = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (sub[1:] != sub[:-1]), [True]]))
-    yield pa.RecordBatch.from_arrays([pa.array(doc[at[:-1]]), pa.array(sub[at[:-1]].astype(np.int32)), pa.array([code[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["doc_id", "sub", "payload"])
+    def words(held: list[tuple[int, bytes]], kind: int) -> dict[tuple[int, int], bytes]:
+        fields = [_values(memoryview(p), int.from_bytes(p[:4], "little"), _FOUND_WIDTHS) for k, p in held if k == kind]
+        if not fields:
+            return {}
+        doc, sub, code = (np.concatenate(x).view(np.int64) for x in zip(*fields, strict=True))
+        if answers and kind == CODES:
+            doc, sub, code = (x[code & 7 == COVERED] for x in (doc, sub, code))
+        order = np.lexsort((code, sub, doc))
+        doc, sub, code = doc[order], sub[order], code[order]
+        at = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (sub[1:] != sub[:-1]), [True]])) if len(doc) else np.zeros(1, int)
+        return {(int(doc[a]), int(sub[a])): code[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)}
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in _by_bucket(it):
+            found, single = words(held, CODES), words(held, WINDOWS)
+            names = sorted(found.keys() | single.keys())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([d for d, _ in names], pa.int64()), pa.array([s for _, s in names], pa.int32()), pa.array([found.get(n) for n in names], pa.binary()), pa.array([single.get(n) for n in names], pa.binary())], names=["doc_id", "sub", "found", "single"]
+            )
+
+    return run
 
 
 def sized(texts: DataFrame) -> tuple[int, int]:
@@ -291,7 +327,7 @@ def _by_bucket(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[i
         yield now, held
 
 
-def _settle(crowd: int):
+def _settle(crowd: int, buckets: int):
     """Contexts of each bucket to what their documents need to know."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,12 +364,12 @@ def _settle(crowd: int):
                 for keep, what in ((claims | asks | gives, code), (vouches, np.full(len(d), VOUCHES))):
                     own = order[keep]
                     out.append((doc[own], sub[own], ordinal[own] << 3 | what[keep]))
-            n += sum(len(x[0]) for x in out[-2:])
+            n = sum(len(x[0]) for x in out)
             if n > BATCH:
-                yield from _by_document(*(np.concatenate(x) for x in zip(*out, strict=True)))
+                yield from _by_document(*(np.concatenate(x) for x in zip(*out, strict=True)), CODES, buckets)
                 out, n = [], 0
         if out:
-            yield from _by_document(*(np.concatenate(x) for x in zip(*out, strict=True)))
+            yield from _by_document(*(np.concatenate(x) for x in zip(*out, strict=True)), CODES, buckets)
 
     return run
 
@@ -344,7 +380,7 @@ def _ragged(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _codes(batch: pa.RecordBatch, column: str) -> list[np.ndarray]:
-    return [np.concatenate([np.frombuffer(p, "<i8") for p in row]) if row else np.zeros(0, np.int64) for row in batch.column(column).to_pylist()]
+    return [np.frombuffer(p or b"", "<i8") for p in batch.column(column).to_pylist()]
 
 
 def _travelling(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -452,7 +488,7 @@ def _sworn(held: list[bytes]) -> tuple[np.ndarray, ...]:
     return doc[k], sub[k].view(np.int64), ordinal[k].view(np.int64), doc[k] > low[own]
 
 
-def _order(length: int, chunk: int):
+def _order(length: int, chunk: int, buckets: int):
     """Claims and contexts with their bytes, by bucket, to covered contexts and the covered windows of those that asked."""
     widths = (8, 8, 4, 4, 4, 1)
 
@@ -471,13 +507,21 @@ def _order(length: int, chunk: int):
         own = owner[hit]
         return doc[own], sub[own], lo[own] + (starts[hit] - begin[own])
 
+    def send(answers: dict[int, list[tuple]]) -> Iterator[pa.RecordBatch]:
+        for kind, parts in answers.items():
+            if parts:
+                yield from _by_document(*(np.concatenate(x) for x in zip(*parts, strict=True)), kind, buckets)
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answers: dict[int, list[tuple]] = {k: [] for k in (CODES, WINDOWS, FAILED)}
         for _, held in _by_bucket(it):
+            if sum(len(x[0]) for kind in answers.values() for x in kind) > BATCH:
+                yield from send(answers)
+                answers = {k: [] for k in answers}
             if sworn := [p for k, p in held if k]:
                 doc, sub, ordinal, holds = _sworn(sworn)
-                for part, failed in ((holds, False), (~holds, True)):
-                    for b in _by_document(doc[part], sub[part], ordinal[part] << 3 | COVERED):
-                        yield _answer(b, failed=failed)
+                for part, kind in ((holds, CODES), (~holds, FAILED)):
+                    answers[kind].append((doc[part], sub[part], ordinal[part] << 3 | COVERED))
             held = [p for k, p in held if not k]
             if not held:
                 continue
@@ -496,28 +540,18 @@ def _order(length: int, chunk: int):
             order = np.lexsort((doc, key))
             ends = np.flatnonzero(np.concatenate([key[order][1:] != key[order][:-1], [True]])) + 1  # groups stay whole
             total = np.cumsum(size[order])
-            out, a = [], 0
+            a = 0
             while a < len(order):
                 b = int(ends[min(np.searchsorted(total[ends - 1], (total[a - 1] if a else 0) + chunk, "right"), len(ends) - 1)])
                 k = order[a:b]
                 if asks[k].any() and (got := compare(doc[k], sub[k], lo[k], size[k], asks[k], at[k], text)):
-                    out.append(got)
+                    answers[WINDOWS].append(got)
                 a = b
-            if out:
-                for b in _by_document(*(np.concatenate(x) for x in zip(*out, strict=True))):
-                    yield _answer(b, windows=True)
+        yield from send(answers)
 
     return run
 
 
-_ANSWER = "doc_id long, sub int, payload binary, single binary, failed boolean"
-
-
-def _answer(found: pa.RecordBatch, windows: bool = False, failed: bool = False) -> pa.RecordBatch:
-    codes, none = found.column("payload"), pa.nulls(found.num_rows, pa.binary())
-    return pa.RecordBatch.from_arrays([found.column("doc_id"), found.column("sub"), none if windows else codes, codes if windows else none, pa.array(np.full(found.num_rows, failed))], names=["doc_id", "sub", "payload", "single", "failed"])
-
-
 def _finish(length: int, gram: int, hot: np.ndarray, root: int = ROOT):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _arrived(it):
@@ -586,27 +620,16 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd:
     n = max(partitions(docs.sparkSession), -(-size // TASK))
     buckets = 8 * n
     hot = hot_grams(texts, length, gram, max(sample / max(1, rows), DENSE), least, root)
-    dealt = texts.where("doc_id is not null and text is not null").mapInArrow(_deal(length, gram, buckets, hot, root), "bucket int, kind int, payload binary")
-    settled = dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(crowd), _FOUND)
-    found = written(settled, "contexts").withColumn("single", F.lit(None).cast("binary"))
+    dealt = texts.where("doc_id is not null and text is not null").mapInArrow(_deal(length, gram, buckets, hot, root), _FOUND)
+    by_bucket = lambda df: df.repartition(n, "bucket").sortWithinPartitions("bucket")
+    found = written(by_bucket(dealt).mapInArrow(_settle(crowd, buckets), _FOUND), "contexts")
     spread = texts.mapInArrow(_travelling, f"doc_id {kind}, sub int, text binary").repartition(n, "doc_id", "sub")  # both joins below take this exchange
-    asked = spread.join(_gathered(found), ["doc_id", "sub"], "left").select("doc_id", "sub", "text", "found")
-    fetched = asked.mapInArrow(_fetch(length, gram, buckets, hot, root), "bucket int, kind int, payload binary")
-    ordered = written(fetched.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_order(length, chunk), _ANSWER), "answers")
-    if not ordered.where("failed").isEmpty():  # different contexts had one hash
+    told = by_bucket(found).mapInArrow(_collect(False), _COLLECTED)
+    asked = spread.join(told, ["doc_id", "sub"], "left").select("doc_id", "sub", "text", "found")
+    fetched = asked.mapInArrow(_fetch(length, gram, buckets, hot, root), _FOUND)
+    ordered = written(by_bucket(fetched).mapInArrow(_order(length, chunk, buckets), _FOUND), "answers")
+    if not ordered.where(F.col("kind") == FAILED).isEmpty():  # different contexts had one hash
         return deduplicated(docs, length, gram, crowd, chunk, sample, least, root * 25 & (1 << 64) - 1)
-    certain = found.mapInArrow(_only_covered, "doc_id long, sub int, payload binary, single binary")
-    both = spread.join(_gathered(certain.unionByName(ordered.drop("failed"))), ["doc_id", "sub"], "left").select("doc_id", "text", "found", "single")
+    told = by_bucket(found.unionByName(ordered)).mapInArrow(_collect(True), _COLLECTED)
+    both = spread.join(told, ["doc_id", "sub"], "left").select("doc_id", "text", "found", "single")
     return both.mapInArrow(_finish(length, gram, hot, root), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-
-
-def _only_covered(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Payloads without the codes that are no answers."""
-    for batch in it:
-        codes = [np.frombuffer(p, "<i8") for p in batch.column("payload").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sub"), pa.array([c[c & 7 == COVERED].tobytes() for c in codes], pa.binary()), pa.nulls(batch.num_rows, pa.binary())], names=["doc_id", "sub", "payload", "single"])
-
-
-def _gathered(found: DataFrame) -> DataFrame:
-    """Payloads of each document; they describe its own contexts, so they are bounded by its length."""
-    return found.groupBy("doc_id", "sub").agg(F.collect_list("payload").alias("found"), F.collect_list("single").alias("single"))

@@ -156,21 +156,14 @@ def test_colliding_hashes(spark, monkeypatch):
         batches = [batch.slice(k, 1) for k in range(12)]
         by_bucket = lambda made: iter(sorted(made, key=lambda b: b.column("bucket")[0].as_py()))
         rows = lambda made: [b.slice(k, 1) for b in made for k in range(b.num_rows)]
-        found = rows(suffix_dedup._settle(4096)(by_bucket(rows(suffix_dedup._deal(50, 20, 3, np.zeros(0, np.uint64))(iter(batches))))))
-        codes = {i: [[b.column("payload")[0].as_py() for b in found if b.column("doc_id")[0].as_py() == i]] for i in range(12)}
-        asked = [pa.RecordBatch.from_arrays([*next(suffix_dedup._travelling(iter([batches[i]]))).columns, pa.array(codes[i], pa.list_(pa.binary()))], names=["doc_id", "sub", "text", "found"]) for i in range(12)]
+        found = rows(suffix_dedup._settle(4096, 3)(by_bucket(rows(suffix_dedup._deal(50, 20, 3, np.zeros(0, np.uint64))(iter(batches))))))
+        told = {r["doc_id"]: r["found"] for b in suffix_dedup._collect(False)(by_bucket(found)) for r in b.to_pylist()}
+        asked = [pa.RecordBatch.from_arrays([*next(suffix_dedup._travelling(iter([batches[i]]))).columns, pa.array([told.get(i)], pa.binary())], names=["doc_id", "sub", "text", "found"]) for i in range(12)]
         fetched = rows(suffix_dedup._fetch(50, 20, 3, np.zeros(0, np.uint64))(iter(asked)))
-        answers = rows(suffix_dedup._order(50, 10**6)(by_bucket(fetched)))
+        answers = rows(suffix_dedup._order(50, 10**6, 3)(by_bucket(fetched)))
         plain = suffix_dedup.Contexts(*suffix_dedup.raw(col), 50, 20)
-        holding, failing = [], 0
-        for b in [*found, *answers]:
-            if b.column("payload")[0].as_py() is None:
-                continue
-            own = np.frombuffer(b.column("payload")[0].as_py(), "<i8")
-            if "failed" in b.schema.names and b.column("failed")[0].as_py():
-                failing += 1
-                continue
-            holding += [(b.column("doc_id")[0].as_py(), o) for o in (own[own & 7 == suffix_dedup.COVERED] >> 3).tolist()]
+        failing = sum(b.column("kind")[0].as_py() == suffix_dedup.FAILED for b in answers)
+        holding = [(r["doc_id"], o >> 3) for b in suffix_dedup._collect(True)(by_bucket([*found, *answers])) for r in b.to_pylist() for o in np.frombuffer(r["found"] or b"", "<i8").tolist()]
         assert holding and (failing or batch_size > 1)
         for i, o in holding:
             at = plain.first[i] + o
@@ -185,14 +178,11 @@ def test_failed_claims_start_again(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "hot_grams", lambda *a: (roots.append(a[-1]), real(*a))[1])
     order = suffix_dedup._order
 
-    def failing(length, chunk):
-        run = order(length, chunk)
-        return (lambda it: (b.set_column(4, "failed", pa_true(b)) for b in run(it))) if len(roots) == 1 else run
-
-    def pa_true(b):
+    def failing(length, chunk, buckets):
         import pyarrow as pa
 
-        return pa.array([True] * b.num_rows)
+        run = order(length, chunk, buckets)
+        return (lambda it: (b.set_column(1, "kind", pa.array([2] * b.num_rows, pa.int32())) for b in run(it))) if len(roots) == 1 else run
 
     monkeypatch.setattr(suffix_dedup, "_order", failing)
     got = suffix_dedup.deduplicated(table(spark, rows), 8, 4)
