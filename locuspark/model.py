@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 
 from locuspark.functions.binding import let, numbers
 
+#: Rows of a table of variant indexes up to which it is broadcast.
+BROADCAST = 1_000_000
 #: Fixed columns by their name in expressions and formats.
 FIXED = {"POS": "pos", "ID": "id", "QUAL": "qual", "CHROM": "chrom", "FILTER": "filters", "REF": "ref", "ALT": "alts"}
 
@@ -132,14 +134,20 @@ class VariantSet:
         return replace(self, df=R.matching(self.df, R.intervals(targets, self.contigs), complement))
 
     def with_variants(self, indexes: Sequence[int] | DataFrame) -> VariantSet:
-        """Only these variant_index values; a DataFrame of them is joined, a list becomes a literal or a small table."""
-        if isinstance(indexes, DataFrame):
-            return replace(self, df=self.df.join(indexes.select("variant_index"), "variant_index", "left_semi"))
-        values = sorted(set(indexes))
-        if len(values) <= 100:
-            return replace(self, df=self.df.where(F.col("variant_index").isin(values)))
-        table = self.df.sparkSession.createDataFrame([(v,) for v in values], "variant_index long")
-        return self.with_variants(F.broadcast(table) if len(values) <= 1_000_000 else table)
+        """Only these variant_index values: a list becomes a literal or a table, and a table of up to ``BROADCAST`` rows is broadcast.
+
+        Either way the bounds of the values prune the scan; only longer tables shuffle the variants.
+        """
+        index = F.col("variant_index")
+        if not isinstance(indexes, DataFrame):
+            values = sorted(set(indexes))
+            if len(values) <= 100:
+                return replace(self, df=self.df.where(index.isin(values)))
+            indexes = self.df.sparkSession.createDataFrame([(v,) for v in values], "variant_index long")
+        table = indexes.select(index.cast("long").alias("variant_index"))
+        n, low, high = table.agg(F.count("*"), F.min(index), F.max(index)).first()
+        df = self.df.where(index.between(low, high)) if n else self.df.where(F.lit(False))
+        return replace(self, df=df.join(F.broadcast(table) if n <= BROADCAST else table, "variant_index", "left_semi"))
 
     def with_frame(self, df: DataFrame) -> VariantSet:
         """The same metadata over other rows."""
@@ -163,15 +171,15 @@ class VariantSet:
         return replace(self, mode=mode, view=view, forced=frozenset(forced))
 
     def materialised(self) -> VariantSet:
-        """The filter evaluated once, as a table of surviving indexes that replaces it."""
+        """The filter as a narrow condition of the rows, which later steps take for granted; nothing is joined or kept."""
         from locuspark.plans.resolve import result
 
         if not self.conditions:
             return self
-        if result(self).cells is not None:
+        out = result(self)
+        if out.cells is not None:
             raise ValueError("a filter over samples cannot be materialised")
-        kept = result(self).df.select("variant_index").persist()
-        return replace(self, conditions=()).with_variants(kept)
+        return replace(self, conditions=(), df=out.df)
 
     # --- columns ----------------------------------------------------------------
     def call(self, name: str, whole_cohort: bool = False) -> Column:

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 #: (contig, start, end): 1-based, closed; None is open.
 Interval = tuple[str, int | None, int | None]
-#: Intervals up to which the test is a literal condition, and up to which they are broadcast.
-LITERAL, BROADCAST = 32, 200_000
+#: Intervals up to which the test is a literal condition, and rows up to which a table of their bins is broadcast.
+LITERAL, BROADCAST = 32, 1_000_000
 BIN = 1 << 14
+OPEN = 1 << 62
 
 
 def parse(text: str) -> Interval:
@@ -64,7 +65,7 @@ def intervals(given: str | Iterable, contigs: Sequence[str]) -> list[Interval]:
 def merged(found: list[Interval]) -> list[tuple[str, int, int]]:
     """Disjoint intervals that cover the same positions."""
     out: list[list] = []
-    for c, a, b in sorted((c, a or 0, (1 << 62) if b is None else b) for c, a, b in found):
+    for c, a, b in sorted((c, a or 0, OPEN if b is None else b) for c, a, b in found):
         if out and out[-1][0] == c and a <= out[-1][2] + 1:
             out[-1][2] = max(out[-1][2], b)
         else:
@@ -79,15 +80,18 @@ def _joined(df: DataFrame, found: list[Interval], past: Column, how: str) -> Dat
         for c, a, b in rows:
             hit = hit | ((F.col("chrom") == c) & (F.col("pos") <= b) & (past >= a))
         return df.where(hit if how == "left_semi" else ~hit)
+    # A variant asks one key: the bin it begins in, or -1 if it is longer than a bin. An interval
+    # stands in every bin from one before its start, and under -1. So no row is ever spread.
+    if any(b == OPEN for _, _, b in rows):
+        top = int(df.agg(F.max(F.greatest("pos", past))).first()[0] or 0)
+        rows = [(c, a, min(b, max(a, top))) for c, a, b in rows]
+    size = sum(b // BIN - a // BIN + 3 for _, a, b in rows)
     table = df.sparkSession.createDataFrame(rows, "_c string, _a long, _b long")
-    if len(rows) <= BROADCAST:
-        return df.join(F.broadcast(table), (F.col("chrom") == F.col("_c")) & (F.col("pos") <= F.col("_b")) & (past >= F.col("_a")), how)
-    # Too many to broadcast: both sides meet in bins of positions.
-    top = df.agg(F.max(past)).first()[0] or 0
-    table = table.select("_c", "_a", "_b", F.explode(F.sequence((F.col("_a") / BIN).cast("long"), (F.least(F.col("_b"), F.lit(top)) / BIN).cast("long"))).alias("_bin"))
-    spread = df.select("variant_index", "chrom", "pos", past.alias("_past"), F.explode(F.sequence((F.col("pos") / BIN).cast("long"), (past / BIN).cast("long"))).alias("_bin"))
-    hits = spread.join(table, (F.col("chrom") == F.col("_c")) & (spread["_bin"] == table["_bin"]) & (F.col("pos") <= F.col("_b")) & (F.col("_past") >= F.col("_a")), "left_semi")
-    return df.join(hits.select("variant_index").distinct(), "variant_index", how)
+    bins = F.sequence(F.greatest(F.floor(F.col("_a") / BIN) - 1, F.lit(0)), F.floor(F.col("_b") / BIN))
+    table = table.select("_c", "_a", "_b", F.explode(F.concat(bins, F.array(F.lit(-1).cast("long")))).alias("_bin"))
+    own = F.when(past - F.col("pos") < BIN, F.floor(F.col("pos") / BIN)).otherwise(F.lit(-1))
+    met = (F.col("chrom") == F.col("_c")) & (own == F.col("_bin")) & (F.col("pos") <= F.col("_b")) & (past >= F.col("_a"))
+    return df.join(F.broadcast(table) if size <= BROADCAST else table, met, how)
 
 
 def overlapping(df: DataFrame, found: list[Interval], max_rlen: int = 1 << 30) -> DataFrame:
