@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locuspark.llm.difference_cover import same_prefixes
-from locuspark.llm.frames import columns, partitions, slices, written
+from locuspark.llm.frames import columns, partitions, slices, trimmed, written
 from locuspark.llm.tokens import ROOT, U, mixed, powers, raw
 
 LENGTH, GRAM = 50, 20
@@ -274,6 +274,7 @@ def _deal(length: int, gram: int, buckets: int, hot: np.ndarray, root: int = ROO
 
     def send(parts: list) -> Iterator[pa.RecordBatch]:
         grams, hashes, doc, sub, ordinal, begin, size, data = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
         first = _first(doc, grams, hashes)
         settled = np.flatnonzero((doc > doc[first]) & (size == size[first]))
         settled = settled[same_bytes(data, begin[settled], begin[first[settled]], size[settled])]
@@ -413,6 +414,7 @@ def _fetch(length: int, gram: int, buckets: int, hot: np.ndarray, root: int = RO
 
     def send(parts: list, kind: int) -> Iterator[pa.RecordBatch]:
         key, *fields = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
         for b, k in _cut(((key >> U(48)) % U(buckets)).astype(np.int64)):
             k = k[np.argsort(key[k], kind="stable")]
             if kind:
@@ -620,16 +622,16 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd:
     n = max(partitions(docs.sparkSession), -(-size // TASK))
     buckets = 8 * n
     hot = hot_grams(texts, length, gram, max(sample / max(1, rows), DENSE), least, root)
-    dealt = texts.where("doc_id is not null and text is not null").mapInArrow(_deal(length, gram, buckets, hot, root), _FOUND)
+    dealt = texts.where("doc_id is not null and text is not null").mapInArrow(trimmed(_deal(length, gram, buckets, hot, root)), _FOUND)
     by_bucket = lambda df: df.repartition(n, "bucket").sortWithinPartitions("bucket")
-    found = written(by_bucket(dealt).mapInArrow(_settle(crowd, buckets), _FOUND), "contexts")
-    spread = texts.mapInArrow(_travelling, f"doc_id {kind}, sub int, text binary").repartition(n, "doc_id", "sub")  # both joins below take this exchange
-    told = by_bucket(found).mapInArrow(_collect(False), _COLLECTED)
+    found = written(by_bucket(dealt).mapInArrow(trimmed(_settle(crowd, buckets)), _FOUND), "contexts")
+    spread = texts.mapInArrow(trimmed(_travelling), f"doc_id {kind}, sub int, text binary").repartition(n, "doc_id", "sub")  # both joins below take this exchange
+    told = by_bucket(found).mapInArrow(trimmed(_collect(False)), _COLLECTED)
     asked = spread.join(told, ["doc_id", "sub"], "left").select("doc_id", "sub", "text", "found")
-    fetched = asked.mapInArrow(_fetch(length, gram, buckets, hot, root), _FOUND)
-    ordered = written(by_bucket(fetched).mapInArrow(_order(length, chunk, buckets), _FOUND), "answers")
+    fetched = asked.mapInArrow(trimmed(_fetch(length, gram, buckets, hot, root)), _FOUND)
+    ordered = written(by_bucket(fetched).mapInArrow(trimmed(_order(length, chunk, buckets)), _FOUND), "answers")
     if not ordered.where(F.col("kind") == FAILED).isEmpty():  # different contexts had one hash
         return deduplicated(docs, length, gram, crowd, chunk, sample, least, root * 25 & (1 << 64) - 1)
-    told = by_bucket(found.unionByName(ordered)).mapInArrow(_collect(True), _COLLECTED)
+    told = by_bucket(found.unionByName(ordered)).mapInArrow(trimmed(_collect(True)), _COLLECTED)
     both = spread.join(told, ["doc_id", "sub"], "left").select("doc_id", "text", "found", "single")
-    return both.mapInArrow(_finish(length, gram, hot, root), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return both.mapInArrow(trimmed(_finish(length, gram, hot, root)), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
