@@ -29,7 +29,7 @@ def ranks(s: np.ndarray, enough: int, width: int = 1) -> np.ndarray:
     ones, twos = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)  # one of the first past the end, if it must part the two halves
     sample = np.concatenate([ones, twos])
     key = (t[sample] << 42) | (t[sample + 1] << 21) | t[sample + 2]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)  # equal triples get one name, or may come in any order
     sorted_key = key[order]
     new = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
     if new.all() or 3 * width >= enough:
@@ -44,22 +44,20 @@ def ranks(s: np.ndarray, enough: int, width: int = 1) -> np.ndarray:
     rank[n + 1 :] = 0
     zeros = np.arange(0, n, 3)
     by_one = (t[zeros] << 21) | rank[zeros + 1]
-    own = np.argsort(by_one, kind="stable")
+    own = np.argsort(by_one)
     zeros, by_one = zeros[own], by_one[own]
     by_two = (t[zeros] << 42) | (t[zeros + 1] << 21) | rank[zeros + 2]
-    real = ones[ones < n]
-    one = real[np.argsort(rank[real])]
-    two = twos[np.argsort(rank[twos])]
+    in_order = sample[np.argsort(place)]  # where the recursion was cut, ranks can be equal
+    in_order = in_order[in_order < n]  # without the one past the end
+    one, two = in_order[in_order % 3 == 1], in_order[in_order % 3 == 2]
     one_key = (t[one] << 21) | rank[one + 1]
     two_key = (t[two] << 42) | (t[two + 1] << 21) | rank[two + 2]
     out = np.empty(n, np.int64)
     out[zeros] = np.arange(len(zeros)) + np.searchsorted(one_key, by_one) + np.searchsorted(two_key, by_two)
-    both = np.concatenate([real, twos])
-    order = both[np.argsort(rank[both])]
     before = np.empty(n, np.int64)
     before[one] = np.searchsorted(by_one, one_key, "right")
     before[two] = np.searchsorted(by_two, two_key, "right")
-    out[order] = np.arange(len(order)) + before[order]
+    out[in_order] = np.arange(len(in_order)) + before[in_order]
     return out
 
 

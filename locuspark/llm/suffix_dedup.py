@@ -184,11 +184,13 @@ def _first(doc: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     one = keys[0]
     for k in keys[1:]:
         one = mixed(one ^ k)
-    order = np.lexsort((doc, one))
+    order = np.argsort(one)
     group = _groups(order, *keys)
     out = np.empty(len(doc), np.int64)
     if len(doc):
-        out[order] = order[np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))][group]
+        start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        least = np.minimum.reduceat(doc[order], start)[group] == doc[order]
+        out[order] = np.maximum.reduceat(np.where(least, order, -1), start)[group]
     return out
 
 
@@ -620,16 +622,16 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd:
     texts = numbered(docs)
     rows, size = sized(texts)
     n = max(partitions(docs.sparkSession), -(-size // TASK))
-    buckets = 8 * n
+    buckets, shelves = 8 * n, max(1, n // 4)  # of contexts, and of documents
     hot = hot_grams(texts, length, gram, max(sample / max(1, rows), DENSE), least, root)
     dealt = texts.where("doc_id is not null and text is not null").mapInArrow(trimmed(_deal(length, gram, buckets, hot, root)), _FOUND)
     by_bucket = lambda df: df.repartition(n, "bucket").sortWithinPartitions("bucket")
-    found = written(by_bucket(dealt).mapInArrow(trimmed(_settle(crowd, buckets)), _FOUND), "contexts")
+    found = written(by_bucket(dealt).mapInArrow(trimmed(_settle(crowd, shelves)), _FOUND), "contexts")
     spread = texts.mapInArrow(trimmed(_travelling), f"doc_id {kind}, sub int, text binary").repartition(n, "doc_id", "sub")  # both joins below take this exchange
     told = by_bucket(found).mapInArrow(trimmed(_collect(False)), _COLLECTED)
     asked = spread.join(told, ["doc_id", "sub"], "left").select("doc_id", "sub", "text", "found")
     fetched = asked.mapInArrow(trimmed(_fetch(length, gram, buckets, hot, root)), _FOUND)
-    ordered = written(by_bucket(fetched).mapInArrow(trimmed(_order(length, chunk, buckets)), _FOUND), "answers")
+    ordered = written(by_bucket(fetched).mapInArrow(trimmed(_order(length, chunk, shelves)), _FOUND), "answers")
     if not ordered.where(F.col("kind") == FAILED).isEmpty():  # different contexts had one hash
         return deduplicated(docs, length, gram, crowd, chunk, sample, least, root * 25 & (1 << 64) - 1)
     told = by_bucket(found.unionByName(ordered)).mapInArrow(trimmed(_collect(True)), _COLLECTED)
