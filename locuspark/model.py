@@ -13,8 +13,9 @@ For cohorts of many samples call columns can be cut into blocks of samples
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field, replace
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +49,16 @@ class Field:
         return self.number not in ("0", "1")
 
 
+class Scan(Protocol):
+    """A source that reads the columns and the chunks of variants it is asked for."""
+
+    def frame(self, columns: frozenset[str] | None, chunks: frozenset[int] | None) -> DataFrame: ...
+
+    def chunks_of(self, intervals: list, by_start: bool) -> frozenset[int] | None: ...
+
+    def chunks_between(self, first: int, last: int | None) -> frozenset[int]: ...
+
+
 @dataclass(frozen=True)
 class VariantSet:
     """Immutable: every ``with_`` method returns another one."""
@@ -75,6 +86,12 @@ class VariantSet:
     #: Sample filters see the whole cohort, and the subset is taken afterwards.
     view: bool = False
     forced: frozenset[str] = field(default_factory=frozenset)
+    #: How rows are read where the source cannot prune by itself, what was done to them since, and the chunks left.
+    scan: Scan | None = None
+    steps: tuple[Callable[[DataFrame], DataFrame], ...] = ()
+    chunks: frozenset[int] | None = None
+    #: Names that the steps look at.
+    used: frozenset[str] = field(default_factory=frozenset)
 
     # --- metadata ---------------------------------------------------------------
     @property
@@ -91,11 +108,11 @@ class VariantSet:
 
     def has(self, name: str) -> bool:
         """Whether there is a call column of this name, whole or in blocks."""
-        return (name if self.block is None else f"{name}__0") in self.df.columns
+        return name in self.df.columns if self.block is None else any(c.startswith(f"{name}__") for c in self.df.columns)
 
     def kind(self, name: str) -> T.DataType:
         """The type of a stored column, whole or in blocks."""
-        return self.df.schema[name if name in self.df.columns else f"{name}__0"].dataType
+        return self.df.schema[name if name in self.df.columns else next(c for c in self.df.columns if c.startswith(f"{name}__"))].dataType
 
     @property
     def subset(self) -> bool:
@@ -106,7 +123,60 @@ class VariantSet:
         return next((f for f in self.fields if f.category == category and f.key == key), None)
 
     def num_variants(self) -> int:
-        return self.df.count()
+        return self.reading([]).df.count()
+
+    # --- reading ----------------------------------------------------------------
+    def _then(self, step: Callable[[DataFrame], DataFrame], chunks: frozenset[int] | None = None, used: Iterable[str] = (), **more) -> VariantSet:
+        """The rows after one more step; ``chunks``: those that can still hold any."""
+        if self.scan is None:
+            return replace(self, df=step(self.df), **more)
+        kept = self.chunks if chunks is None or self.chunks is None else chunks & self.chunks
+        kept = chunks if self.chunks is None else kept
+        out = replace(self, steps=(*self.steps, step), chunks=kept, used=self.used | set(used), **more)
+        return replace(out, df=out._read(None))
+
+    def _read(self, columns: frozenset[str] | None) -> DataFrame:
+        df = self.scan.frame(columns, self.chunks)
+        for step in self.steps:
+            df = step(df)
+        return df
+
+    def reading(self, names: Iterable[str] | None) -> VariantSet:
+        """The same set over a source that reads only what ``names`` (``POS``, ``INFO/X``, ``GT``; None: all) and the filters need.
+
+        Parquet prunes by itself; sources that do not are asked for columns and blocks of samples.
+        """
+        from locuspark.functions.derived import VIRTUAL
+        from locuspark.plans import expression as X
+
+        if self.scan is None:
+            return self
+        wanted = {c for c in self.df.columns if "__" not in c or self.block is None}
+        wanted |= {c.rpartition("__")[0] for c in self.df.columns if self.block is not None and "__" in c}
+        keys = None if names is None else set(names) | self.used
+        for given, _ in self.conditions:
+            found = X.names(X.parse(given)) if isinstance(given, str) else getattr(given, "referenced_fields", None)
+            keys = None if keys is None or found is None else keys | set(found)
+        if keys is not None:
+            need = {"variant_index", "chrom", "pos", "rlen"}
+            for name in keys:
+                prefix, _, key = name.rpartition("/")
+                if not prefix and key in FIXED:
+                    need.add(FIXED[key])
+                if not prefix and key in ("TYPE", "ALT"):
+                    need |= {"ref", "alts"}
+                need |= {f.column for f in self.fields if f.key == key and prefix in ("", f.category, {"FORMAT": "FMT"}.get(f.category))}
+                if key in VIRTUAL:
+                    need |= {"alts", "gt"} if VIRTUAL[key][2] else {"alts"}
+                if key == "GT":
+                    need |= {"gt", "phased"}
+            wanted &= need
+        if self.block is not None:
+            narrow = self.chosen is not None and not (self.view and self.conditions)
+            blocks = sorted({i // self.block for i in self.chosen}) or [0] if narrow else range(-(-len(self.samples) // self.block))
+            calls = {c.rpartition("__")[0] for c in self.df.columns if "__" in c}
+            wanted = {c for c in wanted if c not in calls} | {f"{c}__{k}" for c in wanted & calls for k in blocks}
+        return replace(self, df=self._read(frozenset(wanted)))
 
     # --- selection --------------------------------------------------------------
     def with_samples(self, names: Sequence[str], complement: bool = False, ignore_missing: bool = False) -> VariantSet:
@@ -126,12 +196,14 @@ class VariantSet:
     def with_regions(self, regions) -> VariantSet:
         from locuspark.operators import regions as R
 
-        return replace(self, df=R.overlapping(self.df, R.intervals(regions, self.contigs), self.max_rlen))
+        found = R.intervals(regions, self.contigs)
+        return self._then(lambda df: R.overlapping(df, found, self.max_rlen), self.scan and self.scan.chunks_of(found, False))
 
     def with_targets(self, targets, complement: bool = False) -> VariantSet:
         from locuspark.operators import regions as R
 
-        return replace(self, df=R.matching(self.df, R.intervals(targets, self.contigs), complement))
+        found = R.intervals(targets, self.contigs)
+        return self._then(lambda df: R.matching(df, found, complement), None if complement else self.scan and self.scan.chunks_of(found, True))
 
     def with_variants(self, indexes: Sequence[int] | DataFrame) -> VariantSet:
         """Only these variant_index values: a list becomes a literal or a table, and a table of up to ``BROADCAST`` rows is broadcast.
@@ -142,21 +214,22 @@ class VariantSet:
         if not isinstance(indexes, DataFrame):
             values = sorted(set(indexes))
             if len(values) <= 100:
-                return replace(self, df=self.df.where(index.isin(values)))
+                return self._then(lambda df: df.where(index.isin(values)), self.scan and frozenset().union(*(self.scan.chunks_between(v, v) for v in values)))
             indexes = self.df.sparkSession.createDataFrame([(v,) for v in values], "variant_index long")
         table = indexes.select(index.cast("long").alias("variant_index"))
         n, low, high = table.agg(F.count("*"), F.min(index), F.max(index)).first()
-        df = self.df.where(index.between(low, high)) if n else self.df.where(F.lit(False))
-        return replace(self, df=df.join(F.broadcast(table) if n <= BROADCAST else table, "variant_index", "left_semi"))
+        inside = index.between(low, high) if n else F.lit(False)
+        own = F.broadcast(table) if n <= BROADCAST else table
+        return self._then(lambda df: df.where(inside).join(own, "variant_index", "left_semi"), self.scan and (self.scan.chunks_between(low, high) if n else frozenset()))
 
     def with_frame(self, df: DataFrame) -> VariantSet:
         """The same metadata over other rows."""
-        return replace(self, df=df)
+        return replace(self, df=df, scan=None)
 
     def starting_at(self, index: int) -> VariantSet:
         if index < 0:
             raise ValueError("start must not be negative")
-        return replace(self, df=self.df.where(F.col("variant_index") >= index))
+        return self._then(lambda df: df.where(F.col("variant_index") >= index), self.scan and self.scan.chunks_between(index, None))
 
     def with_filter(self, include: str | Callable | None = None, exclude: str | None = None) -> VariantSet:
         if include is not None and exclude is not None:
@@ -172,14 +245,18 @@ class VariantSet:
 
     def materialised(self) -> VariantSet:
         """The filter as a narrow condition of the rows, which later steps take for granted; nothing is joined or kept."""
-        from locuspark.plans.resolve import result
+        from locuspark.plans import expression as X
+        from locuspark.plans.resolve import mask
 
         if not self.conditions:
             return self
-        out = result(self)
-        if out.cells is not None:
+        found = mask(self)
+        if found.shape == "G":
             raise ValueError("a filter over samples cannot be materialised")
-        return replace(self, conditions=(), df=out.df)
+        used = [X.names(X.parse(g)) if isinstance(g, str) else getattr(g, "referenced_fields", None) for g, _ in self.conditions]
+        if self.scan is None or None in used:
+            return replace(self, conditions=(), df=self.df.where(found.col), scan=None)
+        return self._then(lambda df: df.where(found.col), None, frozenset().union(*used), conditions=())
 
     # --- columns ----------------------------------------------------------------
     def call(self, name: str, whole_cohort: bool = False) -> Column:

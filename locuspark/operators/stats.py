@@ -10,6 +10,7 @@ from locuspark.model import VariantSet
 
 def contig_counts(vs: VariantSet) -> DataFrame:
     """``contig_index, contig, length, records`` of contigs that have records; an unknown length is a dot."""
+    vs = vs.reading([])
     lengths = vs.contig_lengths or [None] * len(vs.contigs)
     table = vs.df.sparkSession.createDataFrame([(i, c, None if n is None else int(n)) for i, (c, n) in enumerate(zip(vs.contigs, lengths, strict=True))], "contig_index int, contig string, length long")
     counts = vs.df.groupBy("chrom").agg(F.count("*").alias("records"))

@@ -132,6 +132,8 @@ def formatted(vs: VariantSet, text: str, newline: bool = True) -> DataFrame:
     """``variant_index, text`` of the rows that pass; a newline ends each unless the format has one or ``newline`` is off."""
     if newline and "\\n" not in text:
         text += "\\n"
+    parts = parse(text)
+    vs = vs.reading([p[0] for part in parts for p in (part if isinstance(part, list) else [part]) if not isinstance(p, str)])
     out = result(vs)
-    cols = [F.lit(p) if isinstance(p, str) else _loop(vs, p, out.cells) if isinstance(p, list) else _tag(vs, *p) for p in parse(text)]
+    cols = [F.lit(p) if isinstance(p, str) else _loop(vs, p, out.cells) if isinstance(p, list) else _tag(vs, *p) for p in parts]
     return out.df.select("variant_index", F.concat(*cols).alias("text"))

@@ -133,6 +133,7 @@ def result(vs: VariantSet) -> Result:
 
 def project(vs: VariantSet, fields: list[str] | None = None) -> DataFrame:
     """Named fields (``POS``, ``INFO/X``, ``FORMAT/X``, ``GT``; None: every stored one) of the rows that pass."""
+    vs = vs.reading(fields)
     out = result(vs)
     if fields is None:
         fields = [*FIXED, *(f"{f.category}/{f.key}" for f in vs.fields), *(["GT"] if vs.has_genotypes else [])]

@@ -131,6 +131,7 @@ def block(texts: list[bytes], pos: int, genotypes: bytes, layout: Layout) -> byt
 def blocks(vs: VariantSet, layout: Layout = Layout()) -> DataFrame:  # noqa: B008
     """``variant_index, chrom, pos, rsid, ref, alt, mixed, block`` in no order; mixed: its samples differ in phase."""
     n, uniform = len(vs.sample_ids), vs.ploidy
+    vs = vs.reading(["GT", "ID", "REF", "ALT"])
     df = result(vs).df
     phased = F.lit(None).cast("array<boolean>") if layout.unphased or not vs.has("phased") else vs.call("phased")
 
@@ -198,7 +199,7 @@ def write_index_rows(path: str, rows: Iterable[tuple]) -> None:
 def write_bgi(vs: VariantSet, path: str, offsets: Sequence[int], id_slot: str = "rsid", budget: int | None = None, pad: bytes = b".") -> None:
     """The index of a file whose blocks begin at ``offsets`` (one more than variants: the last is the end)."""
     layout = Layout(id_slot=id_slot, budget=budget, pad=pad)
-    own = result(vs).df.select("variant_index", "chrom", "pos", F.coalesce("id", F.lit(".")).alias("id"), "ref", F.when(F.size("alts") > 1, F.raise_error(F.lit(SEVERAL))).otherwise(F.coalesce(F.get("alts", F.lit(0)), F.lit("."))).alias("alt"))
+    own = result(vs.reading(["ID", "REF", "ALT"])).df.select("variant_index", "chrom", "pos", F.coalesce("id", F.lit(".")).alias("id"), "ref", F.when(F.size("alts") > 1, F.raise_error(F.lit(SEVERAL))).otherwise(F.coalesce(F.get("alts", F.lit(0)), F.lit("."))).alias("alt"))
     if len(offsets) != own.count() + 1:
         raise ValueError(f"{len(offsets)} offsets do not fit {own.count()} variants: one more is needed than there are variants")
 
@@ -232,7 +233,7 @@ def write_bgen(
 
     def rows(f) -> Iterator[tuple]:
         nonlocal mixed
-        at = f.write(header(vs.result().count(), vs.sample_ids, embed_header_samples))
+        at = f.write(header(result(vs.reading(["ALT"])).df.count(), vs.sample_ids, embed_header_samples))
         offsets.append(at)
         for r in rows_in_order(blocks(vs, layout)):
             f.write(r["block"])

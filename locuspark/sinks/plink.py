@@ -42,6 +42,7 @@ def packed(two_bit: np.ndarray) -> np.ndarray:
 def bed(vs: VariantSet) -> DataFrame:
     """``variant_index, bed``: the block of each variant, in no order."""
     n = len(vs.sample_ids)
+    vs = vs.reading(["GT", "ALT"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -53,6 +54,7 @@ def bed(vs: VariantSet) -> DataFrame:
 
 def bim(vs: VariantSet) -> DataFrame:
     """``variant_index, chrom, id, cm, pos, a1, a2``: a1 is the ALT, standard human contigs lose their ``chr``."""
+    vs = vs.reading(["ID", "REF", "ALT"])
     bare = F.substring("chrom", 4, 1 << 30)
     chrom = F.when(F.col("chrom") == "chrM", "MT").when(F.startswith("chrom", F.lit("chr")) & bare.isin(_STANDARD), bare).otherwise(F.col("chrom"))
     a1 = F.when(F.size("alts") > 1, F.raise_error(F.lit(SEVERAL))).otherwise(F.coalesce(F.get("alts", F.lit(0)), F.lit(".")))

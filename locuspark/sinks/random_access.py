@@ -49,7 +49,7 @@ class FormatEncoder(abc.ABC):
     def num_variants(self) -> int:
         self._open()
         if self._count is None:
-            self._count = result(self.vs).df.count()
+            self._count = result(self.vs.reading([])).df.count()
         return self._count
 
     @property
@@ -86,7 +86,7 @@ class FormatEncoder(abc.ABC):
     def _block(self, k: int) -> bytes:
         """The bytes of the ``k``-th run of ``rows_per_block`` variants."""
         if self._marks is None:
-            ranks = running(result(self.vs).df.select("variant_index", F.lit(1).alias("one")), "one", "rank")
+            ranks = running(result(self.vs.reading([])).df.select("variant_index", F.lit(1).alias("one")), "one", "rank")
             self._marks = sorted(r["variant_index"] for r in ranks.where(F.col("rank") % self._rows == 0).select("variant_index").collect())
         if self._held is None or self._held[0] != k:
             index = F.col("variant_index")

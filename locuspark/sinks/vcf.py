@@ -126,6 +126,7 @@ def _format_field(vs: VariantSet, f: Field) -> tuple[str, Column, Column]:
 def lines(vs: VariantSet, extra: Sequence[str] = ()) -> DataFrame:
     """``variant_index, line`` of the rows that pass, without newlines."""
     dot = lambda c: F.coalesce(c, F.lit("."))
+    vs = vs.reading(None)
     out = result(vs).df
     filters = F.when(F.size("filters") == 0, ".").otherwise(F.array_join("filters", ";"))
     alts = F.when(F.size("alts") == 0, ".").otherwise(F.array_join("alts", ","))

@@ -1,7 +1,8 @@
 """Chunked N-d arrays on a file system or in a zip file: metadata and decoding, formats 2 and 3.
 
 Codecs: none, zlib, gzip, bz2, lzma, zstd, lz4 and the blosc container around
-zlib, zstd and lz4 (written from its public description; byte and no shuffle).
+zlib, zstd and lz4 (written from its public description; byte, bit and no
+shuffle). Shards of format 3 are read whole, chunk by chunk.
 """
 
 from __future__ import annotations
@@ -92,8 +93,6 @@ def _unblosc(data: bytes) -> bytes:
     _, _, flags, width, size, block, _ = struct.unpack_from("<BBBBIII", data)
     if flags & 2:  # plain copy
         return data[16 : 16 + size]
-    if flags & 4:
-        raise NotImplementedError("bit-shuffled blocks")
     kind = flags >> 5
     if kind not in (1, 3, 4):
         raise NotImplementedError(f"inner codec {kind}")
@@ -110,7 +109,9 @@ def _unblosc(data: bytes) -> bytes:
             at += 4 + n
             parts.append(part if n == each else {1: lambda p, e=each: _lz4(p, e), 3: zlib.decompress, 4: _zstd}[kind](part))
         body = b"".join(parts)
-        if flags & 1 and width > 1:
+        if flags & 4:
+            body = _unbitshuffled(body, width)
+        elif flags & 1 and width > 1:
             n = own // width
             whole = np.frombuffer(body, np.uint8, n * width).reshape(width, n).T.tobytes()
             body = whole + body[n * width :]
@@ -118,6 +119,16 @@ def _unblosc(data: bytes) -> bytes:
     return b"".join(out)
 
 
+def _unbitshuffled(body: bytes, width: int) -> bytes:
+    """A block from its bit planes: those of the first byte of each element, low bit first, then of the next byte."""
+    n = len(body) // width
+    if n % 8 or not n:
+        return body
+    planes = np.frombuffer(body, np.uint8, n * width).reshape(width, 8, n // 8)
+    bits = np.unpackbits(planes, axis=2, bitorder="little")
+    return np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little").tobytes() + body[n * width :]
+
+
 def _decompressed(data: bytes, codec: dict) -> bytes:
     name = codec.get("id") or codec.get("name")
     simple = {"zlib": zlib.decompress, "gzip": gzip.decompress, "bz2": bz2.decompress, "lzma": lzma.decompress, "zstd": _zstd, "blosc": _unblosc, "crc32c": lambda d: d[:-4]}
@@ -155,6 +166,10 @@ class ChunkedArray:
     strings: bool = False
     order: str = "C"
     attrs: dict = field(default_factory=dict)
+    #: The array inside a shard, the number of bytes of checksum behind its index, and whether that stands first.
+    inner: ChunkedArray | None = None
+    check: int = 0
+    leads: bool = False
 
     def chunk(self, files: Files, index: tuple[int, ...]) -> np.ndarray:
         """A chunk, cut at the edge of the array; one that was never written holds the fill value."""
@@ -163,22 +178,44 @@ class ChunkedArray:
         if data is None:
             empty = "" if self.strings or self.dtype.kind in "UO" else 0
             return np.full(shape, empty if self.fill is None else self.fill, object if self.strings else self.dtype)
+        if self.inner is not None:
+            return self._shard(data)[tuple(slice(0, n) for n in shape)]
+        return self._values(data)[tuple(slice(0, n) for n in shape)]
+
+    def _values(self, data: bytes) -> np.ndarray:
         for codec in self.codecs:
             data = _decompressed(data, codec)
         values = _strings(data) if self.strings else np.frombuffer(data, self.dtype)
-        whole = values.reshape(self.chunks, order=self.order)
-        return whole[tuple(slice(0, n) for n in shape)]
+        return values.reshape(self.chunks, order=self.order)
+
+    def _shard(self, data: bytes) -> np.ndarray:
+        """A whole shard: an index of (where, how long) for each inner chunk says where it lies."""
+        part = self.inner
+        grid = [n // c for n, c in zip(self.chunks, part.chunks, strict=True)]
+        size = 16 * int(np.prod(grid))
+        at = 0 if self.leads else len(data) - size - self.check
+        index = np.frombuffer(data, "<u8", size // 8, at).reshape(-1, 2)
+        empty = "" if part.strings or part.dtype.kind in "UO" else 0
+        out = np.full(self.chunks, empty if self.fill is None else self.fill, object if part.strings else part.dtype)
+        for place, (start, length) in zip(itertools.product(*map(range, grid)), index.tolist(), strict=True):
+            if start != (1 << 64) - 1:
+                out[tuple(slice(i * c, (i + 1) * c) for i, c in zip(place, part.chunks, strict=True))] = part._values(data[start : start + length])
+        return out
 
-    def rows(self, files: Files, a: int, b: int) -> np.ndarray:
-        """Rows ``a`` to ``b`` of the first axis, the other axes whole."""
+    def rows(self, files: Files, a: int, b: int, block: int | None = None) -> np.ndarray:
+        """Rows ``a`` to ``b`` of the first axis, the other axes whole; ``block``: only that run of chunks of the second axis."""
         step = self.chunks[0]
         grids = [range(-(-s // c)) for s, c in zip(self.shape[1:], self.chunks[1:], strict=True)]
-        out = np.empty((b - a, *self.shape[1:]), object if self.strings else self.dtype.newbyteorder("="))
+        wide = list(self.shape[1:])
+        if block is not None:
+            grids[0], wide[0] = range(block, block + 1), min(self.chunks[1], self.shape[1] - block * self.chunks[1])
+        first = 0 if block is None else block
+        out = np.empty((b - a, *wide), object if self.strings else self.dtype.newbyteorder("="))
         for i in range(a // step, -(-b // step)):
             low, high = max(a, i * step), min(b, (i + 1) * step)
             for rest in itertools.product(*grids):
                 part = self.chunk(files, (i, *rest))
-                place = tuple(slice(k * c, k * c + n) for k, c, n in zip(rest, self.chunks[1:], part.shape[1:], strict=True))
+                place = tuple(slice((k - first * (axis == 0)) * c, (k - first * (axis == 0)) * c + n) for axis, (k, c, n) in enumerate(zip(rest, self.chunks[1:], part.shape[1:], strict=True)))
                 out[(slice(low - a, high - a), *place)] = part[low - i * step : high - i * step]
         return out
 
@@ -203,7 +240,29 @@ def _second(name: str, meta: dict, attrs: dict) -> ChunkedArray:
 
 def _third(name: str, meta: dict) -> ChunkedArray:
     """Metadata of format 3."""
-    kind, codecs = meta["data_type"], list(meta["codecs"])
+    grid, keys = meta["chunk_grid"], meta.get("chunk_key_encoding", {"name": "default"})
+    if grid["name"] != "regular":
+        raise NotImplementedError(f"chunk grid of {name}")
+    second = keys["name"] == "v2"
+    sep = keys.get("configuration", {}).get("separator", "." if second else "/")
+    places = ["{}"] * len(meta["shape"])
+    key = (sep.join(places) or "0") if second else sep.join(["c", *places])
+    attrs = meta.get("attributes", {})
+    dims = tuple(meta.get("dimension_names") or attrs.get("_ARRAY_DIMENSIONS", ()))
+    chunks, codecs = tuple(grid["configuration"]["chunk_shape"]), list(meta["codecs"])
+    if codecs[0]["name"] != "sharding_indexed":
+        return _decoder(name, meta, chunks, codecs, dims, key, attrs)
+    about = codecs[0]["configuration"]
+    inner = _decoder(name, meta, tuple(about["chunk_shape"]), list(about["codecs"]), dims, "", {})
+    index = [c["name"] for c in about.get("index_codecs", [{"name": "bytes"}, {"name": "crc32c"}])]
+    if len(codecs) > 1 or index not in (["bytes"], ["bytes", "crc32c"]):
+        raise NotImplementedError(f"shards of {name} with codecs {[c['name'] for c in codecs[1:]]} and an index of {index}")
+    return ChunkedArray(name, inner.shape, chunks, inner.dtype, dims, inner.fill, key, [], inner.strings, "C", attrs, inner, 4 * (len(index) - 1), about.get("index_location", "end") == "start")
+
+
+def _decoder(name: str, meta: dict, chunks: tuple[int, ...], codecs: list[dict], dims: tuple[str, ...], key: str, attrs: dict) -> ChunkedArray:
+    """An array of format 3 whose chunks have these codecs."""
+    kind = meta["data_type"]
     about = kind.get("configuration", {}) if isinstance(kind, dict) else {}
     kind = kind["name"] if isinstance(kind, dict) else kind
     text = kind == "string"
@@ -220,16 +279,7 @@ def _third(name: str, meta: dict) -> ChunkedArray:
         dtype = np.dtype(f"{end}U{about['length_bytes'] // 4}")
     else:
         dtype = np.dtype(object) if text else np.dtype(kind).newbyteorder(end)
-    grid, keys = meta["chunk_grid"], meta.get("chunk_key_encoding", {"name": "default"})
-    if grid["name"] != "regular":
-        raise NotImplementedError(f"chunk grid of {name}")
-    second = keys["name"] == "v2"
-    sep = keys.get("configuration", {}).get("separator", "." if second else "/")
-    places = ["{}"] * len(meta["shape"])
-    key = (sep.join(places) or "0") if second else sep.join(["c", *places])
-    attrs = meta.get("attributes", {})
-    dims = meta.get("dimension_names") or attrs.get("_ARRAY_DIMENSIONS", ())
-    return ChunkedArray(name, tuple(meta["shape"]), tuple(grid["configuration"]["chunk_shape"]), dtype, tuple(dims), _fill(meta.get("fill_value"), text), key, codecs[::-1], text, order, attrs)
+    return ChunkedArray(name, tuple(meta["shape"]), chunks, dtype, dims, _fill(meta.get("fill_value"), text), key, codecs[::-1], text, order, attrs)
 
 
 def _fill(value, text: bool):

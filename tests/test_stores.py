@@ -233,3 +233,172 @@ def test_stream(spark, kept, tmp_path):
     query.awaitTermination(120)
     reads = [(r[1], r[8].get("td", [-1] * 4)[2]) for r in ROWS]
     assert sorted(r["text"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(f"{p} {x}\n" for p, x in reads if x > 3)
+
+
+# --- pruned reads -------------------------------------------------------------------------
+def wide(root, rows=24, samples=10, step=4, block=3):
+    """A store of format 2 with several chunks of variants and of samples, and its region index."""
+    rng = np.random.default_rng(2)
+    pos = np.sort(rng.integers(1, 500, rows)).astype(np.int32)
+    contig = (np.arange(rows) >= rows // 2).astype(np.int8)
+    length = np.where(np.arange(rows) % 7 == 0, 90, 1).astype(np.int32)
+    index = []
+    for k in range(rows // step):
+        for c in (0, 1):
+            own = np.flatnonzero(contig[k * step : (k + 1) * step] == c) + k * step
+            if len(own):
+                index.append([k, c, pos[own[0]], pos[own[-1]], (pos[own] + length[own] - 1).max(), len(own)])
+    v = ["variants"]
+    text = lambda *x: np.array(x, object)
+    data = {
+        "contig_id": (text("one", "two"), ["contigs"]), "filter_id": (text("PASS"), ["filters"]), "sample_id": (text(*(f"s{k}" for k in range(samples))), ["samples"]), "region_index": (np.array(index, np.int32), ["regions", "fields"]), "variant_contig": (contig, v), "variant_position": (pos, v), "variant_length": (length, v),
+        "variant_allele": (text(*[["A", "C"]] * rows), [*v, "alleles"]), "variant_id": (text(*(f"v{k}" for k in range(rows))), v), "variant_DP": (rng.integers(0, 50, rows).astype(np.int32), v), "call_genotype": (rng.integers(0, 2, (rows, samples, 2)).astype(np.int8), [*v, "samples", "ploidy"]), "call_genotype_phased": (rng.random((rows, samples)) < 0.5, [*v, "samples"]),
+        "call_DP": (rng.integers(0, 30, (rows, samples)).astype(np.int16), [*v, "samples"]), "call_GQ": (rng.integers(0, 99, (rows, samples)).astype(np.int16), [*v, "samples"]),
+    }
+    root.mkdir()
+    (root / ".zgroup").write_text('{"zarr_format": 2}')
+    for name, (values, dims) in data.items():
+        size = [step if d == "variants" else block if d == "samples" and name.startswith("call") else n for d, n in zip(dims, values.shape, strict=True)]
+        (root / name).mkdir()
+        is_text = values.dtype == object
+        (root / name / ".zarray").write_text(json.dumps({"zarr_format": 2, "shape": values.shape, "chunks": size, "dtype": values.dtype.str, "order": "C", "fill_value": None, "filters": [{"id": "vlen-utf8"}] if is_text else None, "compressor": None}))
+        (root / name / ".zattrs").write_text(json.dumps({"_ARRAY_DIMENSIONS": dims}))
+        for place in np.ndindex(*(-(-n // c) for n, c in zip(values.shape, size, strict=True))):
+            part = values[tuple(slice(i * c, (i + 1) * c) for i, c in zip(place, size, strict=True))]
+            full = np.full(size, "" if is_text else 0, values.dtype)
+            full[tuple(slice(0, n) for n in part.shape)] = part
+            (root / name / ".".join(map(str, place))).write_bytes(packed_strings(full, "C") if is_text else full.tobytes())
+    return data
+
+
+@pytest.fixture(scope="module")
+def wide_store(tmp_path_factory):
+    path = tmp_path_factory.mktemp("wide") / "w.zarr"
+    return path, wide(path)
+
+
+def asked(df):
+    """The options of the scan of a frame."""
+    from pyspark.sql import DataFrame
+
+    assert isinstance(df, DataFrame)
+    return df._jdf.queryExecution().analyzed().toString()
+
+
+def test_reads_of_chunks(wide_store, monkeypatch):
+    """Only the chunks of the wanted columns, blocks and rows are read."""
+    path, _ = wide_store
+    s = vcfzarr.Store(str(path))
+    assert s.block == 3 and [f.name for f in s.schema() if f.name.startswith("gt")] == [f"gt__{k}" for k in range(4)]
+    seen = []
+    real = chunks.Files.get
+    monkeypatch.setattr(chunks.Files, "get", lambda self, name: (seen.append(name), real(self, name))[1])
+    reader = vcfzarr._Reader(s, frozenset(["variant_index", "pos", "gt__2", "fmt_DP__0"]), frozenset([1, 3]))
+    batches = [b for p in reader.partitions() for b in reader.read(p)]
+    assert sorted(seen) == sorted([f"variant_position/{k}" for k in (1, 3)] + [f"call_genotype/{k}.2.0" for k in (1, 3)] + [f"call_DP/{k}.0" for k in (1, 3)])
+    assert [b.num_rows for b in batches] == [4, 4] and batches[1].column("variant_index").to_pylist() == [12, 13, 14, 15]
+    assert reader.partitions()[0].value == (1,) and vcfzarr._ranges(frozenset([0, 1, 2, 5])) == [[0, 3], [5, 6]]
+
+
+def test_queries_over_blocks(spark, wide_store):
+    """Queries give what the arrays hold, and ask the store for nothing else."""
+    path, data = wide_store
+    vs = open_store(spark, str(path))
+    pos, contig, last = data["variant_position"][0], data["variant_contig"][0], data["variant_position"][0] + data["variant_length"][0] - 1
+    gt, dp, gq, site = (data[n][0] for n in ("call_genotype", "call_DP", "call_GQ", "variant_DP"))
+    scans = []
+    frame = vcfzarr.StoreScan.frame
+    vcfzarr.StoreScan.frame = lambda self, columns, kept: (scans.append((columns, kept)), frame(self, columns, kept))[1]
+    try:
+        from locuspark.plans.formats import formatted
+        from locuspark.plans.resolve import project
+
+        part = vs.with_samples(["s7", "s1"]).with_regions("two:100-300")
+        hit = [k for k in range(24) if contig[k] == 1 and last[k] >= 100 and pos[k] <= 300]
+        got = project(part, ["POS", "GT", "FORMAT/DP"]).orderBy("variant_index").collect()
+        assert [(r["pos"], r["gt"], r["fmt_DP"]) for r in got] == [(pos[k], gt[k][[7, 1]].tolist(), dp[k][[7, 1]].tolist()) for k in hit]
+        columns, kept = scans[-1]
+        assert columns == {"variant_index", "chrom", "pos", "rlen", *(f"{c}__{k}" for c in ("gt", "phased", "fmt_DP") for k in (0, 2))}
+        assert kept == {k for k in range(6) if any(contig[i] == 1 and pos[4 * k : 4 * k + 4].min() <= 300 for i in range(4 * k, 4 * k + 4))} & {k for k in range(6) if (last[4 * k : 4 * k + 4][contig[4 * k : 4 * k + 4] == 1] >= 100).any()}
+        text = formatted(vs.with_filter("INFO/DP > 20").with_variants(range(4, 12)), "%ID %POS\\n").orderBy("variant_index").collect()
+        assert [r["text"] for r in text] == [f"v{k} {pos[k]}\n" for k in range(4, 12) if site[k] > 20]
+        assert scans[-1] == ({"variant_index", "chrom", "pos", "rlen", "id", "info_DP"}, {1, 2})
+        trusted = formatted(vs.with_filter("FMT/GQ > 90"), "%POS[ %SAMPLE]").orderBy("variant_index").collect()
+        assert [r["text"] for r in trusted] == [" ".join([str(pos[k]), *(f"s{i}" for i in np.flatnonzero(gq[k] > 90))]) + "\n" for k in range(24) if (gq[k] > 90).any()]
+        assert scans[-1][0] == {"variant_index", "chrom", "pos", "rlen", *(f"fmt_GQ__{k}" for k in range(4))}
+        viewed = vs.with_samples(["s4"]).with_mode("bcftools", view=True).with_filter("FMT/GQ > 90")
+        assert project(viewed, ["GT"]).count() == (gq > 90).any(axis=1).sum() and any(c.startswith("fmt_GQ__3") for c in scans[-1][0])
+        assert vs.starting_at(17).num_variants() == 7 and scans[-1] == ({"variant_index", "chrom", "pos", "rlen"}, {4, 5})
+        assert vs.with_targets("one").num_variants() == 12 and scans[-1][1] == {0, 1, 2} and vs.with_targets("one", True).num_variants() == 12
+        kept_rows = vs.with_filter("INFO/DP > 20").materialised()
+        assert project(kept_rows, ["GT"]).count() == (site > 20).sum() and "info_DP" in scans[-1][0] and "id" not in scans[-1][0]
+        alleles = project(vs.with_samples(["s2", "s9"]), ["AC"]).orderBy("variant_index").collect()
+        assert [r["info_AC"] for r in alleles] == [[int(gt[k][[2, 9]].sum())] for k in range(24)]
+    finally:
+        vcfzarr.StoreScan.frame = frame
+
+
+def test_whole_output_of_a_pruned_store(spark, wide_store, capsys, tmp_path):
+    """The command line over a store: VCF text, PLINK and BGEN are those of the same set as Parquet."""
+    path, _ = wide_store
+    vs = open_store(spark, str(path))
+    tables.write(vs, str(tmp_path / "set"))
+    for args in (("view", "--no-version", "-s", "s8,s0", "-r", "one"), ("query", "-f", "%POS %ID[ %GT:%DP]", "-i", "FMT/DP > 20"), ("index", "-s")):
+        assert run(spark, capsys, *args, path)[:2] == run(spark, capsys, *args, tmp_path / "set")[:2]
+    for command, ends in (("view-plink", ("bed", "bim", "fam")), ("view-bgen", ("bgen", "sample"))):
+        for name, source in (("a", path), ("b", tmp_path / "set")):
+            assert run(spark, capsys, command, "-o", tmp_path / name, "-i", "INFO/DP > 10", source)[0] == 0
+        for end in ends:
+            assert (tmp_path / f"a.{end}").read_bytes() == (tmp_path / f"b.{end}").read_bytes()
+
+
+def test_bit_planes():
+    """A block of bit planes, made bit by bit."""
+    rng = np.random.default_rng(3)
+    for width, n in ((1, 64), (2, 40), (4, 8), (8, 24), (4, 7), (2, 9)):
+        data = rng.integers(0, 256, width * n).astype(np.uint8).tobytes() + b"xyz"[: width - 1]
+        planes = bytearray()
+        if n % 8 == 0:
+            for byte in range(width):
+                for bit in range(8):
+                    for k in range(0, n, 8):
+                        planes.append(sum((data[(k + i) * width + byte] >> bit & 1) << i for i in range(8)))
+            planes += data[width * n :]
+        body = bytes(planes) if n % 8 == 0 else data
+        packed = struct.pack("<BBBBIII", 2, 1, 4 | 16 | 3 << 5, width, len(data), len(data), 0) + struct.pack("<i", 20)
+        small = zlib.compress(body)
+        assert chunks._unblosc(packed + struct.pack("<i", len(small)) + small) == data
+
+
+@pytest.mark.parametrize("leads", [False, True])
+@pytest.mark.parametrize("checked", [False, True])
+def test_shards(tmp_path, leads, checked):
+    """A shard holds its chunks in any order behind or before an index; chunks may be left out."""
+    rng = np.random.default_rng(4)
+    values = rng.integers(0, 99, (5, 6)).astype("<i4")
+    (tmp_path / "x" / "c" / "0").mkdir(parents=True)
+    (tmp_path / "x" / "c" / "1").mkdir(parents=True)
+    codecs = [{"name": "bytes", "configuration": {"endian": "little"}}, *([{"name": "crc32c"}] if checked else [])]
+    shard = {"name": "sharding_indexed", "configuration": {"chunk_shape": [2, 3], "codecs": [{"name": "bytes", "configuration": {"endian": "little"}}, {"name": "zstd"}], "index_codecs": codecs, "index_location": "start" if leads else "end"}}
+    (tmp_path / "x" / "zarr.json").write_text(json.dumps({"zarr_format": 3, "node_type": "array", "shape": [5, 6], "data_type": "int32", "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": [4, 6]}}, "chunk_key_encoding": {"name": "default"}, "fill_value": 7, "codecs": [shard], "dimension_names": ["a", "b"]}))
+    (tmp_path / "zarr.json").write_text(json.dumps({"zarr_format": 3, "node_type": "group", "attributes": {}}))
+    import zstandard
+
+    values[0:2, 3:6] = 7  # never written
+    full = np.full((8, 6), 7, "<i4")
+    full[:5] = values
+    for row in (0, 1):
+        index, body = np.full((4, 2), (1 << 64) - 1, np.uint64), b""
+        start = 64 + 4 * checked if leads else 0
+        for k in (3, 0, 2, 1):
+            i, j = divmod(k, 2)
+            part = full[4 * row + 2 * i : 4 * row + 2 * i + 2, 3 * j : 3 * j + 3]
+            if (part != 7).any():
+                own = zstandard.compress(part.tobytes())
+                index[k] = start + len(body), len(own)
+                body += own
+        table = index.tobytes() + b"\0" * (4 * checked)
+        (tmp_path / "x" / "c" / str(row) / "0").write_bytes(table + body if leads else body + table)
+    files = chunks.Files(str(tmp_path))
+    found, _ = chunks.arrays(files)
+    assert (found["x"].whole(files) == values).all() and (found["x"].rows(files, 3, 5) == values[3:5]).all()
