@@ -6,6 +6,8 @@ samples, slots and ALTs and groups again, so that the two share no logic.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,9 @@ from locuspark.plans import expression as X
 from locuspark.plans.formats import formatted
 from locuspark.plans.resolve import info, project, result
 from locuspark.sinks import bgen, plink, vcf
+from locuspark.sinks.random_access import BedEncoder
+from locuspark.sources import tables
+from locuspark.sources import vcf as vcf_source
 from locuspark.sources.derived import SAMPLES, derived
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +52,16 @@ MODEL_AND = "WITH " + MODEL + ", "
 MODEL_ONLY = "WITH " + MODEL
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; a local one only where the master is local."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/locuspark-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return "file://" + tempfile.mkdtemp(prefix="locuspark-")
+
+
 def query(sql: str | None, more: str = ""):
     """Registers a query with its SQL over the model; ``more``: further tables."""
 
@@ -368,6 +383,139 @@ def bgen_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("variant_index", "pos", "rsid", "start", "size")
 
 
+# --- whole files, sidecars and errors ---------------------------------------------------------
+def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+@query(
+    "SELECT CAST(row_number() OVER (ORDER BY a, b) AS INT) AS place, line FROM lines",
+    """lines AS (SELECT 0 AS a, 0 AS b, '##fileformat=VCFv4.3' AS line UNION ALL SELECT 1, 0, '##source=orders' UNION ALL SELECT 2, 1, '##INFO=<ID=DB,Number=0,Type=Flag,Description="dbSNP membership">' UNION ALL SELECT 2, 2, '##INFO=<ID=DP,Number=1,Type=Integer,Description="Total depth">'
+    UNION ALL SELECT 2, 3, '##INFO=<ID=XA,Number=A,Type=Integer,Description="">' UNION ALL SELECT 2, 4, '##INFO=<ID=XP,Number=2,Type=Integer,Description="">' UNION ALL SELECT 3, x, '##FILTER=<ID=' || ['PASS', 'q10', 's50'][x] || ',Description="">' FROM range(1, 4) r(x)
+    UNION ALL SELECT 4, 0, '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">' UNION ALL SELECT 4, 1, '##FORMAT=<ID=DP,Number=1,Type=Integer,Description="Read depth">' UNION ALL SELECT 4, 2, '##FORMAT=<ID=GQ,Number=1,Type=Integer,Description="Conditional genotype quality">'
+    UNION ALL SELECT 5, x, '##contig=<ID=c' || x || '>' FROM (SELECT unnest(range(0, greatest(8, max(o_orderkey) // 3000 + 1))) AS x FROM orders)
+    UNION ALL SELECT 6, 0, '#CHROM' || chr(9) || 'POS' || chr(9) || 'ID' || chr(9) || 'REF' || chr(9) || 'ALT' || chr(9) || 'QUAL' || chr(9) || 'FILTER' || chr(9) || 'INFO' || chr(9) || 'FORMAT' || chr(9) || (SELECT string_agg(sample, chr(9) ORDER BY i) FROM name))""",
+)
+def vcf_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The header of the output, line by line."""
+    text = vcf.header(derived(spark, sf_dir), (), False)
+    return _rows(spark, [(k + 1, line) for k, line in enumerate(text.splitlines())], "place int, line string")
+
+
+@query(
+    "SELECT k AS variant_index, coalesce(nullif(concat_ws(':', CASE WHEN gt SIMILAR TO '.*[0-9].*' THEN 'GT' END, CASE WHEN cdp IS NOT NULL THEN 'DP' END, CASE WHEN gq IS NOT NULL THEN 'GQ' END), ''), '.') || chr(9) || coalesce(nullif(concat_ws(':', CASE WHEN gt SIMILAR TO '.*[0-9].*' THEN gt END, CAST(cdp AS VARCHAR), CAST(gq AS VARCHAR)), ''), '.') AS call FROM one",
+    "one AS (SELECT gt.k, gt.gt, cdp, gq FROM gt JOIN c ON c.k = gt.k AND c.i = gt.i WHERE gt.i = 5)",
+)
+def vcf_missing_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FORMAT and call of one sample: keys that no call has are left out, and a row without any is dots."""
+    line = vcf.lines(derived(spark, sf_dir).with_samples(["S05"]))
+    return line.select("variant_index", F.concat_ws("\t", F.get(F.split("line", "\t"), F.lit(8)), F.get(F.split("line", "\t"), F.lit(9))).alias("call"))
+
+
+@query(f"SELECT v.k AS variant_index, chrom || chr(9) || pos || chr(9) || {_DOT('id')} || chr(9) || ref || chr(9) || {_ALTS} || chr(9) || {_QUAL} || chr(9) || {_FILTERS} || chr(9) || {_INFO} AS line FROM v")
+def vcf_without_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An empty selection of samples writes sites only."""
+    return vcf.lines(derived(spark, sf_dir).with_samples([]))
+
+
+@query(_ANY + "qual > 100000 AND cdp > 30 AND (v.n_alt < 3 OR EXISTS (SELECT 1 FROM a WHERE a.k = v.k AND NOT coalesce(xa > 9, false)))")
+def filters_of_all_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter of sites, one of samples and an exclusion by alleles, one after the other."""
+    vs = derived(spark, sf_dir).with_filter("QUAL > 100000").with_filter("FMT/DP > 30").with_filter(exclude="INFO/XA > 9")
+    return _ids(vs)
+
+
+_LABELS = {"chr1": "1", "chrM": "MT", "chrX": "X", "chrUn": "chrUn", "22": "22", "chr22": "22", "chr23": "chr23"}
+
+
+@query(f"SELECT k AS variant_index, CASE k % 7 {' '.join(f"WHEN {n} THEN '{to}'" for n, to in enumerate(_LABELS.values()))} END AS chrom FROM v WHERE n_alt = 1")
+def bim_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of human contigs as PLINK has them, and others as they are."""
+    vs = _biallelic(spark, sf_dir)
+    named = F.element_at(F.array(*[F.lit(x) for x in _LABELS]), (F.col("variant_index") % 7 + 1).cast("int"))
+    return plink.bim(vs.with_frame(vs.df.withColumn("chrom", named))).select("variant_index", "chrom")
+
+
+@query("SELECT CAST(i AS INT) AS place, sample || chr(9) || sample || chr(9) || '0' || chr(9) || '0' || chr(9) || '0' || chr(9) || '-9' AS fam, sample || ' ' || sample || ' 0' AS sample FROM name")
+def sample_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of ``.fam`` and of ``.sample`` (behind its two head lines)."""
+    names = derived(spark, sf_dir).sample_ids
+    pairs = zip(plink.fam(names).splitlines(), bgen.sample_text(names).splitlines()[2:], strict=True)
+    return _rows(spark, [(k, *pair) for k, pair in enumerate(pairs)], "place int, fam string, sample string")
+
+
+_FOUR = "printf('%02x%02x%02x%02x', CAST({0} % 256 AS INT), CAST({0} // 256 % 256 AS INT), CAST({0} // 65536 % 256 AS INT), CAST({0} // 16777216 AS INT))".format
+
+
+@query(f"SELECT {_FOUR('88')} || {_FOUR('20')} || {_FOUR('n')} || {_FOUR('12')} || '6267656e' || {_FOUR('2147483657')} || {_FOUR('68')} || {_FOUR('12')} || (SELECT string_agg('0300' || lower(hex(encode(sample))), '' ORDER BY i) FROM name) AS header FROM (SELECT count(*) AS n FROM v WHERE n_alt = 1)")
+def bgen_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vs = _biallelic(spark, sf_dir)
+    return _rows(spark, [(bgen.header(vs.num_variants(), vs.sample_ids).hex(),)], "header string")
+
+
+@query("SELECT v.k AS variant_index, CAST(6 + 6 + 8 + 64 + 8 + (6 + 5 + 8 + 2 + 3 * 2) AS BIGINT) AS size, coalesce(v.id, '.') AS rsid FROM v WHERE n_alt = 1 AND k % 17 NOT IN (0, 16)")
+def bgen_fixed_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks whose strings fill a budget of 64 bytes all have one size."""
+    vs = _biallelic(spark, sf_dir)
+    vs = vs.with_frame(vs.df.where("variant_index % 17 not in (0, 16)")).with_samples(["S00", "S01"])
+    return bgen.blocks(vs, bgen.Layout(level=0, budget=64)).select("variant_index", F.octet_length("block").cast("long").alias("size"), "rsid")
+
+
+@query(
+    "SELECT off, lower(substr(bed, CAST(2 * off + 1 AS INT), CAST(2 * size AS INT))) AS bytes FROM whole, (VALUES (CAST(0 AS BIGINT), 5), (2, 1), (1000, 300), (3001, 7)) r(off, size)",
+    _CODES + ", whole AS (SELECT '6c1b01' || string_agg(bed, '' ORDER BY k) AS bed FROM (SELECT k, string_agg(printf('%02x', byte), '' ORDER BY b) AS bed FROM (SELECT k, i // 4 AS b, CAST(sum(code << CAST(2 * (i % 4) AS INT)) AS BIGINT) AS byte FROM code GROUP BY k, i // 4) GROUP BY k))",
+)
+def bed_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of a ``.bed`` file that was never written."""
+    encoder = BedEncoder(_biallelic(spark, sf_dir), block_bytes=900)
+    return _rows(spark, [(off, encoder.read(off, size).hex()) for off, size in ((0, 5), (2, 1), (1000, 300), (3001, 7))], "off long, bytes string")
+
+
+#: What callers do wrong, and the error that tells them.
+_WRONG = {
+    "DP > 3": "ValueError", "INFO/NOPE > 3": "ValueError", "MAF > 0.1": "UnsupportedCalculatedVariableError", "XA[0] > 1": "UnsupportedArraySubscriptError", "ID ~ 7": "UnsupportedRegexError", "MAX(FMT/DP) > 9": "UnsupportedFunctionsError", 'TYPE = "mnp"': "UnsupportedTypeFieldError",
+    'GT = "het"': "UnsupportedGenotypeValuesError", 'INFO/DP = "."': "UnsupportedMissingDataError", "ID = @names": "UnsupportedFileReferenceError", "POS >": "FilterSyntaxError", 'FILTER = "nope"': "ValueError", "INFO/XA > INFO/XP": "ValueError",
+}
+
+
+@query("SELECT expression, error FROM (VALUES " + ", ".join("('{}', '{}')".format(k.replace("'", "''"), v) for k, v in _WRONG.items()) + ", ('region nowhere', 'ValueError'), ('sample nobody', 'ValueError'), ('samples twice', 'RuntimeError'), ('variants of several ALTs', 'NotImplementedError')) e(expression, error)")
+def refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters, regions, samples and outputs that are refused, and how."""
+    vs = derived(spark, sf_dir)
+    tries = {text: (lambda text=text: result(vs.with_filter(text))) for text in _WRONG} | {
+        "region nowhere": lambda: vs.with_regions("nowhere:5"), "sample nobody": lambda: vs.with_samples(["nobody"]), "samples twice": lambda: vs.with_samples(["S01"]).with_samples(["S02"]), "variants of several ALTs": lambda: plink.write_plink(vs.with_filter("N_ALT > 1"), "nowhere"),
+    }
+    rows = []
+    for name, call in tries.items():
+        try:
+            call()
+            rows.append((name, "none"))
+        except Exception as e:  # noqa: BLE001  its kind is the result
+            rows.append((name, type(e).__name__))
+    return _rows(spark, rows, "expression string, error string")
+
+
+@query(f"SELECT v.k AS variant_index, chrom, pos, ref || '>' || {_ALTS} AS change, CAST(an AS BIGINT) AS an FROM v JOIN an ON an.k = v.k")
+def parquet_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A set written as Parquet with its calls in blocks of five samples, and read back."""
+    path = f"{scratch(spark)}/set"
+    tables.write(derived(spark, sf_dir), path, block=5)
+    vs = tables.read(spark, path)
+    return result(vs).df.select("variant_index", "chrom", "pos", F.concat("ref", F.lit(">"), F.array_join("alts", ",")).alias("change"), D.allele_number(vs.call("gt")).cast("long").alias("an"))
+
+
+@query(f"SELECT v.k AS variant_index, chrom, pos, ref || '>' || {_ALTS} AS change, CAST(dp AS BIGINT) AS dp FROM v WHERE v.k <= 2000")
+def vcf_text_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 keys written as VCF text in parts, and read back: numbered by their place."""
+    path = f"{scratch(spark)}/text"
+    vs = derived(spark, sf_dir)
+    few = vs.with_frame(vs.df.where("variant_index <= 2000"))
+    vcf.write_parts(few, path)
+    spark.read.text(f"{path}/header").unionByName(spark.read.text(f"{path}/records")).coalesce(1).write.text(f"{path}/one.vcf")
+    back = vcf_source.read(spark, f"{path}/one.vcf")
+    return back.df.select("variant_index", "chrom", "pos", F.concat("ref", F.lit(">"), F.array_join("alts", ",")).alias("change"), F.col("info_DP").cast("long").alias("dp"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Allele counts of the variants of a region that pass a filter over samples."""
     vs = derived(spark, sf_dir).with_regions("c0:1000-9000").with_filter("QUAL > 50000 && FMT/DP > 30")
