@@ -622,7 +622,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd:
     texts = numbered(docs)
     rows, size = sized(texts)
     n = max(partitions(docs.sparkSession), -(-size // TASK))
-    buckets, shelves = 8 * n, max(1, n // 4)  # of contexts, and of documents
+    buckets, shelves = 2 * n, max(1, n // 4)  # of contexts, and of documents
     hot = hot_grams(texts, length, gram, max(sample / max(1, rows), DENSE), least, root)
     dealt = texts.where("doc_id is not null and text is not null").mapInArrow(trimmed(_deal(length, gram, buckets, hot, root)), _FOUND)
     by_bucket = lambda df: df.repartition(n, "bucket").sortWithinPartitions("bucket")
