@@ -28,7 +28,7 @@ from locuspark.functions.sentinels import INT_MISSING, INT_PAD
 from locuspark.model import VariantSet
 from locuspark.plans.resolve import result
 from locuspark.sinks.calls import settled, tensor, whole_calls
-from locuspark.sinks.ordered import opened, rows_in_order, running
+from locuspark.sinks.ordered import binary_parts, index_bounds, opened, rows_in_order, running, write_bytes
 
 log = logging.getLogger(__name__)
 
@@ -91,22 +91,29 @@ def stored_size(n: int) -> int:
     return 6 + n + 5 * max(1, -(-n // LONGEST))
 
 
-def genotype_block(calls: np.ndarray, phased: bool) -> bytes:
-    """The uncompressed genotypes of one variant from its calls, (samples, 2)."""
-    a, b = calls[:, 0], calls[:, 1]
+def genotype_blocks(calls: np.ndarray, phased: np.ndarray) -> list[bytes]:
+    """The uncompressed genotypes of each variant from its calls, (variants, samples, 2), and whether all are phased."""
+    a, b = calls[..., 0], calls[..., 1]
     if ((a < INT_PAD) | (a > 1) | (b < INT_PAD) | (b > 1)).any():
         raise ValueError("a call has an allele that a variant with one ALT does not have")
     if (a == INT_PAD).any():
         raise ValueError("a call has no allele at all")
+    rows, n = a.shape
     haploid = b == INT_PAD
-    missing = (a == INT_MISSING) | (b == INT_MISSING)
+    known = (a != INT_MISSING) & (b != INT_MISSING)
     ploidy = np.where(haploid, 1, 2).astype(np.uint8)
-    first = np.where(haploid | phased, a == 0, (a == 0) & (b == 0)) & ~missing
-    second = (b == 0 if phased else (a + b) == 1) & ~missing
-    shares = np.stack([first, second], axis=1).astype(np.uint8) * 255
-    used = np.stack([np.ones(len(a), bool), ~haploid], axis=1)
-    least, most = (int(ploidy.min()), int(ploidy.max())) if len(a) else (2, 2)
-    return struct.pack("<IHBB", len(a), 2, least, most) + (ploidy | missing.astype(np.uint8) << 7).tobytes() + bytes([bool(phased), BITS]) + shares[used].tobytes()
+    apart = haploid | phased[:, None]
+    shares = np.empty((rows, n, 2), np.uint8)
+    shares[..., 0] = (np.where(apart, a == 0, (a == 0) & (b == 0)) & known) * 255
+    shares[..., 1] = (np.where(phased[:, None], b == 0, a + b == 1) & known) * 255
+    heads = ploidy | (~known).astype(np.uint8) << 7
+    least, most = (ploidy.min(axis=1), ploidy.max(axis=1)) if n else (np.full(rows, 2), np.full(rows, 2))
+    used = np.stack([np.ones_like(haploid), ~haploid], axis=2)
+    out = []
+    for k in range(rows):
+        body = shares[k].tobytes() if least[k] == 2 else shares[k][used[k]].tobytes()
+        out.append(struct.pack("<IHBB", n, 2, int(least[k]), int(most[k])) + heads[k].tobytes() + bytes([bool(phased[k]), BITS]) + body)
+    return out
 
 
 def strings(chrom: str, pos: int, ident: str, ref: str, alt: str, layout: Layout) -> list[bytes]:
@@ -128,6 +135,17 @@ def block(texts: list[bytes], pos: int, genotypes: bytes, layout: Layout) -> byt
     return head + b"".join(struct.pack("<I", len(x)) + x for x in (ref, alt)) + struct.pack("<II", 4 + len(body), len(genotypes)) + body
 
 
+def _phases(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Whether all calls of each row are phased, and whether any is; a missing flag is none, a row without flags neither."""
+    size = np.asarray(col.value_lengths().fill_null(0))
+    flags = col.flatten().fill_null(False).to_numpy(zero_copy_only=False).astype(np.int64)
+    count = np.concatenate([[0], np.cumsum(flags)])
+    ends = np.cumsum(size)
+    phased = count[ends] - count[ends - size]
+    # Like Python's all(): a row of no samples is phased, one that is null is not.
+    return (phased == size) & ~np.asarray(col.is_null()), phased > 0
+
+
 def blocks(vs: VariantSet, layout: Layout = Layout()) -> DataFrame:  # noqa: B008
     """``variant_index, chrom, pos, rsid, ref, alt, mixed, block`` in no order; mixed: its samples differ in phase."""
     n, uniform = len(vs.sample_ids), vs.ploidy
@@ -140,16 +158,15 @@ def blocks(vs: VariantSet, layout: Layout = Layout()) -> DataFrame:  # noqa: B00
             calls = tensor(batch.column("calls"), n)
             if layout.budget is not None and ((calls[..., 1] == INT_PAD) != (uniform == 1)).any():
                 raise NotImplementedError("blocks of a fixed size need one ploidy for all; write blocks of any size instead")
-            rows = zip(*(batch.column(c).to_pylist() for c in ("chrom", "pos", "id", "ref", "alt", "phased")), strict=True)
-            made, rsid, mixed = [], [], []
-            for own, (chrom, pos, ident, ref, alt, phase) in zip(calls, rows, strict=True):
+            whole, some = _phases(batch.column("phased"))
+            rows = zip(*(batch.column(c).to_pylist() for c in ("chrom", "pos", "id", "ref", "alt")), genotype_blocks(calls, whole), strict=True)
+            made, rsid, mixed = [], [], some & ~whole
+            for chrom, pos, ident, ref, alt, genotypes in rows:
                 texts = strings(chrom, pos, ident, ref, alt, layout)
-                whole = bool(phase is not None and all(phase))
-                mixed.append(bool(phase is not None and any(phase) and not whole))
                 rsid.append(texts[1].decode())
-                made.append(block(texts, pos, genotype_block(own, whole), layout))
+                made.append(block(texts, pos, genotypes, layout))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("variant_index"), *(batch.column(c) for c in ("chrom", "pos")), pa.array(rsid, pa.string()), *(batch.column(c) for c in ("ref", "alt")), pa.array(mixed, pa.bool_()), pa.array(made, pa.binary())],
+                [batch.column("variant_index"), *(batch.column(c) for c in ("chrom", "pos")), pa.array(rsid, pa.string()), *(batch.column(c) for c in ("ref", "alt")), pa.array(mixed), pa.array(made, pa.binary())],
                 names=["variant_index", "chrom", "pos", "rsid", "ref", "alt", "mixed", "block"],
             )
 
@@ -211,6 +228,19 @@ def write_bgi(vs: VariantSet, path: str, offsets: Sequence[int], id_slot: str =
     write_index_rows(path, rows())
 
 
+def write_parts(vs: VariantSet, path: str, layout: Layout = Layout()) -> None:  # noqa: B008
+    """Under ``path``: ``head``, and blocks in numbered parts behind it (together a file), ``index`` (rows of the ``.bgi``, as Parquet) and ``sample``.
+
+    Executors write the parts; nothing but the head passes through the driver.
+    """
+    settled(vs, "write_parts")
+    made = blocks(vs, layout)
+    write_bytes(vs.df.sparkSession, f"{path}/head", header(result(vs.reading(["ALT"])).df.count(), vs.sample_ids))
+    write_bytes(vs.df.sparkSession, f"{path}/sample", sample_text(vs.sample_ids).encode())
+    binary_parts(made, "block", f"{path}/blocks", *index_bounds(result(vs.reading([])).df))
+    index_rows(vs, layout).write.parquet(f"{path}/index")
+
+
 def write_bgen(
     vs: VariantSet, output, sample_path: str | None = None, bgi_path: str | None = None, embed_header_samples: bool = True, compression_level: int | None = None, unphased: bool = False,
     variant_id_field: str = "rsid", fixed_variant_size: bool = False, total_string_length: int | None = None, pad_byte: bytes | None = None,

@@ -1,11 +1,14 @@
-"""Ordered output of single files: the only place where rows pass through the driver, a partition at a time."""
+"""Ordered output: single files, for which rows pass through the driver a partition at a time, and parts that executors write."""
 
 from __future__ import annotations
 
 import contextlib
+import os
+import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Variants whose sizes or ranks are summed in one window.
@@ -48,3 +51,51 @@ def running(df: DataFrame, size: str, name: str, start: int = 0) -> DataFrame:
     rows = rows.withColumn("_inside", F.coalesce(F.sum(size).over(inside), F.lit(0)))
     joined = rows.join(sums, F.col("_group") == F.col("_of"))
     return joined.select(*df.columns, (F.col("_before") + F.col("_inside") + start).cast("long").alias(name))
+
+
+def _file_system(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path) if "://" in path or path.startswith("file:/") else os.path.abspath(path))
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file on the cluster's storage."""
+    system, name = _file_system(path)
+    system.create_dir(name.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(name) as f:
+        f.write(data)
+
+
+def binary_parts(df: DataFrame, column: str, path: str, first: int, last: int) -> None:
+    """A binary column in variant order, in files ``part-00000`` and on that executors write; one after the other they are the whole.
+
+    Each part has a range of the indexes from ``first`` to ``last``, which it is
+    named by, so a task that runs again writes the same file anew.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        system, folder = _file_system(path)
+        system.create_dir(folder, recursive=True)
+        size = 0
+        own = f"{folder}/.part-{context.partitionId():05d}-{context.taskAttemptId()}"
+        with system.open_output_stream(own) as f:
+            for batch in it:
+                for value in batch.column(column):
+                    size += f.write(value.as_buffer())
+        system.move(own, f"{folder}/part-{context.partitionId():05d}")
+        yield pa.RecordBatch.from_arrays([pa.array([size], pa.int64())], names=["size"])
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.floor((F.col("variant_index") - first) * n / max(1, last - first + 1)).cast("int")
+    rows = df.select("variant_index", column, part.alias("_part")).repartitionById(n, "_part").sortWithinPartitions("variant_index")
+    rows.mapInArrow(run, "size long").agg(F.sum("size")).collect()
+
+
+def index_bounds(df: DataFrame) -> tuple[int, int]:
+    """The least and the largest variant_index."""
+    low, high = df.agg(F.min("variant_index"), F.max("variant_index")).first()
+    return low or 0, high or 0

@@ -13,7 +13,7 @@ from locuspark.functions.sentinels import INT_PAD
 from locuspark.model import VariantSet
 from locuspark.plans.resolve import result
 from locuspark.sinks.calls import settled, tensor, whole_calls
-from locuspark.sinks.ordered import in_order, opened
+from locuspark.sinks.ordered import binary_parts, in_order, index_bounds, opened, write_bytes
 
 MAGIC = bytes([0x6C, 0x1B, 0x01])
 # Two-bit codes of a call.
@@ -95,3 +95,14 @@ def write_plink(vs: VariantSet, stem: str, bim: bool = True, fam: bool = True) -
     if bim:
         write_bim(vs, f"{stem}.bim")
     write_bed(vs, f"{stem}.bed")
+
+
+def write_parts(vs: VariantSet, path: str) -> None:
+    """Under ``path``: ``head`` and numbered parts of ``bed`` (together the ``.bed``), ``bim`` as sorted text parts, and ``fam``; executors write them."""
+    settled(vs, "write_parts")
+    spark = vs.df.sparkSession
+    write_bytes(spark, f"{path}/head", MAGIC)
+    write_bytes(spark, f"{path}/fam", fam(vs.sample_ids).encode())
+    binary_parts(bed(vs), "bed", f"{path}/bed", *index_bounds(result(vs.reading([])).df))
+    line = bim(vs).select("variant_index", F.concat_ws("\t", "chrom", "id", "cm", "pos", "a1", "a2").alias("line"))
+    line.orderBy("variant_index").select("line").write.text(f"{path}/bim")

@@ -70,11 +70,29 @@ def _format(field: Field) -> Column:
     return let(_place(field.key), calls)
 
 
-def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """Data lines with their place in the files: splits are counted first, in file order."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_s"), F.monotonically_increasing_id().alias("_m")).where("value != '' and not startswith(value, '#')")
+def _measured(lines: DataFrame, open_ended: list[Field]) -> tuple[list, dict]:
+    """One pass over the text: where the lines of each split stand, one row a split, and the widths of what is open-ended."""
+    parts = F.split("value", "\t")
+    info = F.split(F.get(parts, F.lit(7)), ";")
+    slots = lambda text: F.length(text) - F.length(F.replace(text, F.lit(","), F.lit(""))) + 1
+    end = F.regexp_extract(F.get(parts, F.lit(7)), "(?:^|;)END=([0-9]+)", 1).try_cast("long")
+    widths = {"alts": F.when(F.get(parts, F.lit(4)) == ".", 0).otherwise(slots(F.get(parts, F.lit(4)))), "rlen": F.coalesce(end - F.get(parts, F.lit(1)).cast("long") + 1, F.length(F.get(parts, F.lit(3))))}
+    for k, f in enumerate(open_ended):
+        if f.category == "INFO":
+            widths[f"w{k}"] = F.array_max(F.transform(info, lambda x, f=f: F.when(F.startswith(x, F.lit(f"{f.key}=")), slots(x)).otherwise(F.lit(1))))
+        else:
+            at = (F.coalesce(F.array_position(F.split(F.get(parts, F.lit(8)), ":"), f.key), F.lit(0)) - 1).cast("int")
+            calls = F.slice(parts, 10, F.greatest(F.size(parts) - 9, F.lit(0)))
+            widths[f"w{k}"] = F.when(at >= 0, F.array_max(F.transform(calls, lambda c, at=at: slots(F.coalesce(F.get(F.split(c, ":"), F.greatest(at, F.lit(0))), F.lit(""))))))
+    found = lines.groupBy("_f", "_s").agg(F.count("*").alias("n"), F.min("_m").alias("low"), F.max("_m").alias("high"), *[F.max(c).alias(n) for n, c in widths.items()])
+    rows = found.orderBy("_f", "_s").collect()
+    return rows, {n: max((r[n] or 0 for r in rows), default=0) for n in widths}
+
+
+def _numbered(lines: DataFrame, counts: list) -> DataFrame:
+    """Data lines with their place in the files."""
+    spark = lines.sparkSession
     # The row numbers of a split need not be dense after the filter, so they are ranked by the line's place within it.
-    counts = lines.groupBy("_f", "_s").agg(F.count("*").alias("n"), F.min("_m").alias("low"), F.max("_m").alias("high")).orderBy("_f", "_s").collect()  # one row a split
     base, rows = 0, []
     for r in counts:
         rows.append((r["_f"], r["_s"], base - r["low"] if r["high"] - r["low"] + 1 == r["n"] else None))
@@ -91,7 +109,10 @@ def read(spark: SparkSession, path: str) -> VariantSet:
     """The variants of one VCF file or of several with one header (plain or compressed as Spark reads text)."""
     about = header([r["value"] for r in takewhile(lambda r: r["value"].startswith("#"), spark.read.text(path).toLocalIterator())])
     n = len(about["samples"])
-    raw = _numbered(spark, path).select("variant_index", F.split("value", "\t").alias("c"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_s"), F.monotonically_increasing_id().alias("_m")).where("value != '' and not startswith(value, '#')")
+    open_ended = [f for f in about["fields"] if f.vector and not f.number.isdigit()]
+    counts, seen = _measured(lines, open_ended)
+    raw = _numbered(lines, counts).select("variant_index", F.split("value", "\t").alias("c"))
     info = F.expr("filter(transform(split(c[7], ';'), x -> struct(substring_index(x, '=', 1) as k, if(instr(x, '=') > 0, substr(x, instr(x, '=') + 1), null) as v)), x -> x.k != '.')")
     calls = F.slice("c", 10, n) if n else F.array().cast("array<string>")
     df = raw.select("variant_index", "c", F.map_from_entries(info).alias("i"), F.split(F.get("c", F.lit(8)), ":").alias("keys"), F.transform(calls, lambda s: F.split(s, ":")).alias("calls"))
@@ -110,9 +131,6 @@ def read(spark: SparkSession, path: str) -> VariantSet:
         cols.append(F.transform(gt, lambda g: F.transform(F.split(g, "[/|]"), lambda a: a.try_cast("tinyint"))).alias("gt"))
         cols.append(F.transform(gt, lambda g: F.instr(g, "|") > 0).alias("phased"))
     df = df.select(*cols)
-    open_ended = [f for f in about["fields"] if f.vector and not f.number.isdigit()]
-    width = lambda f: F.max(F.size(f.column)) if f.category == "INFO" else F.max(F.array_max(F.transform(f.column, F.size)))
-    seen = df.agg(F.max(F.size("alts")).alias("alts"), F.max("rlen").alias("rlen"), *[width(f).alias(f"w{k}") for k, f in enumerate(open_ended)]).first()
     wide = {f: max(1, seen[f"w{k}"] or 1) for k, f in enumerate(open_ended)}
     fields = tuple(Field(f.category, f.key, f.number if f.number != "." else str(wide[f]) if wide[f] > 1 else ".", f.type, wide.get(f, f.width), f.description) for f in about["fields"])
     contigs = about["contigs"] or [r["chrom"] for r in df.select("chrom").distinct().orderBy("chrom").collect()]

@@ -200,3 +200,30 @@ def test_haploid_fixed(spark):
     with BgenEncoder(vs) as enc:
         assert enc.read(0, 10_000) == out.getvalue()
     assert [r[3] for r in decoded(out.getvalue())[1]] == [[1, 1], [129, 1], [1, 1]]
+
+
+def test_parts(spark, diploid, tmp_path):
+    """What executors write in parts is, one after the other, the single file."""
+    out = io.BytesIO()
+    plink.write_bed(diploid, out)
+    plink.write_parts(diploid, str(tmp_path / "p"))
+    whole = lambda folder, head: (folder / "head").read_bytes() + b"".join(p.read_bytes() for p in sorted((folder / head).glob("part-*")))
+    assert whole(tmp_path / "p", "bed") == out.getvalue() and (tmp_path / "p" / "fam").read_text().splitlines()[6] == "S6\tS6\t0\t0\t0\t-9"
+    assert spark.read.text(str(tmp_path / "p" / "bim")).count() == 50 and len(list((tmp_path / "p" / "bed").iterdir())) > 1
+    out = io.BytesIO()
+    offsets = bgen.write_bgen(diploid, out, compression_level=3)
+    bgen.write_parts(diploid, f"file://{tmp_path}/b", bgen.Layout(3))
+    assert whole(tmp_path / "b", "blocks") == out.getvalue()
+    assert [r["start"] for r in spark.read.parquet(str(tmp_path / "b" / "index")).orderBy("variant_index").collect()] == offsets[:-1]
+
+
+def test_blocks_of_a_batch():
+    """Genotypes of many variants at once are those of each alone, call by call."""
+    rng = np.random.default_rng(8)
+    calls = rng.integers(-1, 2, (40, 9, 2)).astype(np.int8)
+    calls[::3, ::2, 1] = -2
+    phased = rng.random(40) < 0.5
+    for own, flag, made_ in zip(calls.tolist(), phased, bgen.genotype_blocks(calls, phased), strict=True):
+        plain = [[a for a in c if a != -2] for c in own]
+        want = struct.pack("<IHBB", 9, 2, min(map(len, plain)), max(map(len, plain))) + bytes(len(c) + 128 * (-1 in c) for c in plain) + bytes([int(flag), 8]) + bytes(x for c in plain for x in share(c, flag))
+        assert made_ == want
