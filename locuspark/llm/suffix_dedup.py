@@ -622,7 +622,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd:
     texts = numbered(docs)
     rows, size = sized(texts)
     n = max(partitions(docs.sparkSession), -(-size // TASK))
-    buckets, shelves = 2 * n, max(1, n // 4)  # of contexts, and of documents
+    buckets, asked_for, shelves = 8 * n, 2 * n, max(1, n // 4)  # of all contexts, of those that are asked for, and of documents
     hot = hot_grams(texts, length, gram, max(sample / max(1, rows), DENSE), least, root)
     dealt = texts.where("doc_id is not null and text is not null").mapInArrow(trimmed(_deal(length, gram, buckets, hot, root)), _FOUND)
     by_bucket = lambda df: df.repartition(n, "bucket").sortWithinPartitions("bucket")
@@ -630,7 +630,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd:
     spread = texts.mapInArrow(trimmed(_travelling), f"doc_id {kind}, sub int, text binary").repartition(n, "doc_id", "sub")  # both joins below take this exchange
     told = by_bucket(found).mapInArrow(trimmed(_collect(False)), _COLLECTED)
     asked = spread.join(told, ["doc_id", "sub"], "left").select("doc_id", "sub", "text", "found")
-    fetched = asked.mapInArrow(trimmed(_fetch(length, gram, buckets, hot, root)), _FOUND)
+    fetched = asked.mapInArrow(trimmed(_fetch(length, gram, asked_for, hot, root)), _FOUND)
     ordered = written(by_bucket(fetched).mapInArrow(trimmed(_order(length, chunk, shelves)), _FOUND), "answers")
     if not ordered.where(F.col("kind") == FAILED).isEmpty():  # different contexts had one hash
         return deduplicated(docs, length, gram, crowd, chunk, sample, least, root * 25 & (1 << 64) - 1)
