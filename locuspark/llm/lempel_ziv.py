@@ -142,12 +142,15 @@ def compared_with_next(docs: DataFrame) -> DataFrame:
     """Fingerprints of each row and of its edited text, in falling order of doc_id.
 
     The edited text ends in the start of the next document instead of its own
-    last third. Returns ``doc_id, n_chars, edited_sha256, fingerprint,
+    last third. doc_id is an integer; rows of one doc_id are one run of a task,
+    which streams them. Returns ``doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next``. Null texts are empty, null
     ids come last, equal ids go by text, a single row is its own next; repeated
     rows come back repeated; an empty table gives an empty one.
     """
     kind = docs.schema["doc_id"].dataType
+    if kind.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"doc_id must be an integer, not {kind.simpleString()}")
     schema = f"doc_id {kind.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def compare(doc_id: list, text: list[str], ahead: list[bool]) -> pa.RecordBatch:

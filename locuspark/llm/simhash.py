@@ -31,6 +31,8 @@ from locuspark.llm.frames import columns, map_text, partitions, unused, written
 RADIUS = 4
 #: Distinct fingerprints of a bucket that one task compares with each other.
 MOST = 4096
+#: Rows of a fingerprint from which its component's name is broadcast.
+HOT = 1_000_000
 SHINGLE = 4
 #: Words of a text above which it is fingerprinted in pieces.
 LONG = 1 << 14
@@ -235,7 +237,15 @@ def named(each: DataFrame, distinct: DataFrame, found: DataFrame) -> DataFrame:
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = rooted.where("fp != root").select("fp", "root").join(named, "root").select("fp", "component_id")
     by_fp = by_fp.unionByName(named.select(F.col("root").alias("fp"), "component_id"))
-    return each.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # Fingerprints of very many rows (texts without words, boilerplate) are few, at most one for every HOT rows: their names go to the rows.
+    hot = each.groupBy("fp").count().where(F.col("count") > HOT).select("fp")
+    if hot.isEmpty():
+        joined = each.join(by_fp, "fp")
+    else:
+        few = F.broadcast(written(hot, "hot"))
+        theirs = F.broadcast(by_fp.join(few, "fp", "left_semi"))
+        joined = each.join(theirs, "fp").unionByName(each.join(few, "fp", "left_anti").join(by_fp, "fp"))
+    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:

@@ -74,3 +74,8 @@ def test_copies_and_compression(spark):
     assert got[1] == got[2] and Counter(got)[4]
     sig = {k: np.frombuffer(bytes.fromhex(v), np.uint8) for k, v in got.items()}
     assert L.likeness(sig[1], sig[3]) > L.likeness(sig[1], sig[4])
+
+
+def test_ids_that_are_no_integers(spark):
+    with pytest.raises(ValueError, match="integer"):
+        L.compared_with_next(spark.createDataFrame([("a", "b")], "doc_id string, text string"))

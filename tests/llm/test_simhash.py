@@ -102,3 +102,11 @@ def test_deduplicated(spark):
     want = sorted({i for i, _, c in expected(rows) if i is not None and i == c})
     assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect() if r["doc_id"] is not None) == want and got.where("doc_id is null").count() == 2
     assert simhash.deduplicated(table(spark, [])).count() == 0
+
+
+def test_hot_fingerprints(spark, monkeypatch):
+    """Fingerprints of very many rows get their names by another way, and the same ones."""
+    rows = [(k, "") for k in range(40)] + [(100 + k, "the very same words here") for k in range(30)] + [(200 + k, f"other text number {k} " * 3) for k in range(20)]
+    want = sorted(map(tuple, simhash.near_duplicates(table(spark, rows)).collect()))
+    monkeypatch.setattr(simhash, "HOT", 25)
+    assert sorted(map(tuple, simhash.near_duplicates(table(spark, rows)).collect())) == want and len(want) == 90
