@@ -54,7 +54,7 @@ CROWD = 4096
 #: Documents of the sample that hot grams are looked for in, and different contexts there that make a gram hot.
 SAMPLE, HOT = 8192, 12
 #: Share of the documents that the sample has at least, and bytes of text for each task of a shuffle.
-DENSE, TASK = 4e-5, 32 << 20
+DENSE, TASK = 4e-5, 128 << 20
 #: Contexts gathered before a batch of them is dealt out; bytes that are ordered at once.
 BATCH, CHUNK = 400_000, 400_000
 #: Bytes of texts that are looked at together, and of one long text (more than the former, so that it comes alone).
