@@ -243,7 +243,7 @@ def query(spark: SparkSession, args: argparse.Namespace, out) -> None:
     vs = SelectionOptions.of(args).apply(vs, "bcftools")
     with vcf.opened(out) as f:
         for text in in_order(formatted(vs, args.format, not args.disable_automatic_newline), "text"):
-            f.write(text)
+            f.write(text.decode())
 
 
 def updated(selection: SelectionOptions, fill: str | None, no_update: bool, drop_genotypes: bool) -> tuple[str, ...]:

@@ -8,6 +8,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,10 +31,20 @@ def rows_in_order(df: DataFrame) -> Iterator:
     yield from df.orderBy("variant_index").toLocalIterator(prefetchPartitions=True)
 
 
-def in_order(df: DataFrame, column: str) -> Iterator:
-    """A column in variant order, streamed."""
-    for row in rows_in_order(df.select("variant_index", column)):
-        yield row[column]
+def in_order(df: DataFrame, column: str, end: str = "") -> Iterator[bytes]:
+    """A text or binary column in variant order, streamed: many values a piece, each followed by ``end``."""
+    close = end.encode()
+
+    def joined(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            if batch.num_rows:
+                values = batch.column(0).cast(pa.binary())
+                whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values), close)
+                yield pa.RecordBatch.from_arrays([whole], names=["piece"])
+
+    pieces = df.select("variant_index", column).orderBy("variant_index").select(column).mapInArrow(joined, "piece binary")
+    for row in pieces.toLocalIterator(prefetchPartitions=True):
+        yield bytes(row["piece"]) + close
 
 
 def running(df: DataFrame, size: str, name: str, start: int = 0) -> DataFrame:

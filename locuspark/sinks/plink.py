@@ -76,8 +76,8 @@ def write_fam(vs: VariantSet, output) -> None:
 def write_bim(vs: VariantSet, output) -> None:
     line = bim(vs).select("variant_index", F.concat_ws("\t", "chrom", "id", "cm", "pos", "a1", "a2").alias("line"))
     with opened(output) as f:
-        for text in in_order(line, "line"):
-            f.write(text + "\n")
+        for piece in in_order(line, "line", "\n"):
+            f.write(piece.decode())
 
 
 def write_bed(vs: VariantSet, output) -> None:

@@ -144,8 +144,8 @@ def write(vs: VariantSet, output, header_only: bool = False, no_header: bool = F
         if not no_header:
             f.write(header(vs, fill, not no_version))
         if not header_only:
-            for line in in_order(lines(vs, fill), "line"):
-                f.write(line + "\n")
+            for piece in in_order(lines(vs, fill), "line", "\n"):
+                f.write(piece.decode())
 
 
 def write_parts(vs: VariantSet, path: str, fill: Sequence[str] = ()) -> None:
