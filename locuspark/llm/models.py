@@ -163,30 +163,51 @@ class FactorizationMachine:
         self.w, self.v, self.bias = np.zeros(self.dims, np.float32), rng.normal(0, 0.02, (self.dims, factors)).astype(np.float32), 0.0
         x, even = self._x(idx, at), _even(y)
         gw, gv, gb = np.full(self.dims, 1e-3, np.float32), np.full((self.dims, factors), 1e-3, np.float32), 1e-3
+        order = rng.permutation(n)
+        parts = [_Part(idx, at, x, order[k : k + self.batch]) for k in range(0, n, self.batch)]  # taken in another order each time
         for _ in range(self.epochs):
-            order = rng.permutation(n)
-            for k in range(0, n, self.batch):
-                rows = order[k : k + self.batch]
-                take, bounds = _places(at, rows)
-                j, xj, r = idx[take], x[take], np.repeat(np.arange(len(rows)), np.diff(bounds))
-                vx = self.v[j] * xj[:, None]
-                total = np.stack([np.bincount(r, vx[:, f], len(rows)) for f in range(factors)], axis=1)
-                m = self.bias + np.bincount(r, self.w[j] * xj, len(rows)) + 0.5 * ((total**2).sum(axis=1) - np.bincount(r, (vx * vx).sum(axis=1), len(rows)))
-                d = (1 / (1 + np.exp(-np.clip(m, -30, 30))) - y[rows]) * even[rows]
-                dj = (d[r] * xj).astype(np.float32)
-                u, where = np.unique(j, return_inverse=True)
-                g = np.bincount(where, dj, len(u)) + self.l2 * len(rows) * self.w[u]
-                gw[u] += g * g
-                self.w[u] -= self.rate * g / np.sqrt(gw[u])
-                part = dj[:, None] * (total[r] - vx)
-                g = np.stack([np.bincount(where, part[:, f], len(u)) for f in range(factors)], axis=1) + self.l2v * len(rows) * self.v[u]
-                gv[u] += g * g
-                self.v[u] -= self.rate * g / np.sqrt(gv[u])
-                g = d.sum()
+            for k in rng.permutation(len(parts)).tolist():
+                p = parts[k]
+                w, v = self.w[p.terms], self.v[p.terms]
+                vx = v.take(p.term, axis=0) * p.x[:, None]
+                total = p.by_row(vx)
+                m = self.bias + p.by_row(w.take(p.term) * p.x) + 0.5 * ((total**2).sum(axis=1) - p.by_row((vx * vx).sum(axis=1)))
+                d = ((1 / (1 + np.exp(-np.clip(m, -30, 30))) - y[p.rows]) * even[p.rows]).astype(np.float32)
+                dx = d.take(p.row) * p.x
+                g = p.by_term(dx) + self.l2 * len(p.rows) * w
+                gw[p.terms] += g * g
+                self.w[p.terms] = w - self.rate * g / np.sqrt(gw[p.terms])
+                g = p.by_term(dx[:, None] * (total.take(p.row, axis=0) - vx)) + self.l2v * len(p.rows) * v
+                gv[p.terms] += g * g
+                self.v[p.terms] = v - self.rate * g / np.sqrt(gv[p.terms])
+                g = float(d.sum())
                 gb += g * g
                 self.bias -= self.rate * g / np.sqrt(gb)
 
 
+class _Part:
+    """Some rows and their terms, arranged once for sums by row and by term."""
+
+    def __init__(self, idx: np.ndarray, at: np.ndarray, x: np.ndarray, rows: np.ndarray):
+        self.rows = rows[at[rows + 1] > at[rows]]  # rows without terms say nothing
+        take, bounds = _places(at, self.rows)
+        self.x = x[take]
+        self.row = np.repeat(np.arange(len(self.rows), dtype=np.int32), np.diff(bounds))
+        self.terms, term = np.unique(idx[take], return_inverse=True)
+        self.term = term.astype(np.int32)
+        self._starts = bounds[:-1]
+
+    def by_row(self, values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values, self._starts, axis=0) if len(self.rows) else values[:0]
+
+    def by_term(self, values: np.ndarray) -> np.ndarray:
+        """Sums of a vector, or of each column of a table."""
+        n = len(self.terms)
+        if values.ndim == 1:
+            return np.bincount(self.term, values, n).astype(np.float32)
+        return np.stack([np.bincount(self.term, values[:, f], n) for f in range(values.shape[1])], axis=1).astype(np.float32)
+
+
 def _even(y: np.ndarray) -> np.ndarray:
     """Weights by which both classes count the same."""
     n, pos = len(y), int((y > 0).sum())
