@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import json
 import logging
 import os
+import re
 import sys
 from collections.abc import Callable
 from dataclasses import dataclass, field, fields
@@ -145,11 +147,44 @@ class SelectionOptions(_Options):
         return vs
 
 
-def _ignored(parser: argparse.ArgumentParser) -> None:
-    """Reader and thread settings of a single process; here Spark's own settings decide, so they are accepted and have no effect."""
-    group = parser.add_argument_group("accepted without effect")
-    for name in ("--readahead-workers", "--readahead-buffer-size", "--encode-threads"):
-        group.add_argument(name, help=argparse.SUPPRESS)
+def byte_size(text: str) -> int:
+    """A number of bytes, with a unit of powers of 1024 if so wished: ``4096``, ``100M``, ``2GiB``."""
+    m = re.fullmatch(r"\s*(\d+)\s*(?:([kmgt])(?:i?b)?|b)?\s*", text, re.IGNORECASE)
+    if not m or not int(m[1]):
+        raise argparse.ArgumentTypeError(f"{text!r} is not a size in bytes")
+    return int(m[1]) << 10 * (" kmgt".index(m[2].lower()) if m[2] else 0)
+
+
+@dataclass(frozen=True)
+class ReaderOptions(_Options):
+    """How much is read by how many tasks, as Spark settings for the time of a command."""
+
+    readahead_workers: int | None = None
+    readahead_buffer_size: int | None = None
+    encode_threads: int | None = None
+
+    @staticmethod
+    def add(parser: argparse.ArgumentParser) -> None:
+        group = parser.add_argument_group("reader")
+        group.add_argument("--readahead-workers", type=int, help="tasks that a scan of files has at least")
+        group.add_argument("--readahead-buffer-size", type=byte_size, help="bytes of files that a task reads at most, such as 64M")
+        group.add_argument("--encode-threads", type=int, help="tasks of each shuffle")
+
+    @contextlib.contextmanager
+    def applied(self, spark: SparkSession):
+        given = {"spark.sql.files.minPartitionNum": self.readahead_workers, "spark.sql.files.maxPartitionBytes": self.readahead_buffer_size, "spark.sql.shuffle.partitions": self.encode_threads}
+        for name, value in given.items():
+            if value is not None and value < 1:
+                raise ValueError(f"{name} cannot be {value}")
+        given = {name: value for name, value in given.items() if value is not None}
+        before = {name: spark.conf.get(name, None) for name in given}
+        try:
+            for name, value in given.items():
+                spark.conf.set(name, str(value))
+            yield
+        finally:
+            for name, value in before.items():
+                spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 @dataclass(frozen=True)
@@ -221,7 +256,7 @@ def _common(parser: argparse.ArgumentParser, selection: bool = True, alleles: bo
         SelectionOptions.add(parser, alleles)
     StoreOptions.add(parser)
     LogOptions.add(parser)
-    _ignored(parser)
+    ReaderOptions.add(parser)
 
 
 # --- commands -----------------------------------------------------------------------
@@ -333,7 +368,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     out = getattr(args, "output", "-")
     try:
         spark = spark or SparkSession.builder.appName("locuspark").config("spark.ui.showConsoleProgress", "false").getOrCreate()
-        args.run(spark, args, sys.stdout if out in ("-", None) else out)
+        with ReaderOptions.of(args).applied(spark):
+            args.run(spark, args, sys.stdout if out in ("-", None) else out)
         sys.stdout.flush()
     except BrokenPipeError:
         os.dup2(os.open(os.devnull, os.O_WRONLY), sys.stdout.fileno())  # what is left is not wanted

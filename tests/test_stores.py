@@ -211,6 +211,24 @@ def test_exports(spark, kept, capsys, tmp_path):
     assert opts.variants(spark, kept).num_variants() == two
 
 
+def test_reader_options(spark, kept, capsys):
+    """Reader options are Spark settings while a command runs, and only then."""
+    names = ("spark.sql.files.minPartitionNum", "spark.sql.files.maxPartitionBytes", "spark.sql.shuffle.partitions")
+    before, seen = [spark.conf.get(n, None) for n in names], []
+    count = cli.stats.write_count
+    try:
+        cli.stats.write_count = lambda vs, out: (seen.append([spark.conf.get(n, None) for n in names]), count(vs, out))
+        assert run(spark, capsys, "index", "-n", "--readahead-workers", "3", "--readahead-buffer-size", "2MiB", "--encode-threads", "5", kept)[:2] == (0, f"{len(ROWS)}\n")
+        assert run(spark, capsys, "index", "-n", "--encode-threads", "0", kept)[0] == 1
+    finally:
+        cli.stats.write_count = count
+    assert seen == [["3", str(2 << 20), "5"]] and [spark.conf.get(n, None) for n in names] == before
+    assert [cli.byte_size(t) for t in ("7", "100M", "2G", "256MiB", "1kb", "8B")] == [7, 100 << 20, 2 << 30, 256 << 20, 1024, 8]
+    for bad in ("0", "x", "-3", "1.5M"):
+        with pytest.raises(Exception, match="size"):
+            cli.byte_size(bad)
+
+
 def test_storage_options():
     assert cli.storage_options(["a=1", "b=x", "c={\"d\": true}"]) == {"a": 1, "b": "x", "c": {"d": True}}
     with pytest.raises(cli.UsageError):
