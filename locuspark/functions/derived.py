@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from locuspark.functions.binding import let
+from locuspark.functions.binding import let, lets
 
 #: Name: (number, type, needs genotypes, description).
 VIRTUAL = {
@@ -34,16 +34,19 @@ def n_alt(alts: Column) -> Column:
 def allele_counts(gt: Column, alts: Column) -> Column:
     """One count for each ALT; an allele beyond them is an error."""
 
-    def counted(slots: Column) -> Column:
-        bad = F.exists(slots, lambda a: (a > F.size(alts)) | (a < 0))
-        counts = F.transform(alts, lambda _, k: F.size(F.filter(slots, lambda a: a == k + 1)))
+    def counted(slots: Column, own: Column) -> Column:
+        bad = (F.array_max(slots) > F.size(own)) | (F.array_min(slots) < 0)
+        counts = F.transform(own, lambda _, k: F.size(slots) - F.size(F.array_remove(slots, k + 1)))
         return F.when(bad, F.raise_error(F.lit("a genotype names an allele that the variant does not have"))).otherwise(counts)
 
-    return let(called(gt), counted)
+    return lets((called(gt).cast("array<int>"), alts), counted)
 
 
 def allele_frequencies(gt: Column, alts: Column) -> Column:
-    return let(allele_number(gt).cast("float"), lambda an: F.transform(allele_counts(gt, alts), lambda c: F.when(an > 0, (c.cast("float") / an).cast("float"))))
+    def shares(own: Column) -> Column:
+        return let(allele_number(own).cast("float"), lambda an: F.transform(allele_counts(own, alts), lambda c: F.when(an > 0, (c.cast("float") / an).cast("float"))))
+
+    return let(gt, shares)
 
 
 def samples_with_data(gt: Column) -> Column:
@@ -51,11 +54,11 @@ def samples_with_data(gt: Column) -> Column:
 
 
 def n_missing(gt: Column) -> Column:
-    return (F.size(gt) - samples_with_data(gt)).cast("long")
+    return let(gt, lambda own: (F.size(own) - samples_with_data(own)).cast("long"))
 
 
 def f_missing(gt: Column) -> Column:
-    return F.when(F.size(gt) > 0, n_missing(gt).cast("double") / F.size(gt)).otherwise(F.lit(0.0))
+    return let(gt, lambda own: F.when(F.size(own) > 0, n_missing(own).cast("double") / F.size(own)).otherwise(F.lit(0.0)))
 
 
 def compute(name: str, gt: Column | None, alts: Column) -> Column:

@@ -8,8 +8,8 @@ from pyspark.sql import Column
 
 from locuspark.model import VariantSet
 from locuspark.plans import expression as X
-from locuspark.plans.compile import Value, condition
-from locuspark.plans.resolve import resolver
+from locuspark.plans.compile import Value
+from locuspark.plans.resolve import decided
 
 
 class VariantFilter(Protocol):
@@ -38,4 +38,4 @@ class FilterExpression:
     def __call__(self, vs: VariantSet) -> Value:
         if self.tree is None:
             raise ValueError("an empty filter selects nothing in particular")
-        return condition(self.tree, resolver(vs), vs.filters, self.excludes)
+        return decided(vs, self.tree, self.excludes)

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from locuspark import errors as E
 from locuspark.functions import derived
+from locuspark.functions.binding import lets
 from locuspark.model import FIXED, Field, VariantSet
 from locuspark.plans import expression as X
-from locuspark.plans.compile import Value, combine, condition
+from locuspark.plans.compile import Value, combine, condition, truth, value
 
 _KINDS = {"Integer": "int", "Float": "float", "String": "str", "Character": "str", "Flag": "flag"}
 _UNSUPPORTED = ("N_SAMPLES", "MAC", "MAF", "ILEN")
@@ -40,11 +41,14 @@ def computed(vs: VariantSet, key: str, for_filter: bool) -> bool:
     return vs.mode == "native" and vs.subset and derived.VIRTUAL[key][2]
 
 
-def info(vs: VariantSet, key: str, for_filter: bool = False) -> tuple[Column, Field] | None:
-    """Column and description of an INFO key; computed ones always follow the selected samples."""
+def info(vs: VariantSet, key: str, for_filter: bool = False, bound: tuple[Column, Column] | None = None) -> tuple[Column, Field] | None:
+    """Column and description of an INFO key; computed ones always follow the selected samples.
+
+    ``bound``: genotypes and ALTs to compute from, where they are evaluated already.
+    """
     own = vs.stored("INFO", key)
     if computed(vs, key, for_filter):
-        made = derived.compute(key, vs.call("gt") if vs.has_genotypes else None, F.col("alts"))
+        made = derived.compute(key, *(bound or (vs.call("gt") if vs.has_genotypes else None, F.col("alts"))))
         field = virtual_field(vs, key)
         if own is not None and own.description:
             field = Field("INFO", key, field.number, field.type, field.width, own.description)
@@ -61,8 +65,8 @@ def _value(col: Column, field: Field) -> Value:
     return Value(col, shape, _KINDS[field.type])
 
 
-def resolver(vs: VariantSet):
-    """Names of filter expressions to values."""
+def resolver(vs: VariantSet, bound: tuple[Column, Column] | None = None):
+    """Names of filter expressions to values; ``bound`` as in :func:`info`."""
 
     def resolve(name: str) -> Value:
         prefix, _, key = name.rpartition("/")
@@ -77,7 +81,7 @@ def resolver(vs: VariantSet):
         if not prefix and key == "variant_index":
             return Value(F.col("variant_index"), "V", "int")
         call = vs.stored("FORMAT", key) if prefix != "INFO" else None
-        site = info(vs, key, True) if prefix in ("", "INFO") else None
+        site = info(vs, key, True, bound) if prefix in ("", "INFO") else None
         if call is not None and site is not None:
             if key in derived.VIRTUAL and vs.stored("INFO", key) is None:
                 site = None  # what is only computed does not compete with a stored field
@@ -94,6 +98,38 @@ def resolver(vs: VariantSet):
     return resolve
 
 
+def counts_genotypes(vs: VariantSet, tree) -> bool:
+    """Whether ``tree`` has a field that is computed from genotypes."""
+    keys = [key for prefix, _, key in (n.rpartition("/") for n in X.names(tree)) if prefix in ("", "INFO")]
+    return any(computed(vs, k, True) and derived.VIRTUAL[k][2] for k in keys)
+
+
+def decided(vs: VariantSet, tree, exclude: bool = False) -> Value:
+    """The mask of one condition.
+
+    Where fields are computed from genotypes, these and the ALTs are evaluated
+    once a row, whatever number of fields there is: Spark moves a condition
+    below the columns that it names, so each mention would compute them again.
+    Tests of stored columns that have to hold anyway stay in front, so that
+    they still prune the scan and spare the rest.
+    """
+    if not counts_genotypes(vs, tree):
+        return condition(tree, resolver(vs), vs.filters, exclude)
+    made: list[Value] = []
+
+    def body(gt: Column, alts: Column) -> Column:
+        made.append(condition(tree, resolver(vs, (gt, alts)), vs.filters, exclude))
+        return made[-1].col
+
+    col = lets((vs.call("gt"), F.col("alts")), body)
+    out = replace(made[-1], col=col)
+    if out.shape == "V" and not exclude and isinstance(tree, X.Logical) and tree.op[0] == "&":
+        for operand in tree.operands:
+            if not counts_genotypes(vs, operand) and (own := truth(value(operand, resolver(vs), vs.filters))).shape == "V":
+                out = replace(out, col=own.col & out.col)
+    return out
+
+
 @dataclass(frozen=True)
 class Result:
     """cells: the name of a mask column over the selected samples, if a filter looked at samples."""
@@ -110,7 +146,7 @@ def mask(vs: VariantSet) -> Value | None:
             col = given(vs)
             v = col if isinstance(col, Value) else Value(F.coalesce(col, F.lit(False)), "V", "mask")
         else:
-            v = condition(X.parse(given), resolver(vs), vs.filters, exclude)
+            v = decided(vs, X.parse(given), exclude)
         if out is None:
             out = v
         else:

@@ -48,3 +48,17 @@ def test_no_shuffle_in_row_queries(spark):
 
     for df in (Q.query_gt(spark, SF), Q.QUERIES["filter_and_any_sample"][0](spark, SF), Q.bed_codes(spark, SF), vcf.lines(derived(spark, SF))):
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+
+
+def test_computed_fields_share_genotypes(spark):
+    """A filter on several computed fields evaluates genotypes and ALTs once a row, not for each field or slot."""
+    plan = Q.QUERIES["filter_computed"][0](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("* 31)") == 1 and plan.count("<*>") == 1
+
+    def kept(*texts):
+        vs = derived(spark, SF)
+        for text in texts:
+            vs = vs.with_filter(text)
+        return sorted(r["variant_index"] for r in vs.result().select("variant_index").collect())
+
+    assert kept("POS > 5000 && AC > 7 && AN < 22") == kept("POS > 5000", "AC > 7 && AN < 22") != []
