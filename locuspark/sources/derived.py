@@ -18,8 +18,16 @@ PER_CONTIG = 3000
 def derived(spark: SparkSession, sf_dir: str, stored_an: bool = False) -> VariantSet:
     """Variants of ``orders`` under ``sf_dir``; ``stored_an`` adds an INFO/AN that disagrees with the genotypes."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    k, i = F.col("o_orderkey"), "i"
-    each = lambda expr: F.expr(f"transform(sequence(0, {len(SAMPLES) - 1}), {i} -> {expr})")
+    k = F.col("o_orderkey")
+    # One expression a sample: a lambda over samples would be interpreted, while these become code.
+    each = lambda expr: F.expr("array(" + ", ".join(expr(i) for i in range(len(SAMPLES))) + ")")
+    slot = lambda i, p: f"if((o_orderkey * 7 + {i * 13}) % 11 = 0, null, cast((o_orderkey * 31 + {i * 17 + p * 5}) % (2 + o_orderkey % 3) as tinyint))"
+
+    def call(i: int) -> str:
+        # The first sample keeps a lambda, which leaves the projection out of the stage's one method: that would be too long to be compiled.
+        two = f"array({slot(i, 0)}, {slot(i, 1)})"
+        return f"if((o_orderkey + {i}) % 17 = 0, array({slot(i, 0)}), {two if i else f'transform({two}, x -> x)'})"
+
     ref = "substr('ACGTACGT', cast(1 + o_orderkey % 4 as int), if(o_orderkey % 7 = 3, 2, 1))"
     alt = f"""case (o_orderkey + j) % 8 when 4 then '*' when 5 then '<*>' when 6 then concat({ref}, 'T') when 7 then 'ACGTA'
         when 1 then concat(substr({ref}, 1, length({ref}) - 1), substr('ACGT', cast(1 + (o_orderkey + j + length({ref}) - 1) % 4 as int), 1))
@@ -39,10 +47,10 @@ def derived(spark: SparkSession, sf_dir: str, stored_an: bool = False) -> Varian
         F.expr("array(cast(o_orderkey % 5 as int), cast((o_orderkey + 3) % 7 as int))").alias("info_XP"),
         F.expr("o_orderkey % 4 = 0").alias("info_DB"),
         *([F.expr("cast(24 - o_orderkey % 5 as int)").alias("info_AN")] if stored_an else []),
-        each("transform(sequence(0, if((o_orderkey + i) % 17 = 0, 0, 1)), p -> if((o_orderkey * 7 + i * 13) % 11 = 0, null, cast((o_orderkey * 31 + i * 17 + p * 5) % (2 + o_orderkey % 3) as tinyint)))").alias("gt"),
-        each("(o_orderkey + i) % 3 != 0").alias("phased"),
-        each("if((o_orderkey * 3 + i * 7) % 19 = 0, null, cast((o_orderkey * 5 + i * 11) % 40 as int))").alias("fmt_DP"),
-        each("if((o_orderkey * 11 + i * 5) % 23 = 0, null, cast((o_orderkey * 7 + i * 29) % 100 as int))").alias("fmt_GQ"),
+        each(call).alias("gt"),
+        each(lambda i: f"(o_orderkey + {i}) % 3 != 0").alias("phased"),
+        each(lambda i: f"if((o_orderkey * 3 + {i * 7}) % 19 = 0, null, cast((o_orderkey * 5 + {i * 11}) % 40 as int))").alias("fmt_DP"),
+        each(lambda i: f"if((o_orderkey * 11 + {i * 5}) % 23 = 0, null, cast((o_orderkey * 7 + {i * 29}) % 100 as int))").alias("fmt_GQ"),
     )
     top = orders.agg(F.max("o_orderkey")).first()[0]
     contigs = tuple(f"c{c}" for c in range(max(8, (top or 0) // PER_CONTIG + 1)))  # a header may name more than there are
